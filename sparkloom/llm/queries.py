@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import op5_mixing
 from .packing import op8_packing
 from .simhash import op1_simhash
+from .topk import ORACLE_TOP_K, op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
+    "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_topk": ORACLE_TOP_K,
+}
