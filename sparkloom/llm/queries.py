@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op5_mixing
 from .packing import op8_packing
+from .quality import op3_quality
 from .simhash import op1_simhash
 from .topk import ORACLE_TOP_K, op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
     "op10_topk": op10_topk,
