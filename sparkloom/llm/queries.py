@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import op5_mixing
 from .packing import op8_packing
 from .quality import op3_quality
+from .rules import op9_rules
 from .simhash import op1_simhash
 from .topk import ORACLE_TOP_K, op10_topk
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
+    "op9_rules": op9_rules,
     "op10_topk": op10_topk,
 }
 
