@@ -6,22 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licences import ORACLE_LICENCES, op2_licences
 from .mixing import op5_mixing
 from .packing import op8_packing
 from .quality import op3_quality
 from .rules import op9_rules
 from .simhash import op1_simhash
+from .tokencount import op7_tokencount
 from .topk import ORACLE_TOP_K, op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_licences": op2_licences,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
+    "op7_tokencount": op7_tokencount,
     "op8_packing": op8_packing,
     "op9_rules": op9_rules,
     "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_licences": ORACLE_LICENCES,
     "op10_topk": ORACLE_TOP_K,
 }
