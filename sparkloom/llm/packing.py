@@ -8,8 +8,10 @@ Second pass: each document's ids are cut where windows end; a piece is a boundar
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,12 @@ WINDOW = 2048
 #: Ends each document.
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a task keeps encoded, and bytes of the longest of them; others are encoded anew each time.
-CACHED_WORDS, CACHED_BYTES = 500_000, 64
+#: Words that a worker keeps encoded, bytes of the longest of them, and bytes of text whose words are looked up together.
+CACHED_WORDS, CACHED_BYTES, AT_ONCE = 600_000, 64, 2_000_000
+#: Letters and then perhaps ASCII punctuation without apostrophes: the tokenizer encodes the two parts apart, each as one unit.
+LETTERS_AND_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Ends the last token of a unit; units that are encoded in one call.
+UNIT_END, UNITS = "</w>", 1000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -42,7 +48,8 @@ class WordEncoder:
     """Encodes texts word by word.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text are those of
-    its words in turn, and a word's ids are found once.
+    its words in turn, and a word's ids are found once. Case goes first, as the tokenizer does it, but for texts that may
+    hold a special token's string.
     """
 
     def __init__(self, vocabulary: str):
@@ -50,20 +57,64 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.known: dict[bytes, bytes] = {}
-
-    def _new(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = packed
-        return packed
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        get, new = self.known.get, self._new
-        return b"".join([get(word) or new(word) for word in text.split()])
+        tokens = self.tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_unit[[i for token, i in tokens.items() if token.endswith(UNIT_END)]] = True
+
+    def _learn_units(self, units: list[bytes]) -> None:
+        groups = [units[i : i + UNITS] for i in range(0, len(units), UNITS)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_unit[ids]) + 1)).tolist()
+            if len(ends) != len(group):
+                raise ValueError("the vocabulary's tokens don't end with the words")
+            packed = ids.tobytes()
+            self.known.update(zip(group, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, match = self.known, LETTERS_AND_TAIL.fullmatch
+        parts = {w: m.groups() for w in words if (m := match(w))}
+        self._learn_units(list({x for pair in parts.values() for x in pair if x}.difference(known)))
+        for word, (letters, tail) in parts.items():
+            if tail:
+                known[word] = known[letters] + known[tail]
+        rest = list(words - parts.keys())
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
+            known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + 2 * len(new) > CACHED_WORDS:
+            self.known.clear()
+            new = words
+        self._learn(new)
+        ids = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        for word in new:
+            if len(word) > CACHED_BYTES:
+                del self.known[word]
+        return ids
+
+
+@cache
+def _encoder(vocabulary: str) -> WordEncoder:
+    """One for each Python worker, kept from task to task."""
+    return WordEncoder(vocabulary)
+
+
+def in_turn(texts: list[bytes], at_once: int = AT_ONCE) -> Iterator[list[bytes]]:
+    """``texts`` in groups of about ``at_once`` bytes, or of one longer text."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > at_once:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 def window_ends(total: int, window: int) -> list[int]:
@@ -86,9 +137,10 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at, end = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encoder, part, at, end = _encoder(vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [encoder.encode(text or b"") + end for text in as_bytes(batch.column(1))]
+            texts = [text or b"" for text in as_bytes(batch.column(1))]
+            ids = [x + end for x in chain.from_iterable(map(encoder.encode, in_turn(texts)))]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             places = np.cumsum(sizes) - sizes + at
             at += int(sizes.sum())
