@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licences import ORACLE_LICENCES, op2_licences
+from .lmscore import op6_lmscore
 from .mixing import op5_mixing
 from .packing import op8_packing
 from .quality import op3_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licences": op2_licences,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
+    "op6_lmscore": op6_lmscore,
     "op7_tokencount": op7_tokencount,
     "op8_packing": op8_packing,
     "op9_rules": op9_rules,
