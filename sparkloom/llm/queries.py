@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licences import ORACLE_LICENCES, op2_licences
+from .linededup import op4_linededup
 from .lmscore import op6_lmscore
 from .mixing import op5_mixing
 from .packing import op8_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licences": op2_licences,
     "op3_quality": op3_quality,
+    "op4_linededup": op4_linededup,
     "op5_mixing": op5_mixing,
     "op6_lmscore": op6_lmscore,
     "op7_tokencount": op7_tokencount,
