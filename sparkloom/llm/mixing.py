@@ -149,6 +149,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return d.join(quota, on).select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"))
 
 
+def take_mix(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as mix takes it; rows that share a doc_id as often as the one of them taken most."""
+    copies = mix(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    copies = copies.withColumnRenamed("doc_id", "mix_id")
+    joined = row.join(copies, F.col("row.doc_id").eqNullSafe(F.col("mix_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
