@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,7 +34,12 @@ def set_up_checkpoints(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, its lineage cut; it survives lost executors."""
     set_up_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    del df
+    # shuffle files of finished steps go when the driver's garbage is collected
+    gc.collect()
+    done.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A line is its set of words (lower case for A-Z). Tokens are ordered by rarity, taken from word counts in a table of fixed
 size, and then by hash. Two lines whose Jaccard similarity is THRESHOLD or more share one of each other's rarest tokens
 (the prefix); a frequent token stands for the pair it makes with one of the next tokens, as the lines share a second one in
-a prefix that is one token longer. Lines that share such a key become candidates if length and position allow it, and the
+a prefix that is one token longer. Lines that share such a key become candidates if length, position and parities allow it, and the
 Jaccard similarity of candidates is verified on their whole sets. A line goes if an earlier line, by doc_id and place in the
 document, is similar.
 
@@ -23,80 +23,109 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, documents
+from .packing import in_turn
 
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bits of the table of word counts; tokens in places with more than FREQUENT words are joined in pairs.
 COUNT_BITS, FREQUENT = 21, 256
+#: Places of the table in a row.
+PART = 65_536
 #: Keys with more lines are tried in rounds, with so many earlier lines for each line, and at last with all.
-CROWDED, ROUNDS = 48, (8, 64, None)
+CROWDED, ROUNDS = 6, (1, 16, None)
 #: Lines that are sorted together, and the bits of a token: its rarity and its hash.
 LINES, LINE_BITS, RARITY_BITS, HASH_BITS = 4096, 12, 6, 46
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of text that are read together.
+AT_ONCE = 1_000_000
 #: Bits of the filter through which tokens of lines are fetched; it only saves work.
 FILTER_BITS = 27
 
-ENTRIES = "bucket int, key binary, id binary, doc binary, line binary, n binary, j binary"
-TYPES = {"key": np.uint64, "id": np.uint64, "doc": np.int64, "line": np.int32, "n": np.int32, "j": np.int32}
+#: Packed arrays of one bucket: keys of 32 bits, set ids, and compressed the lines' documents, places, sizes, the keys' positions and the lines' parities.
+ENTRIES = "bucket int, key binary, id binary, rest binary"
+REST = (np.int64, np.int32, np.int32, np.int32, np.uint64)
 #: Stands for a null doc_id, before all others.
 NO_DOC = np.iinfo(np.int64).min
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept while they are few."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    lower, space = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+    lower[ord("A") : ord("Z") + 1] += 32
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    return lower, space
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
+LOWER, SPACE = _tables()
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _lines(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of up to LINES lines with words: documents, places in them, numbers of words, and the hashes of all words."""
-    docs, places, sizes, words = [], [], [], []
+def _powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64; kept for the next call."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
+            _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and a 64-bit hash of each in lower case: a polynomial in its bytes, mixed with its length."""
+    raw = LOWER[np.frombuffer(data, np.uint8)]
+    word = ~SPACE[raw]
+    edges = np.flatnonzero(np.diff(np.r_[False, word, False]))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers_of_base(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * powers[:-1], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * BASE
+    found = (found ^ found >> np.uint64(32)) * MIX
+    found = (found ^ found >> np.uint64(29)) * MIX
+    return starts, found ^ found >> np.uint64(32)
 
-    def group():
-        found = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        return np.array(docs, np.int64), np.array(places, np.int32), np.array(sizes, np.int64), found
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of up to LINES lines with words: documents, places in them, numbers of words, and the hashes of all words."""
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-            doc = NO_DOC if doc is None else doc
-            for place, line in enumerate((text or b"").lower().split(b"\n")):
-                if split := line.split():
-                    docs.append(doc)
-                    places.append(place)
-                    sizes.append(len(split))
-                    words += split
-                    if len(docs) == LINES or len(words) > 1_000_000:
-                        yield group()
-                        docs, places, sizes, words = [], [], [], []
-    if docs:
-        yield group()
+        docs = np.array([NO_DOC if d is None else d for d in batch.column(0).to_pylist()], np.int64)
+        texts, at = [t or b"" for t in as_bytes(batch.column(1))], 0
+        for group in in_turn(texts, AT_ONCE):
+            data = b"\n".join(group)
+            of_doc = np.array([t.count(b"\n") + 1 for t in group], np.int64)
+            starts, hashes = word_hashes(data)
+            line_of_word = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A), starts)
+            sizes = np.bincount(line_of_word, minlength=int(of_doc.sum()))
+            doc_of_line = np.repeat(docs[at : at + len(group)], of_doc)
+            place = np.arange(len(sizes)) - np.repeat(np.cumsum(of_doc) - of_doc, of_doc)
+            some, word = np.flatnonzero(sizes), 0
+            for i in range(0, len(some), LINES):
+                part = some[i : i + LINES]
+                n = int(sizes[part].sum())
+                yield doc_of_line[part], place[part].astype(np.int32), sizes[part], hashes[word : word + n]
+                word += n
+            at += len(group)
 
 
 def word_table(texts: DataFrame) -> np.ndarray:
     """How many words of all texts (doc_id, text) fall into each of 2^COUNT_BITS places."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = np.zeros(1 << COUNT_BITS, np.int64), Hashes()
-        for _, _, _, found in _lines(batches, hashes):
-            table += np.bincount((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(table))
-        some = np.flatnonzero(table)
-        for i in range(0, len(some), 65_536):
-            part = some[i : i + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) >> 16], pa.int32()), pa.array([part.astype(np.int32).tobytes()]), pa.array([table[part].tobytes()])], names=["part", "at", "n"])
+        table, waiting = np.zeros(1 << COUNT_BITS, np.int64), []
+        for _, _, _, found in _lines(batches):
+            waiting.append((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
+            if len(waiting) == 32:
+                table += np.bincount(np.concatenate(waiting), minlength=len(table))
+                waiting = []
+        if waiting:
+            table += np.bincount(np.concatenate(waiting), minlength=len(table))
+        for i in range(0, len(table), PART):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table[i : i + PART].tobytes()])], names=["at", "n"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": parts["at"].iloc[:1], "n": [sum(np.frombuffer(n, np.int64) for n in parts["n"]).tobytes()]})
 
     table = np.zeros(1 << COUNT_BITS, np.int64)
-    # a row is a part of one task's table; each is added as it comes, so the driver holds one table
-    for row in texts.mapInArrow(count, "part int, at binary, n binary").toLocalIterator():
-        np.add.at(table, np.frombuffer(row["at"], np.int32), np.frombuffer(row["n"], np.int64))
+    for row in texts.mapInArrow(count, "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").collect():
+        table[row["at"] : row["at"] + PART] = np.frombuffer(row["n"], np.int64)
     return table
 
 
@@ -106,8 +135,12 @@ def rarity_classes(table: np.ndarray) -> np.ndarray:
     return np.minimum(steps, (1 << RARITY_BITS) - 1).astype(np.uint64)
 
 
-def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines with ``sizes`` words: distinct tokens by line and rarity, the number of the line of each, and each line's set id."""
+def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines with ``sizes`` words: distinct tokens by line and rarity, the number of the line of each, and each line's set id and parities.
+
+    A token stands for one of 64 bits; a bit of the parities tells whether the set has an odd number of its tokens. So the
+    parities of two sets differ in no more bits than the sets differ in tokens.
+    """
     line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     rarity = classes[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
     packed = line << np.uint64(64 - LINE_BITS) | rarity << np.uint64(HASH_BITS) | hashes & np.uint64((1 << HASH_BITS) - 1)
@@ -116,8 +149,10 @@ def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tup
     line, tokens = (packed >> np.uint64(64 - LINE_BITS)).astype(np.int64), packed & np.uint64((1 << 64 - LINE_BITS) - 1)
     mixed = (tokens ^ tokens >> np.uint64(29)) * MIX
     mixed = (mixed ^ mixed >> np.uint64(32)) * MIX
-    ids = np.add.reduceat(mixed ^ mixed >> np.uint64(29), np.searchsorted(line, np.arange(len(sizes))))
-    return tokens, line, ids
+    mixed ^= mixed >> np.uint64(29)
+    starts = np.searchsorted(line, np.arange(len(sizes)))
+    parities = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
+    return tokens, line, np.add.reduceat(mixed, starts), parities
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -154,93 +189,107 @@ def prefix_keys(tokens: np.ndarray, line: np.ndarray, frequent: int) -> tuple[np
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(places), n
 
 
-def _row(values: list, types: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+def _packed(bucket: int, keys: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> dict:
+    import zstandard
+
+    data = b"".join(x.astype(t).tobytes() for x, t in zip(rest, REST))
+    return {"bucket": bucket, "key": keys.astype(np.uint32).tobytes(), "id": ids.tobytes(), "rest": zstandard.ZstdCompressor(level=1).compress(data)}
+
+
+def _read(parts: pd.DataFrame) -> list[np.ndarray]:
+    """Keys, set ids, documents, places, sizes and positions of packed rows."""
+    import zstandard
+
+    columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint32, np.uint64, *REST)]
+    for key, id_, rest in zip(parts["key"], parts["id"], parts["rest"]):
+        data, at = zstandard.ZstdDecompressor().decompress(rest), 0
+        columns[0].append(np.frombuffer(key, np.uint32))
+        columns[1].append(np.frombuffer(id_, np.uint64))
+        n = len(id_) // 8
+        for column, t in zip(columns[2:], REST):
+            column.append(np.frombuffer(data, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(c) for c in columns]
+
+
+def _by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = ((values * MIX) >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(starts)).tolist():
+        yield b, order[starts[b] : starts[b + 1]]
 
 
 def line_entries(texts: DataFrame, classes, buckets: int, frequent_words: int) -> DataFrame:
-    """ENTRIES of ``texts`` (doc_id, text), packed. Buckets from 0 on hold prefix keys; bucket -1 - b holds the sets' first lines (key and n are left empty); ``j`` is -1 for lines that are known to go."""
+    """ENTRIES of ``texts`` (doc_id, text). Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set in its partition, by set, with position 0, and the other lines, which go, with position -1."""
     frequent = int(rarity_classes(np.array([frequent_words]))[0])
-    names = [c.split()[0] for c in ENTRIES.split(", ")]
-    types = [pa.int32()] + [pa.binary()] * 6
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("id", pa.binary()), ("rest", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         first_of: list[tuple] = []
         base = 0
-        for docs, places, sizes, hashes in _lines(batches, Hashes()):
-            tokens, line, ids = line_sets(sizes, hashes, classes.value)
+        for docs, places, sizes, hashes in _lines(batches):
+            tokens, line, ids, parities = line_sets(sizes, hashes, classes.value)
             keys, lines, at, n = prefix_keys(tokens, line, frequent)
-            parts.append((keys, lines + base, at, n[lines]))
+            parts.append((keys, lines + base, at, n[lines], parities[lines]))
             first_of.append((ids, docs, places))
             base += len(ids)
         if not base:
             return
         ids, docs, places = (np.concatenate(x) for x in zip(*first_of))
-        keys, lines, at, n = (np.concatenate(x) for x in zip(*parts))
+        keys, lines, at, n, odd = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((places, docs, ids))
-        new = np.r_[True, ids[order][1:] != ids[order][:-1]]
         first = np.zeros(base, bool)
-        first[order[new]] = True
+        first[order[np.r_[True, ids[order][1:] != ids[order][:-1]]]] = True
         chosen = first[lines]
-        keys, lines, at, n = keys[chosen], lines[chosen], at[chosen], n[chosen]
-        bucket = ((keys * MIX) >> np.uint64(40)).astype(np.int64) % buckets
-        by = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(starts)).tolist():
-            x = by[starts[b] : starts[b + 1]]
+        keys, lines, at, n, odd = keys[chosen], lines[chosen], at[chosen], n[chosen], odd[chosen]
+        for b, x in _by_bucket(keys, buckets):
             y = lines[x]
-            yield _row([b, keys[x].tobytes(), ids[y].tobytes(), docs[y].tobytes(), places[y].tobytes(), n[x].astype(np.int32).tobytes(), at[x].astype(np.int32).tobytes()], types, names)
-        firsts, later = np.flatnonzero(first), np.flatnonzero(~first)
-        bucket = ((ids[firsts] * MIX) >> np.uint64(40)).astype(np.int64) % buckets
-        by = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(starts)).tolist():
-            x = firsts[by[starts[b] : starts[b + 1]]]
-            yield _row([-1 - b, b"", ids[x].tobytes(), docs[x].tobytes(), places[x].tobytes(), b"", b""], types, names)
-        for b in range(0, len(later), 65_536):
-            x = later[b : b + 65_536]
-            yield _row([None, b"", b"", docs[x].tobytes(), places[x].tobytes(), b"", b""], types, names)
+            yield pa.RecordBatch.from_pylist([_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], places[y], n[x], at[x], odd[x])], schema)
+        for b, x in _by_bucket(ids, buckets):
+            none = np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], places[x], none, first[x].astype(np.int32) - 1, none)], schema)
 
     return texts.mapInArrow(rows, ENTRIES)
 
 
-def _read(parts: pd.DataFrame, *names: str) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, TYPES[c]), *(np.frombuffer(x, TYPES[c]) for x in parts[c])]) for c in names]
-
+def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and places of all lines of a bucket but the first of each set."""
+    _, ids, docs, places, _, j, _ = _read(parts)
+    gone = j < 0
+    first = np.flatnonzero(~gone)
+    order = first[np.lexsort((places[first], docs[first], ids[first]))]
+    gone[order[np.r_[False, ids[order][1:] == ids[order][:-1]]]] = True
+    return docs[gone], places[gone]
 
-def _later_copies(parts: pd.DataFrame) -> pd.DataFrame:
-    """All but the first line of each set, of one bucket."""
-    ids, docs, places = _read(parts, "id", "doc", "line")
-    order = np.lexsort((places, docs, ids))
-    again = order[np.r_[False, ids[order][1:] == ids[order][:-1]]]
-    return pd.DataFrame({"doc_id": docs[again], "line": places[again]})
 
+#: kind 0: a line that goes. kind 1: a candidate, sets a and b, b's first line. kind 2: entries of crowded keys.
+TRIED = "kind int, a long, b long, doc_id long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
 
-PAIRS = "a long, b long, doc_id long, line int, more boolean, key long"
 
-
-def candidates(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int, set[int]] | None = None) -> list[np.ndarray]:
-    """Candidates among the entries of a bucket: set ids of the earlier and later line, the later line, whether more may follow, and the key.
+def candidates(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int, set[int]] | None = None):
+    """Candidates among the entries of a bucket: set ids of the earlier and later line, the later line, whether more may follow, and the key; then which entries have crowded keys, and the entries.
 
     Of a crowded key only the ``most`` earliest candidates of each line are given, or all if it is None. ``only`` limits the
     later lines to sets by key.
     """
-    keys, ids, docs, places, n, j = _read(parts, "key", "id", "doc", "line", "n", "j")
+    keys, ids, docs, places, n, j, odd = _read(parts)
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(counts[inverse] > 1)
     shared = shared[np.lexsort((places[shared], docs[shared], ids[shared], keys[shared]))]
     k, i = keys[shared], ids[shared]
     shared = shared[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]] if len(shared) else shared
     shared = shared[np.lexsort((places[shared], docs[shared], keys[shared]))]
-    keys, ids, docs, places, n, j = (x[shared] for x in (keys, ids, docs, places, n.astype(np.int64), j.astype(np.int64)))
+    keys, ids, docs, places, n, j, odd = (x[shared] for x in (keys, ids, docs, places, n.astype(np.int64), j.astype(np.int64), odd))
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     crowded = np.repeat(sizes > crowd, sizes)
 
     def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         need = pair_overlap(n[a], n[b])
-        return (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b])) & (1 + np.minimum(n[a] - j[a], n[b] - j[b]) - 1 >= need) & (ids[a] != ids[b])
+        parity = np.bitwise_count(odd[a] ^ odd[b]).astype(np.int64) <= n[a] + n[b] - 2 * need
+        return parity & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b])) & (np.minimum(n[a] - j[a], n[b] - j[b]) >= need) & (ids[a] != ids[b])
 
     a_out, b_out, more_out = [], [], []
     if only is None:
@@ -254,44 +303,57 @@ def candidates(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int
             b_out.append(first[good] + step)
             more_out.append(np.zeros(good.sum(), bool))
             step += 1
-    for start, size in zip(starts[sizes > crowd].tolist(), sizes[sizes > crowd].tolist()):
-        members = np.arange(start, start + size)
-        if only is not None:
-            wanted = only.get(int(keys[start].view(np.int64)), set())
-            members_b = members[[x in wanted for x in ids[members].view(np.int64).tolist()]]
-        else:
-            members_b = members
-        given, open_ = np.zeros(len(members_b), np.int64), np.ones(len(members_b), bool)
-        found = []
-        for a in members.tolist():
-            later = np.flatnonzero((members_b > a) & open_)
-            if not len(later):
-                break
-            good = later[possible(np.full(len(later), a), members_b[later])]
-            found.append((a, good))
-            given[good] += 1
-            if most is not None:
-                open_[given >= most] = False
-        for a, good in found:
-            a_out.append(np.full(len(good), a))
-            b_out.append(members_b[good])
-            more_out.append(~open_[good])
+    members = np.flatnonzero(crowded)
+    if only is not None:
+        wanted = [int(k) in only and int(i) in only[int(k)] for k, i in zip(keys[members], ids[members].view(np.int64))]
+        members = members[np.array(wanted, bool)]
+    given = np.zeros(len(keys), np.int64)
+    heads = np.repeat(starts, sizes)[members]
+    # with the first of each key, then with the second, and so on
+    while len(members):
+        before = heads < members
+        members, heads = members[before], heads[before]
+        good = possible(heads, members)
+        a_out.append(heads[good])
+        b_out.append(members[good])
+        given[members[good]] += 1
+        if most is not None:
+            left = given[members] < most
+            members, heads = members[left], heads[left]
+        heads = heads + 1
+    more_out.append(given[np.concatenate([np.zeros(0, np.int64), *b_out[len(more_out) :]])] >= (most or np.inf))
     a, b, more = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((a_out, np.int64), (b_out, np.int64), (more_out, bool)))
-    return [ids[a].view(np.int64), ids[b].view(np.int64), docs[b], places[b], more, keys[b].view(np.int64)]
+    return [ids[a].view(np.int64), ids[b].view(np.int64), docs[b], places[b], more, keys[b].astype(np.int64)], np.flatnonzero(crowded) if len(keys) else np.zeros(0, np.int64), (keys, ids, docs, places, n, j, odd)
+
 
+def _tried(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int, set[int]] | None = None) -> pd.DataFrame:
+    """TRIED of the rows of one bucket."""
+    bucket = int(parts["bucket"].iloc[0])
+    names = [c.split()[0] for c in TRIED.split(", ")]
+    if bucket < 0:
+        docs, places = _later_copies(parts)
+        return pd.DataFrame({"kind": 0, "doc_id": docs, "line": places}).reindex(columns=names)
+    (a, b, docs, places, more, key), crowded, entries = candidates(parts, most, crowd, only)
+    out = pd.DataFrame({"kind": 1, "a": a, "b": b, "doc_id": docs, "line": places, "more": more, "bucket": bucket, "crowd_key": key}).reindex(columns=names)
+    if not len(crowded):
+        return out
+    # whole numbers beside missing ones would become doubles
+    rest = pd.DataFrame([_packed(bucket, *(x[crowded] for x in entries)) | {"kind": 2, "a": 0, "b": 0, "doc_id": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
+    return pd.concat([out.astype({"key": object, "id": object, "rest": object}), rest], ignore_index=True)
 
-def _pairs(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int, set[int]] | None = None) -> pd.DataFrame:
-    columns = candidates(parts, most, crowd, only)
-    return pd.DataFrame(dict(zip(("a", "b", "doc_id", "line", "more", "key"), columns)))
+
+def _first_try(most: int | None, crowd: int):
+    return lambda parts: _tried(parts, most, crowd)
 
 
 def _try_again(most: int | None, crowd: int):
     def again(parts: pd.DataFrame, unresolved: pd.DataFrame) -> pd.DataFrame:
         only: dict[int, set[int]] = {}
-        for key, b in zip(unresolved["key"].tolist(), unresolved["b"].tolist()):
+        for key, b in zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist()):
             only.setdefault(key, set()).add(b)
-        pairs = _pairs(parts if only else parts.iloc[:0], most, crowd, only)
-        return pairs.assign(bucket=parts["bucket"].iloc[0] if len(parts) else 0)
+        if not len(parts) or not only:
+            return pd.DataFrame(columns=[c.split()[0] for c in TRIED.split(", ")])
+        return _tried(parts, most, crowd, only)
 
     return again
 
@@ -307,8 +369,8 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, _, sizes, hashes in _lines(batches, Hashes()):
-            tokens, line, ids = line_sets(sizes, hashes, classes.value)
+        for _, _, sizes, hashes in _lines(batches):
+            tokens, line, ids, _ = line_sets(sizes, hashes, classes.value)
             signed = ids.view(np.int64)
             hit = held.value[signed % (1 << FILTER_BITS - 6)] >> (ids >> np.uint64(50) & np.uint64(63)) & np.uint64(1)
             starts = np.searchsorted(line, np.arange(len(sizes) + 1))
@@ -325,40 +387,39 @@ def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUE
     spark = texts.sparkSession
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes = spark.sparkContext.broadcast(rarity_classes(word_table(texts)).astype(np.uint64))
-    entries = cut(line_entries(texts, classes, buckets, frequent))
-    known = entries.where("bucket is null").select("doc", "line").mapInArrow(_unpacked, "doc_id long, line int")
-    copies = entries.where("bucket < 0").select("bucket", "id", "doc", "line").groupBy("bucket").applyInPandas(_later_copies, "doc_id long, line int")
-    joined = entries.where("bucket >= 0")
-    tried = cut(joined.groupBy("bucket").applyInPandas(lambda p: _pairs(p, rounds[0], crowd).assign(bucket=p["bucket"].iloc[0]), f"{PAIRS}, bucket int"))
-    found = None
-    for most in rounds[1:]:
-        matched = cut(_verified(texts, classes, tried))
-        found = matched if found is None else found.union(matched)
-        unresolved = cut(tried.where("more").select("bucket", "key", "b").distinct().join(matched.select(F.col("id").alias("b")).distinct(), "b", "left_anti"))
+    tried = cut(line_entries(texts, classes, buckets, frequent).groupBy("bucket").applyInPandas(_first_try(rounds[0], crowd), TRIED))
+    gone = tried.where("kind = 0").select("doc_id", "line")
+    pairs = tried.where("kind = 1").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min(F.struct("doc_id", "line")).alias("at"))
+    # with the set that shares most keys first; the others only for lines that don't match it
+    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"), F.min("at").alias("at")))
+    matched = cut(_verified(texts, classes, best))
+    waiting = pairs.join(matched.select("b"), "b", "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "at")
+    for most in (*rounds[1:], None):
+        gone = gone.union(matched.select("at.doc_id", "at.line"))
+        unresolved = cut(tried.where("more").select("bucket", "crowd_key", "b").distinct().join(matched.select("b"), "b", "left_anti"))
+        if not unresolved.isEmpty():
+            again = cut(tried.where("kind = 2").groupBy("bucket").cogroup(unresolved.groupBy("bucket")).applyInPandas(_try_again(most, crowd), TRIED))
+            more = again.where("kind = 1").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+            waiting, tried = waiting.union(more).groupBy("a", "b").agg(F.min("at").alias("at")), again
+        waiting = cut(waiting)
+        if waiting.isEmpty():
+            break
+        matched = cut(_verified(texts, classes, waiting))
         if unresolved.isEmpty():
-            return known.union(copies).union(found.select("doc_id", "line")).distinct()
-
-        some = joined.join(unresolved.select("bucket").distinct(), "bucket", "left_semi")
-        tried = cut(some.groupBy("bucket").cogroup(unresolved.groupBy("bucket")).applyInPandas(_try_again(most, crowd), f"{PAIRS}, bucket int"))
-    found = found.union(_verified(texts, classes, tried))
-    return known.union(copies).union(found.select("doc_id", "line")).distinct()
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.frombuffer(lines, np.int32))], names=["doc_id", "line"])
+            gone = gone.union(matched.select("at.doc_id", "at.line"))
+            break
+        waiting = waiting.limit(0)
+    return gone.distinct()
 
 
-def _verified(texts: DataFrame, classes, tried: DataFrame) -> DataFrame:
-    """(id, doc_id, line) of the later lines of candidates that are similar."""
-    pairs = tried.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    tokens = cut(live_tokens(texts, classes, ids).groupBy("id").agg(F.first("tokens").alias("tokens")))
-    left, right = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+def _verified(texts: DataFrame, classes, pairs: DataFrame) -> DataFrame:
+    """(b, at) of the pairs (a, b, at) whose sets are similar."""
+    tokens = live_tokens(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    tokens = tokens.groupBy("id").agg(F.first("tokens").alias("tokens"))
+    left, right = tokens.toDF("a", "x"), tokens.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     similar = DENOMINATOR * both >= NUMERATOR * (F.size("x") + F.size("y") - both)
-    return pairs.join(left, "a").join(right, "b").where(similar).groupBy(F.col("b").alias("id")).agg(F.min("at").alias("at")).select("id", "at.doc_id", "at.line")
+    return pairs.join(right, "b").join(left, "a").where(similar).groupBy("b").agg(F.min("at").alias("at"))
 
 
 def dedup_lines(docs: DataFrame, **tuning) -> DataFrame:
