@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from .operators import graph, report, retrieval, traverse
 from .operators.build import CodeGraph, build_graph
+from .schemas import DOC, EDGE, NODE, PARSED
 from .sources.repository import content_hashes, parse_sources, read_repository
 
+#: Given, so that empty tables can be read.
+SCHEMAS = {"parsed": PARSED, "nodes": NODE, "edges": EDGE, "docs": DOC}
+
 
 class CodeGraphSession:
     """``db`` is a folder that all executors share."""
@@ -44,7 +48,7 @@ class CodeGraphSession:
         version = self.version() if version is None else version
         if version is None:
             raise ValueError(f"{self.db} has no graph; analyze a repository first")
-        return self.spark.read.parquet(f"{self.db}/v={version}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.db}/v={version}/{name}")
 
     def _commit(self, parsed: DataFrame, version: int) -> CodeGraph:
         base = f"{self.db}/v={version}"
