@@ -31,32 +31,25 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNT_BITS, FREQUENT = 21, 256
 #: Places of the table in a row.
 PART = 65_536
-#: Keys with more lines are tried in rounds, with so many earlier lines for each line, and at last with all.
-CROWDED, ROUNDS = 6, (1, 16, None)
+#: In a key with more lines a line is at first tried with so many of the earliest alone.
+CROWDED = 256
+HEADS = 16
 #: Lines that are sorted together, and the bits of a token: its rarity and its hash.
 LINES, LINE_BITS, RARITY_BITS, HASH_BITS = 4096, 12, 6, 46
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are read together.
-AT_ONCE = 1_000_000
+AT_ONCE = 200_000
 #: Bits of the filter through which tokens of lines are fetched; it only saves work.
 FILTER_BITS = 27
 
 #: Packed arrays of one bucket: keys of 32 bits, set ids, and compressed the lines' documents, places, sizes, the keys' positions and the lines' parities.
 ENTRIES = "bucket int, key binary, id binary, rest binary"
-REST = (np.int64, np.int32, np.int32, np.int32, np.uint64)
+REST = (np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint64)
 #: Stands for a null doc_id, before all others.
 NO_DOC = np.iinfo(np.int64).min
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    lower, space = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
-    lower[ord("A") : ord("Z") + 1] += 32
-    space[[0x20, *range(0x09, 0x0E)]] = True
-    return lower, space
-
-
-LOWER, SPACE = _tables()
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -70,8 +63,8 @@ def _powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text begin, and a 64-bit hash of each in lower case: a polynomial in its bytes, mixed with its length."""
-    raw = LOWER[np.frombuffer(data, np.uint8)]
-    word = ~SPACE[raw]
+    raw = np.frombuffer(data.lower(), np.uint8)
+    word = (raw != 0x20) & (raw - np.uint8(0x09) > 4)
     edges = np.flatnonzero(np.diff(np.r_[False, word, False]))
     starts, ends = edges[::2], edges[1::2]
     powers, inverse = _powers_of_base(len(raw) + 1)
@@ -136,9 +129,9 @@ def rarity_classes(table: np.ndarray) -> np.ndarray:
 
 
 def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines with ``sizes`` words: distinct tokens by line and rarity, the number of the line of each, and each line's set id and parities.
+    """Of lines with ``sizes`` words: distinct tokens by line and rarity, the number of the line of each, and each line's set id and parities, two words.
 
-    A token stands for one of 64 bits; a bit of the parities tells whether the set has an odd number of its tokens. So the
+    A token stands for one of 128 bits; a bit of the parities tells whether the set has an odd number of its tokens. So the
     parities of two sets differ in no more bits than the sets differ in tokens.
     """
     line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
@@ -151,7 +144,8 @@ def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tup
     mixed = (mixed ^ mixed >> np.uint64(32)) * MIX
     mixed ^= mixed >> np.uint64(29)
     starts = np.searchsorted(line, np.arange(len(sizes)))
-    parities = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts)
+    bit, high = np.uint64(1) << (mixed & np.uint64(63)), mixed >> np.uint64(6) & np.uint64(1)
+    parities = np.stack([np.bitwise_xor.reduceat(bit * (high ^ np.uint64(1)), starts), np.bitwise_xor.reduceat(bit * high, starts)])
     return tokens, line, np.add.reduceat(mixed, starts), parities
 
 
@@ -232,31 +226,31 @@ def line_entries(texts: DataFrame, classes, buckets: int, frequent_words: int) -
         for docs, places, sizes, hashes in _lines(batches):
             tokens, line, ids, parities = line_sets(sizes, hashes, classes.value)
             keys, lines, at, n = prefix_keys(tokens, line, frequent)
-            parts.append((keys, lines + base, at, n[lines], parities[lines]))
+            parts.append((keys, lines + base, at, n[lines], *parities[:, lines]))
             first_of.append((ids, docs, places))
             base += len(ids)
         if not base:
             return
         ids, docs, places = (np.concatenate(x) for x in zip(*first_of))
-        keys, lines, at, n, odd = (np.concatenate(x) for x in zip(*parts))
+        keys, lines, at, n, low, high = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((places, docs, ids))
         first = np.zeros(base, bool)
         first[order[np.r_[True, ids[order][1:] != ids[order][:-1]]]] = True
         chosen = first[lines]
-        keys, lines, at, n, odd = keys[chosen], lines[chosen], at[chosen], n[chosen], odd[chosen]
+        keys, lines, at, n, low, high = (x[chosen] for x in (keys, lines, at, n, low, high))
         for b, x in _by_bucket(keys, buckets):
             y = lines[x]
-            yield pa.RecordBatch.from_pylist([_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], places[y], n[x], at[x], odd[x])], schema)
+            yield pa.RecordBatch.from_pylist([_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], places[y], n[x], at[x], low[x], high[x])], schema)
         for b, x in _by_bucket(ids, buckets):
             none = np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], places[x], none, first[x].astype(np.int32) - 1, none)], schema)
+            yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], places[x], none, first[x].astype(np.int32) - 1, none, none)], schema)
 
     return texts.mapInArrow(rows, ENTRIES)
 
 
 def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents and places of all lines of a bucket but the first of each set."""
-    _, ids, docs, places, _, j, _ = _read(parts)
+    _, ids, docs, places, _, j, _, _ = _read(parts)
     gone = j < 0
     first = np.flatnonzero(~gone)
     order = first[np.lexsort((places[first], docs[first], ids[first]))]
@@ -268,94 +262,95 @@ def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 TRIED = "kind int, a long, b long, doc_id long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
 
 
-def candidates(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int, set[int]] | None = None):
-    """Candidates among the entries of a bucket: set ids of the earlier and later line, the later line, whether more may follow, and the key; then which entries have crowded keys, and the entries.
-
-    Of a crowded key only the ``most`` earliest candidates of each line are given, or all if it is None. ``only`` limits the
-    later lines to sets by key.
-    """
-    keys, ids, docs, places, n, j, odd = _read(parts)
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(counts[inverse] > 1)
-    shared = shared[np.lexsort((places[shared], docs[shared], ids[shared], keys[shared]))]
-    k, i = keys[shared], ids[shared]
-    shared = shared[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]] if len(shared) else shared
-    shared = shared[np.lexsort((places[shared], docs[shared], keys[shared]))]
-    keys, ids, docs, places, n, j, odd = (x[shared] for x in (keys, ids, docs, places, n.astype(np.int64), j.astype(np.int64), odd))
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(keys)])
-    crowded = np.repeat(sizes > crowd, sizes)
-
-    def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class Bucket:
+    """The entries of a bucket whose key several sets share, the first line of each set, in the order of keys and lines."""
+
+    def __init__(self, parts: pd.DataFrame):
+        keys, ids, docs, places, *rest = _read(parts)
+        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(counts[inverse] > 1)
+        shared = shared[np.lexsort((places[shared], docs[shared], ids[shared], keys[shared]))]
+        if len(shared):
+            k, i = keys[shared], ids[shared]
+            shared = shared[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]]
+            shared = shared[np.lexsort((places[shared], docs[shared], keys[shared]))]
+        self.columns = [x[shared] for x in (keys, ids, docs, places, *rest)]
+        self.keys, self.ids, self.docs, self.places, n, j, self.low, self.high = self.columns
+        self.n, self.j = n.astype(np.int64), j.astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, np.int64)
+        self.sizes = np.diff(np.r_[starts, len(self.keys)])
+        self.starts, self.sizes_each = np.repeat(starts, self.sizes), np.repeat(self.sizes, self.sizes)
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether sets may be similar, and in how many parities they differ."""
+        n, j = self.n, self.j
         need = pair_overlap(n[a], n[b])
-        parity = np.bitwise_count(odd[a] ^ odd[b]).astype(np.int64) <= n[a] + n[b] - 2 * need
-        return parity & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b])) & (np.minimum(n[a] - j[a], n[b] - j[b]) >= need) & (ids[a] != ids[b])
-
-    a_out, b_out, more_out = [], [], []
-    if only is None:
-        first = np.flatnonzero(~crowded)
-        step = 1
-        while len(first):
-            first = first[first + step < len(keys)]
-            first = first[keys[first] == keys[first + step]]
-            good = possible(first, first + step)
-            a_out.append(first[good])
-            b_out.append(first[good] + step)
-            more_out.append(np.zeros(good.sum(), bool))
+        apart = (np.bitwise_count(self.low[a] ^ self.low[b]) + np.bitwise_count(self.high[a] ^ self.high[b])).astype(np.int64)
+        sizes = DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b])
+        return sizes & (np.minimum(n[a] - j[a], n[b] - j[b]) >= need) & (apart <= n[a] + n[b] - 2 * need), apart
+
+    def likeliest(self, crowd: int, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For lines with candidates the likeliest of them, and whether there may be others. The first is -1 if none was found among the heads of a crowded key."""
+        count = np.zeros(len(self.keys), np.int64)
+        best, least = np.full(len(self.keys), -1, np.int64), np.full(len(self.keys), np.iinfo(np.int64).max)
+        members, step = np.arange(len(self.keys)), 0
+        while len(members):
+            head = self.starts[members] + step
+            left = (head < members) & ((self.sizes_each[members] <= crowd) | (step < heads))
+            members, head = members[left], head[left]
+            good, apart = self.possible(head, members)
+            a, b, d = head[good], members[good], apart[good]
+            count[b] += 1
+            closer = d < least[b]
+            best[b[closer]], least[b[closer]] = a[closer], d[closer]
+            step += 1
+        hidden = (self.sizes_each > crowd) & (np.arange(len(self.keys)) - self.starts > heads)
+        lines = np.flatnonzero((best >= 0) | hidden)
+        return best[lines], lines, (count[lines] > 1) | hidden[lines]
+
+    def all_pairs(self, wanted: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All candidates of the lines with a key and set among ``wanted``."""
+        members = np.array([i for i, x in enumerate(zip(self.keys.tolist(), self.ids.view(np.int64).tolist())) if x in wanted], np.int64)
+        a_out, b_out, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while len(members):
+            head = self.starts[members] + step
+            left = head < members
+            members, head = members[left], head[left]
+            good, _ = self.possible(head, members)
+            a_out.append(head[good])
+            b_out.append(members[good])
             step += 1
-    members = np.flatnonzero(crowded)
-    if only is not None:
-        wanted = [int(k) in only and int(i) in only[int(k)] for k, i in zip(keys[members], ids[members].view(np.int64))]
-        members = members[np.array(wanted, bool)]
-    given = np.zeros(len(keys), np.int64)
-    heads = np.repeat(starts, sizes)[members]
-    # with the first of each key, then with the second, and so on
-    while len(members):
-        before = heads < members
-        members, heads = members[before], heads[before]
-        good = possible(heads, members)
-        a_out.append(heads[good])
-        b_out.append(members[good])
-        given[members[good]] += 1
-        if most is not None:
-            left = given[members] < most
-            members, heads = members[left], heads[left]
-        heads = heads + 1
-    more_out.append(given[np.concatenate([np.zeros(0, np.int64), *b_out[len(more_out) :]])] >= (most or np.inf))
-    a, b, more = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((a_out, np.int64), (b_out, np.int64), (more_out, bool)))
-    return [ids[a].view(np.int64), ids[b].view(np.int64), docs[b], places[b], more, keys[b].astype(np.int64)], np.flatnonzero(crowded) if len(keys) else np.zeros(0, np.int64), (keys, ids, docs, places, n, j, odd)
-
-
-def _tried(parts: pd.DataFrame, most: int | None, crowd: int, only: dict[int, set[int]] | None = None) -> pd.DataFrame:
+        return np.concatenate(a_out), np.concatenate(b_out)
+
+
+def _tried(parts: pd.DataFrame, crowd: int, heads: int) -> pd.DataFrame:
     """TRIED of the rows of one bucket."""
     bucket = int(parts["bucket"].iloc[0])
     names = [c.split()[0] for c in TRIED.split(", ")]
     if bucket < 0:
         docs, places = _later_copies(parts)
         return pd.DataFrame({"kind": 0, "doc_id": docs, "line": places}).reindex(columns=names)
-    (a, b, docs, places, more, key), crowded, entries = candidates(parts, most, crowd, only)
-    out = pd.DataFrame({"kind": 1, "a": a, "b": b, "doc_id": docs, "line": places, "more": more, "bucket": bucket, "crowd_key": key}).reindex(columns=names)
-    if not len(crowded):
+    x = Bucket(parts)
+    a, b, more = x.likeliest(crowd, heads)
+    signed, found = x.ids.view(np.int64), a >= 0
+    columns = {"a": np.where(found, signed[a], signed[b]), "b": signed[b], "doc_id": x.docs[b], "line": x.places[b], "more": more, "crowd_key": x.keys[b].astype(np.int64)}
+    out = pd.DataFrame({"kind": 1, **columns, "bucket": bucket, "key": None, "id": None, "rest": None})[names]
+    if not more.any():
         return out
+    kept = np.flatnonzero(np.isin(x.starts, x.starts[b[more]]))
     # whole numbers beside missing ones would become doubles
-    rest = pd.DataFrame([_packed(bucket, *(x[crowded] for x in entries)) | {"kind": 2, "a": 0, "b": 0, "doc_id": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
-    return pd.concat([out.astype({"key": object, "id": object, "rest": object}), rest], ignore_index=True)
-
-
-def _first_try(most: int | None, crowd: int):
-    return lambda parts: _tried(parts, most, crowd)
-
+    rest = pd.DataFrame([_packed(bucket, *(c[kept] for c in x.columns)) | {"kind": 2, "a": 0, "b": 0, "doc_id": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
+    return pd.concat([out, rest], ignore_index=True)
 
-def _try_again(most: int | None, crowd: int):
-    def again(parts: pd.DataFrame, unresolved: pd.DataFrame) -> pd.DataFrame:
-        only: dict[int, set[int]] = {}
-        for key, b in zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist()):
-            only.setdefault(key, set()).add(b)
-        if not len(parts) or not only:
-            return pd.DataFrame(columns=[c.split()[0] for c in TRIED.split(", ")])
-        return _tried(parts, most, crowd, only)
 
-    return again
+def _all_others(parts: pd.DataFrame, unresolved: pd.DataFrame) -> pd.DataFrame:
+    """All candidates (a, b, doc_id, line) of the unresolved lines of a bucket."""
+    if not len(parts) or not len(unresolved):
+        return pd.DataFrame({"a": [], "b": [], "doc_id": [], "line": []}, dtype=np.int64)
+    x = Bucket(parts)
+    a, b = x.all_pairs(set(zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist())))
+    signed = x.ids.view(np.int64)
+    return pd.DataFrame({"a": signed[a], "b": signed[b], "doc_id": x.docs[b], "line": x.places[b].astype(np.int64)})
 
 
 def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
@@ -382,33 +377,28 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "id long, tokens array<long>")
 
 
-def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, rounds: tuple[int | None, ...] = ROUNDS) -> DataFrame:
+def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, heads: int = HEADS) -> DataFrame:
     """(doc_id, line): the lines of ``texts`` (doc_id, text) that an earlier similar line makes superfluous; NO_DOC is the null doc_id."""
     spark = texts.sparkSession
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes = spark.sparkContext.broadcast(rarity_classes(word_table(texts)).astype(np.uint64))
-    tried = cut(line_entries(texts, classes, buckets, frequent).groupBy("bucket").applyInPandas(_first_try(rounds[0], crowd), TRIED))
+    first = lambda parts: _tried(parts, crowd, heads)
+    tried = cut(line_entries(texts, classes, buckets, frequent).groupBy("bucket").applyInPandas(first, TRIED))
     gone = tried.where("kind = 0").select("doc_id", "line")
-    pairs = tried.where("kind = 1").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min(F.struct("doc_id", "line")).alias("at"))
-    # with the set that shares most keys first; the others only for lines that don't match it
-    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"), F.min("at").alias("at")))
+    pairs = tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min(F.struct("doc_id", "line")).alias("at"))
+    # with the set that is the likeliest for most keys; the others only for lines that don't match it
+    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"), F.min("at").alias("at"), F.count("*").alias("n")))
     matched = cut(_verified(texts, classes, best))
-    waiting = pairs.join(matched.select("b"), "b", "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "at")
-    for most in (*rounds[1:], None):
-        gone = gone.union(matched.select("at.doc_id", "at.line"))
-        unresolved = cut(tried.where("more").select("bucket", "crowd_key", "b").distinct().join(matched.select("b"), "b", "left_anti"))
-        if not unresolved.isEmpty():
-            again = cut(tried.where("kind = 2").groupBy("bucket").cogroup(unresolved.groupBy("bucket")).applyInPandas(_try_again(most, crowd), TRIED))
-            more = again.where("kind = 1").groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-            waiting, tried = waiting.union(more).groupBy("a", "b").agg(F.min("at").alias("at")), again
-        waiting = cut(waiting)
-        if waiting.isEmpty():
-            break
-        matched = cut(_verified(texts, classes, waiting))
-        if unresolved.isEmpty():
-            gone = gone.union(matched.select("at.doc_id", "at.line"))
-            break
-        waiting = waiting.limit(0)
+    gone = gone.union(matched.select("at.doc_id", "at.line"))
+    unresolved = tried.where("kind = 1 and more").select("bucket", "crowd_key", "b").join(matched.select("b"), "b", "left_anti")
+    kept = tried.where("kind = 2").select("bucket", "key", "id", "rest").toDF("bucket", "key", "id", "rest")
+    others = kept.groupBy("bucket").cogroup(unresolved.groupBy("bucket")).applyInPandas(_all_others, "a long, b long, doc_id long, line long")
+    others = others.select("a", "b", F.struct("doc_id", F.col("line").cast("int").alias("line")).alias("at"))
+    rest = pairs.select("a", "b", "at").join(matched.select("b"), "b", "left_anti").select("a", "b", "at")
+    waiting = rest.union(others).groupBy("a", "b").agg(F.min("at").alias("at")).join(best.select("a", "b"), ["a", "b"], "left_anti")
+    waiting = cut(waiting)
+    if not waiting.isEmpty():
+        gone = gone.union(cut(_verified(texts, classes, waiting)).select("at.doc_id", "at.line"))
     return gone.distinct()
 
 
