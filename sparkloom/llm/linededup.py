@@ -22,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, documents
-from .packing import in_turn
+from .common import as_bytes, cut, documents, in_turn, released
 
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Bits of the table of word counts; tokens in places with more than FREQUENT words are joined in pairs.
-COUNT_BITS, FREQUENT = 21, 256
+#: Bits of the table of word counts; tokens in places with more than FREQUENT words, and LOAD times as many as places have on average, are joined in pairs.
+COUNT_BITS, FREQUENT, LOAD = 21, 256, 8
 #: Places of the table in a row.
 PART = 65_536
 #: In a key with more lines a line is at first tried with so many of the earliest alone.
@@ -117,7 +116,7 @@ def word_table(texts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"at": parts["at"].iloc[:1], "n": [sum(np.frombuffer(n, np.int64) for n in parts["n"]).tobytes()]})
 
     table = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in texts.mapInArrow(count, "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").collect():
+    for row in texts.mapInArrow(released(count), "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").collect():
         table[row["at"] : row["at"] + PART] = np.frombuffer(row["n"], np.int64)
     return table
 
@@ -214,9 +213,8 @@ def _by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
         yield b, order[starts[b] : starts[b + 1]]
 
 
-def line_entries(texts: DataFrame, classes, buckets: int, frequent_words: int) -> DataFrame:
-    """ENTRIES of ``texts`` (doc_id, text). Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set in its partition, by set, with position 0, and the other lines, which go, with position -1."""
-    frequent = int(rarity_classes(np.array([frequent_words]))[0])
+def line_entries(texts: DataFrame, classes, buckets: int, frequent: int) -> DataFrame:
+    """ENTRIES of ``texts`` (doc_id, text). Classes from ``frequent`` on are joined in pairs. Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set in its partition, by set, with position 0, and the other lines, which go, with position -1."""
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("id", pa.binary()), ("rest", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +243,7 @@ def line_entries(texts: DataFrame, classes, buckets: int, frequent_words: int) -
             none = np.zeros(len(x), np.int64)
             yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], places[x], none, first[x].astype(np.int32) - 1, none, none)], schema)
 
-    return texts.mapInArrow(rows, ENTRIES)
+    return texts.mapInArrow(released(rows), ENTRIES)
 
 
 def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -262,18 +260,30 @@ def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 TRIED = "kind int, a long, b long, doc_id long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
 
 
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Which 32-bit keys occur more than once."""
+    packed = keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    same = packed[1:] >> np.uint64(32) == packed[:-1] >> np.uint64(32)
+    out = np.zeros(len(keys), bool)
+    if len(keys):
+        out[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)[np.r_[False, same] | np.r_[same, False]]] = True
+    return out
+
+
 class Bucket:
     """The entries of a bucket whose key several sets share, the first line of each set, in the order of keys and lines."""
 
     def __init__(self, parts: pd.DataFrame):
         keys, ids, docs, places, *rest = _read(parts)
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(counts[inverse] > 1)
-        shared = shared[np.lexsort((places[shared], docs[shared], ids[shared], keys[shared]))]
-        if len(shared):
-            k, i = keys[shared], ids[shared]
-            shared = shared[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]]
-            shared = shared[np.lexsort((places[shared], docs[shared], keys[shared]))]
+        shared = np.flatnonzero(_repeated(keys))
+        rank = np.empty(len(shared), np.uint64)
+        rank[np.lexsort((places[shared], docs[shared]))] = np.arange(len(shared), dtype=np.uint64)
+        # the first line of each set for each key, then by key and line
+        order = np.lexsort((rank, ids[shared], keys[shared]))
+        k, i = keys[shared[order]], ids[shared[order]]
+        order = order[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]] if len(order) else order
+        shared = shared[order[np.argsort(keys[shared[order]].astype(np.uint64) << np.uint64(32) | rank[order])]]
         self.columns = [x[shared] for x in (keys, ids, docs, places, *rest)]
         self.keys, self.ids, self.docs, self.places, n, j, self.low, self.high = self.columns
         self.n, self.j = n.astype(np.int64), j.astype(np.int64)
@@ -374,16 +384,18 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
                 lists = [tokens[starts[i] : starts[i + 1]].view(np.int64) for i in chosen]
                 yield pa.RecordBatch.from_arrays([pa.array(signed[chosen]), pa.array(lists, pa.list_(pa.int64()))], names=["id", "tokens"])
 
-    return texts.mapInArrow(rows, "id long, tokens array<long>")
+    return texts.mapInArrow(released(rows), "id long, tokens array<long>")
 
 
 def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, heads: int = HEADS) -> DataFrame:
     """(doc_id, line): the lines of ``texts`` (doc_id, text) that an earlier similar line makes superfluous; NO_DOC is the null doc_id."""
     spark = texts.sparkSession
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    classes = spark.sparkContext.broadcast(rarity_classes(word_table(texts)).astype(np.uint64))
+    table = word_table(texts)
+    classes = spark.sparkContext.broadcast(rarity_classes(table).astype(np.uint64))
+    least = max(frequent, int(LOAD * table.mean()))
     first = lambda parts: _tried(parts, crowd, heads)
-    tried = cut(line_entries(texts, classes, buckets, frequent).groupBy("bucket").applyInPandas(first, TRIED))
+    tried = cut(line_entries(texts, classes, buckets, int(rarity_classes(np.array([least]))[0])).groupBy("bucket").applyInPandas(first, TRIED))
     gone = tried.where("kind = 0").select("doc_id", "line")
     pairs = tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min(F.struct("doc_id", "line")).alias("at"))
     # with the set that is the likeliest for most keys; the others only for lines that don't match it
