@@ -8,12 +8,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .session import CodeGraphSession
+from .session import SourceGraph
 
 
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="sparkloom")
-    parser.add_argument("--db", default="code-graph")
+    parser.add_argument("--db", default="source-graph")
     commands = parser.add_subparsers(dest="command", required=True)
     analyze = commands.add_parser("analyze")
     analyze.add_argument("repo")
@@ -33,7 +33,7 @@ def _arguments() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _arguments().parse_args(argv)
-    session = CodeGraphSession(spark or SparkSession.builder.appName("sparkloom").getOrCreate(), args.db)
+    session = SourceGraph(spark or SparkSession.builder.appName("sparkloom").getOrCreate(), args.db)
     if args.command == "analyze":
         status = session.analyze(args.repo, args.force)
         print(json.dumps(status, ensure_ascii=False))

@@ -1,4 +1,4 @@
-"""Code-graph shaped views over the star schema, for running the operators on tables of any size.
+"""Graph-shaped views over the star schema, for running the operators on tables of any size.
 
 Parts are functions, suppliers files and brands classes. Two lines of an order that follow each other are a call from one
 part to the next and an import from one supplier to the next.

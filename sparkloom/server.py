@@ -6,10 +6,10 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from .session import CodeGraphSession
+from .session import SourceGraph
 
 
-def answer(session: CodeGraphSession, url: str) -> tuple[int, object]:
+def answer(session: SourceGraph, url: str) -> tuple[int, object]:
     """Status and content for a request."""
     parts = urlsplit(url)
     given = {k: v[-1] for k, v in parse_qs(parts.query).items()}
@@ -33,7 +33,7 @@ def answer(session: CodeGraphSession, url: str) -> tuple[int, object]:
         return 500, {"error": f"{type(error).__name__}: {error}"[:500]}
 
 
-def serve(session: CodeGraphSession, host: str = "127.0.0.1", port: int = 8000) -> None:
+def serve(session: SourceGraph, host: str = "127.0.0.1", port: int = 8000) -> None:
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:
             self._send(*answer(session, self.path))

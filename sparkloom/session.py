@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 from .operators import graph, report, retrieval, traverse
-from .operators.build import CodeGraph, build_graph
+from .operators.build import GraphTables, build_graph
 from .schemas import DOC, EDGE, NODE, PARSED
 from .sources.repository import content_hashes, parse_sources, read_repository
 
@@ -23,7 +23,7 @@ from .sources.repository import content_hashes, parse_sources, read_repository
 SCHEMAS = {"parsed": PARSED, "nodes": NODE, "edges": EDGE, "docs": DOC}
 
 
-class CodeGraphSession:
+class SourceGraph:
     """``db`` is a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, db: str, model: Callable[[list[str]], list[list[float]]] | None = None):
@@ -50,7 +50,7 @@ class CodeGraphSession:
             raise ValueError(f"{self.db} has no graph; analyze a repository first")
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.db}/v={version}/{name}")
 
-    def _commit(self, parsed: DataFrame, version: int) -> CodeGraph:
+    def _commit(self, parsed: DataFrame, version: int) -> GraphTables:
         base = f"{self.db}/v={version}"
         parsed.write.mode("overwrite").parquet(f"{base}/parsed")
         built = build_graph(self._table("parsed", version))
@@ -99,7 +99,7 @@ class CodeGraphSession:
         found = traverse.write_set(imports, self.calls(version), owners, touched.select("file"), present)
         return [r["file"] for r in found.collect()]
 
-    def _totals(self, built: CodeGraph) -> dict:
+    def _totals(self, built: GraphTables) -> dict:
         edges = {r["type"]: r["n"] for r in graph.edge_counts(self._table("edges")).collect()}
         nodes = {r["label"]: r["n"] for r in graph.node_counts(self._table("nodes")).collect()}
         return {"files": nodes.get("File", 0), "symbols": sum(n for k, n in nodes.items() if k != "File"), "edges": edges.get("(all)", 0), "calls": edges.get("CALLS", 0), "unresolved": built.unresolved()}

@@ -9,7 +9,7 @@ import pytest
 
 from sparkloom import cli, server
 from sparkloom.operators import graph, resolve, retrieval, traverse
-from sparkloom.session import CodeGraphSession
+from sparkloom.session import SourceGraph
 
 SAMPLE = {
     "auth.py": "def get_password(u):\n    return 'x'\n\n\ndef verify_password(a, b):\n    return a == b\n\n\ndef login(u, p):\n    pw = get_password(u)\n    return verify_password(pw, p)\n",
@@ -31,7 +31,7 @@ def write(root, files):
 def sample(spark, tmp_path_factory):
     root, db = tmp_path_factory.mktemp("repo"), tmp_path_factory.mktemp("db")
     write(str(root), SAMPLE)
-    session = CodeGraphSession(spark, f"{db}/graph")
+    session = SourceGraph(spark, f"{db}/graph")
     assert session.version() is None
     status = session.analyze(str(root))
     assert status == {"mode": "full", "files": 4, "symbols": 10, "edges": 23, "calls": 7, "unresolved": 0}
@@ -73,7 +73,7 @@ def test_sample_answers(sample):
 
 def test_vectors(sample, spark):
     session, _ = sample
-    other = CodeGraphSession(spark, session.db, model=lambda texts: [[float("password" in t), 1.0] for t in texts])
+    other = SourceGraph(spark, session.db, model=lambda texts: [[float("password" in t), 1.0] for t in texts])
     found = other.search("password", 5)
     assert found["mode"] == "hybrid" and any("semantic" in r["sources"] for r in found["results"])
     docs = session._table("docs")
@@ -106,14 +106,14 @@ ROUNDS = [
 
 def test_incremental_equals_full(spark, tmp_path):
     root = tmp_path / "repo"
-    session = CodeGraphSession(spark, str(tmp_path / "db"))
+    session = SourceGraph(spark, str(tmp_path / "db"))
     for i, changes in enumerate(ROUNDS):
         write(str(root), {k: v for k, v in changes.items() if v is not None})
         for name in (k for k, v in changes.items() if v is None):
             os.remove(root / name)
         status = session.analyze(str(root))
         assert status["mode"] == ("incremental" if i else "full")
-        whole = CodeGraphSession(spark, str(tmp_path / f"full{i}"))
+        whole = SourceGraph(spark, str(tmp_path / f"full{i}"))
         whole.analyze(str(root))
         for name in ("nodes", "edges"):
             assert graph.same_rows(session._table(name), whole._table(name)), (i, name)
@@ -129,7 +129,7 @@ def test_mixed_languages(spark, tmp_path):
         "app.py": "def helper():\n    pass\n\ndef main():\n    helper()\n", "web/util.js": "import { x } from './c';\nexport function greet() { return x(); }\n", "web/c.js": "export const x = () => 1;\n",
         "web/types.ts": "class A { m() { return this.m(); } }\n", "src/com/x/Main.java": "import com.y.Z;\npublic class Main { void run() { new Z().f(); } }\n", "src/com/y/Z.java": "public class Z { void f() {} void g() { f(); } }\n",
     })
-    session = CodeGraphSession(spark, str(tmp_path / "db"))
+    session = SourceGraph(spark, str(tmp_path / "db"))
     session.analyze(str(tmp_path / "r"))
     edges = session._table("edges")
     assert {(r["src"], r["dst"]) for r in edges.where("type = 'CALLS'").collect()} == {

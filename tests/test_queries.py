@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sparkloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,7 +27,7 @@ def rows(frame):
     return sorted(map(repr, frame[sorted(frame.columns)].astype(object).where(frame.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
     got, wanted = entry.queries()[name](spark, DATA).toPandas(), duck.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(wanted.columns)
