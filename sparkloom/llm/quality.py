@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, held_out, training_row
+from .common import as_bytes, documents, held_out, released, training_row
 
 DIMENSION_BITS = 18
 #: Labelled rows to learn from, at most, and how often each is shown.
@@ -88,7 +88,8 @@ def train(sample: DataFrame, epochs: int = EPOCHS) -> np.ndarray:
     rows = sample.select("place", "label", "text").mapInArrow(extract, "place long, label int, at binary, values binary")
     shown = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("epoch", "place")
     model = shown.select("label", "at", "values").mapInArrow(follow, "weights binary").first()
-    return np.frombuffer(model["weights"], "<f4")
+    # Spark runs nothing over an empty table
+    return np.frombuffer(model["weights"], "<f4") if model else np.zeros(1 << DIMENSION_BITS, "<f4")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
@@ -115,7 +116,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             scores = [sigmoid(float(w[at] @ values)) for at, values in map(features, as_bytes(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, score double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
