@@ -33,14 +33,16 @@ PART = 65_536
 #: In a key with more lines a line is at first tried with so many of the earliest alone.
 CROWDED = 256
 HEADS = 16
+#: Candidates of a line for each key, the likeliest, that are tried before all.
+NEAREST = 8
 #: Lines that are sorted together, and the bits of a token: its rarity and its hash.
 LINES, LINE_BITS, RARITY_BITS, HASH_BITS = 4096, 12, 6, 46
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are read together.
 AT_ONCE = 200_000
-#: Bits of the filter through which tokens of lines are fetched; it only saves work.
-FILTER_BITS = 27
+#: Bits of the filters through which tokens of lines are fetched, for sets and for documents; they only save work.
+FILTER_BITS, DOC_FILTER_BITS = 27, 24
 
 #: Packed arrays of one bucket: keys of 32 bits, set ids, and compressed the lines' documents, places, sizes, the keys' positions and the lines' parities.
 ENTRIES = "bucket int, key binary, id binary, rest binary"
@@ -153,9 +155,10 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def pair_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Fewest common tokens of similar sets of a and b tokens."""
-    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+def pair_overlap(both: np.ndarray) -> np.ndarray:
+    """Fewest common tokens of similar sets that have so many tokens together."""
+    whole = NUMERATOR + DENOMINATOR
+    return (NUMERATOR * both + (whole - 1)) // whole
 
 
 def prefix_keys(tokens: np.ndarray, line: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +260,7 @@ def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: kind 0: a line that goes. kind 1: a candidate, sets a and b, b's first line. kind 2: entries of crowded keys.
-TRIED = "kind int, a long, b long, doc_id long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
+TRIED = "kind int, a long, b long, a_doc long, doc_id long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -271,6 +274,16 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each b the ``most`` a with the least d; and whether b has as many."""
+    order = np.lexsort((a, d, b))
+    a, b, d = a[order], b[order], d[order]
+    first = np.searchsorted(b, b)
+    near = np.arange(len(b)) - first < most
+    full = np.searchsorted(b, b, side="right") - first >= most
+    return a[near], b[near], d[near], full[near]
+
+
 class Bucket:
     """The entries of a bucket whose key several sets share, the first line of each set, in the order of keys and lines."""
 
@@ -286,51 +299,63 @@ class Bucket:
         shared = shared[order[np.argsort(keys[shared[order]].astype(np.uint64) << np.uint64(32) | rank[order])]]
         self.columns = [x[shared] for x in (keys, ids, docs, places, *rest)]
         self.keys, self.ids, self.docs, self.places, n, j, self.low, self.high = self.columns
-        self.n, self.j = n.astype(np.int64), j.astype(np.int64)
+        # tokens, and those from the key's on
+        self.n, self.left = n, n - j
         starts = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, np.int64)
         self.sizes = np.diff(np.r_[starts, len(self.keys)])
         self.starts, self.sizes_each = np.repeat(starts, self.sizes), np.repeat(self.sizes, self.sizes)
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether sets may be similar, and in how many parities they differ."""
-        n, j = self.n, self.j
-        need = pair_overlap(n[a], n[b])
-        apart = (np.bitwise_count(self.low[a] ^ self.low[b]) + np.bitwise_count(self.high[a] ^ self.high[b])).astype(np.int64)
-        sizes = DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b])
-        return sizes & (np.minimum(n[a] - j[a], n[b] - j[b]) >= need) & (apart <= n[a] + n[b] - 2 * need), apart
+        """Numbers of the pairs of lines that may be similar, and in how many parities each of them differs. The cheapest filter goes first."""
+        n_a, n_b = self.n[a], self.n[b]
+        chosen = np.flatnonzero(DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b))
+        a, b, both = a[chosen], b[chosen], n_a[chosen] + n_b[chosen]
+        need = pair_overlap(both)
+        fits = np.flatnonzero(np.minimum(self.left[a], self.left[b]) >= need)
+        chosen, a, b, most = chosen[fits], a[fits], b[fits], both[fits] - 2 * need[fits]
+        apart = (np.bitwise_count(self.low[a] ^ self.low[b]) + np.bitwise_count(self.high[a] ^ self.high[b])).astype(np.int32)
+        fits = np.flatnonzero(apart <= most)
+        return chosen[fits], apart[fits]
 
     def likeliest(self, crowd: int, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For lines with candidates the likeliest of them, and whether there may be others. The first is -1 if none was found among the heads of a crowded key."""
         count = np.zeros(len(self.keys), np.int64)
-        best, least = np.full(len(self.keys), -1, np.int64), np.full(len(self.keys), np.iinfo(np.int64).max)
+        best, least = np.full(len(self.keys), -1, np.int64), np.full(len(self.keys), np.iinfo(np.int32).max, np.int32)
         members, step = np.arange(len(self.keys)), 0
         while len(members):
             head = self.starts[members] + step
             left = (head < members) & ((self.sizes_each[members] <= crowd) | (step < heads))
             members, head = members[left], head[left]
             good, apart = self.possible(head, members)
-            a, b, d = head[good], members[good], apart[good]
+            a, b = head[good], members[good]
             count[b] += 1
-            closer = d < least[b]
-            best[b[closer]], least[b[closer]] = a[closer], d[closer]
+            closer = apart < least[b]
+            best[b[closer]], least[b[closer]] = a[closer], apart[closer]
             step += 1
         hidden = (self.sizes_each > crowd) & (np.arange(len(self.keys)) - self.starts > heads)
         lines = np.flatnonzero((best >= 0) | hidden)
         return best[lines], lines, (count[lines] > 1) | hidden[lines]
 
-    def all_pairs(self, wanted: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """All candidates of the lines with a key and set among ``wanted``."""
+    def all_pairs(self, wanted: set[tuple[int, int]], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The candidates of the lines with a key and set among ``wanted``: the ``most`` likeliest of each, or all; and whether a line has others."""
         members = np.array([i for i, x in enumerate(zip(self.keys.tolist(), self.ids.view(np.int64).tolist())) if x in wanted], np.int64)
-        a_out, b_out, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        a_out, b_out, d_out, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         while len(members):
             head = self.starts[members] + step
             left = head < members
             members, head = members[left], head[left]
-            good, _ = self.possible(head, members)
+            good, apart = self.possible(head, members)
             a_out.append(head[good])
             b_out.append(members[good])
+            d_out.append(apart.astype(np.int64))
             step += 1
-        return np.concatenate(a_out), np.concatenate(b_out)
+            if most is not None and step % 64 == 0:  # keeps what is held small
+                a_out, b_out, d_out, _ = ([c] for c in _nearest(*map(np.concatenate, (a_out, b_out, d_out)), most))
+        a, b, d = map(np.concatenate, (a_out, b_out, d_out))
+        if most is None:
+            return a, b, np.zeros(len(a), bool)
+        a, b, d, full = _nearest(a, b, d, most)
+        return a, b, full
 
 
 def _tried(parts: pd.DataFrame, crowd: int, heads: int) -> pd.DataFrame:
@@ -343,41 +368,62 @@ def _tried(parts: pd.DataFrame, crowd: int, heads: int) -> pd.DataFrame:
     x = Bucket(parts)
     a, b, more = x.likeliest(crowd, heads)
     signed, found = x.ids.view(np.int64), a >= 0
-    columns = {"a": np.where(found, signed[a], signed[b]), "b": signed[b], "doc_id": x.docs[b], "line": x.places[b], "more": more, "crowd_key": x.keys[b].astype(np.int64)}
+    columns = {"a": np.where(found, signed[a], signed[b]), "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "line": x.places[b], "more": more, "crowd_key": x.keys[b].astype(np.int64)}
     out = pd.DataFrame({"kind": 1, **columns, "bucket": bucket, "key": None, "id": None, "rest": None})[names]
     if not more.any():
         return out
     kept = np.flatnonzero(np.isin(x.starts, x.starts[b[more]]))
     # whole numbers beside missing ones would become doubles
-    rest = pd.DataFrame([_packed(bucket, *(c[kept] for c in x.columns)) | {"kind": 2, "a": 0, "b": 0, "doc_id": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
+    rest = pd.DataFrame([_packed(bucket, *(c[kept] for c in x.columns)) | {"kind": 2, "a": 0, "b": 0, "a_doc": 0, "doc_id": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
     return pd.concat([out, rest], ignore_index=True)
 
 
-def _all_others(parts: pd.DataFrame, unresolved: pd.DataFrame) -> pd.DataFrame:
-    """All candidates (a, b, doc_id, line) of the unresolved lines of a bucket."""
-    if not len(parts) or not len(unresolved):
-        return pd.DataFrame({"a": [], "b": [], "doc_id": [], "line": []}, dtype=np.int64)
-    x = Bucket(parts)
-    a, b = x.all_pairs(set(zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist())))
-    signed = x.ids.view(np.int64)
-    return pd.DataFrame({"a": signed[a], "b": signed[b], "doc_id": x.docs[b], "line": x.places[b].astype(np.int64)})
+OTHERS = "a long, b long, a_doc long, doc_id long, line long, more boolean, bucket int, crowd_key long"
 
 
-def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
-    """(id, tokens) of the sets ``wanted`` (id), perhaps of a few more."""
-    word = F.pmod(F.col("id"), F.lit(1 << FILTER_BITS - 6))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(id, 50) & 63 as int))")
-    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    for row in wanted.select(word.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+def _others(most: int | None):
+    def find(parts: pd.DataFrame, unresolved: pd.DataFrame) -> pd.DataFrame:
+        """OTHERS of the unresolved lines of a bucket."""
+        if not len(parts) or not len(unresolved):
+            return pd.DataFrame({c.split()[0]: [] for c in OTHERS.split(", ")}).astype({"more": bool})
+        x = Bucket(parts)
+        a, b, more = x.all_pairs(set(zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist())), most)
+        signed = x.ids.view(np.int64)
+        columns = {"a": signed[a], "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "line": x.places[b].astype(np.int64), "more": more}
+        return pd.DataFrame(columns | {"bucket": int(parts["bucket"].iloc[0]), "crowd_key": x.keys[b].astype(np.int64)})
+
+    return find
+
+
+def _bits(wanted: DataFrame, column: str, size: int) -> np.ndarray:
+    """A filter of 2^``size`` bits for the longs of a column; it reaches the driver, as does nothing that grows."""
+    bits = np.zeros(1 << size - 6, np.uint64)
+    word, bit = F.pmod(F.col(column), F.lit(len(bits))), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {size - 6}) & 63 as int))")
+    for row in wanted.select(word.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
         bits[row["at"]] = row["bits"] % (1 << 64)
-    held = texts.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
+    return bits
+
+
+def _may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    size = (len(bits) - 1).bit_length()
+    return (bits[values % len(bits)] >> (values.view(np.uint64) >> np.uint64(size) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
+    """(id, tokens) of the sets ``wanted`` (id, doc: a document that has it), perhaps of a few more."""
+    held = texts.sparkSession.sparkContext.broadcast((_bits(wanted, "id", FILTER_BITS), _bits(wanted, "doc", DOC_FILTER_BITS)))  # of a fixed size
+
+    def chosen_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).fill_null(int(NO_DOC)).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(_may_hold(held.value[1], docs)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, _, sizes, hashes in _lines(batches):
+        for _, _, sizes, hashes in _lines(chosen_docs(batches)):
             tokens, line, ids, _ = line_sets(sizes, hashes, classes.value)
             signed = ids.view(np.int64)
-            hit = held.value[signed % (1 << FILTER_BITS - 6)] >> (ids >> np.uint64(50) & np.uint64(63)) & np.uint64(1)
+            hit = _may_hold(held.value[0], signed)
             starts = np.searchsorted(line, np.arange(len(sizes) + 1))
             chosen = [i for i in np.flatnonzero(hit).tolist() if not (signed[i].item() in seen or seen.add(signed[i].item()))]
             if chosen:
@@ -387,7 +433,7 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(released(rows), "id long, tokens array<long>")
 
 
-def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, heads: int = HEADS) -> DataFrame:
+def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, heads: int = HEADS, nearest: int = NEAREST) -> DataFrame:
     """(doc_id, line): the lines of ``texts`` (doc_id, text) that an earlier similar line makes superfluous; NO_DOC is the null doc_id."""
     spark = texts.sparkSession
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -397,26 +443,35 @@ def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUE
     first = lambda parts: _tried(parts, crowd, heads)
     tried = cut(line_entries(texts, classes, buckets, int(rarity_classes(np.array([least]))[0])).groupBy("bucket").applyInPandas(first, TRIED))
     gone = tried.where("kind = 0").select("doc_id", "line")
-    pairs = tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min(F.struct("doc_id", "line")).alias("at"))
+    place = F.struct("doc_id", F.col("line").cast("int").alias("line"))
+    pairs = tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min("a_doc").alias("a_doc"), F.min(place).alias("at"))
     # with the set that is the likeliest for most keys; the others only for lines that don't match it
-    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"), F.min("at").alias("at"), F.count("*").alias("n")))
+    best = F.max_by(F.struct("a", "a_doc"), F.struct("keys", "a")).alias("best")
+    best = cut(pairs.groupBy("b").agg(best, F.min("at").alias("at")).select("best.a", "b", "best.a_doc", "at"))
     matched = cut(_verified(texts, classes, best))
     gone = gone.union(matched.select("at.doc_id", "at.line"))
-    unresolved = tried.where("kind = 1 and more").select("bucket", "crowd_key", "b").join(matched.select("b"), "b", "left_anti")
     kept = tried.where("kind = 2").select("bucket", "key", "id", "rest").toDF("bucket", "key", "id", "rest")
-    others = kept.groupBy("bucket").cogroup(unresolved.groupBy("bucket")).applyInPandas(_all_others, "a long, b long, doc_id long, line long")
-    others = others.select("a", "b", F.struct("doc_id", F.col("line").cast("int").alias("line")).alias("at"))
-    rest = pairs.select("a", "b", "at").join(matched.select("b"), "b", "left_anti").select("a", "b", "at")
-    waiting = rest.union(others).groupBy("a", "b").agg(F.min("at").alias("at")).join(best.select("a", "b"), ["a", "b"], "left_anti")
-    waiting = cut(waiting)
-    if not waiting.isEmpty():
-        gone = gone.union(cut(_verified(texts, classes, waiting)).select("at.doc_id", "at.line"))
+    open_, done = tried.where("kind = 1 and more").select("bucket", "crowd_key", "b"), best.select("a", "b")
+    rest = pairs.select("a", "b", "a_doc", "at").join(matched.select("b"), "b", "left_anti").select("a", "b", "a_doc", "at")
+    for most in (nearest, None):
+        open_ = open_.join(matched.select("b"), "b", "left_anti")
+        found = cut(kept.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInPandas(_others(most), OTHERS))
+        waiting = rest.union(found.select("a", "b", "a_doc", place)).groupBy("a", "b").agg(F.min("a_doc").alias("a_doc"), F.min("at").alias("at"))
+        waiting = cut(waiting.join(done, ["a", "b"], "left_anti"))
+        if not waiting.isEmpty():
+            matched = cut(_verified(texts, classes, waiting))
+            gone = gone.union(matched.select("at.doc_id", "at.line"))
+        open_ = found.where("more").select("bucket", "crowd_key", "b").distinct().toDF("bucket", "crowd_key", "b")
+        if open_.isEmpty():
+            break
+        done, rest = done.union(waiting.select("a", "b")), rest.limit(0)
     return gone.distinct()
 
 
 def _verified(texts: DataFrame, classes, pairs: DataFrame) -> DataFrame:
-    """(b, at) of the pairs (a, b, at) whose sets are similar."""
-    tokens = live_tokens(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    """(b, at) of the pairs (a, b, a_doc, at) whose sets are similar."""
+    sides = F.array(F.struct(F.col("a").alias("id"), F.col("a_doc").alias("doc")), F.struct(F.col("b").alias("id"), F.col("at.doc_id").alias("doc")))
+    tokens = live_tokens(texts, classes, pairs.select(F.explode(sides).alias("x")).select("x.*").distinct())
     tokens = tokens.groupBy("id").agg(F.first("tokens").alias("tokens"))
     left, right = tokens.toDF("a", "x"), tokens.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
