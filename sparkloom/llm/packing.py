@@ -19,16 +19,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, documents
+from .common import as_bytes, cut, documents, in_turn, released
 
 WINDOW = 2048
 #: Ends each document.
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker keeps encoded, bytes of the longest of them, and bytes of text whose words are looked up together.
-CACHED_WORDS, CACHED_BYTES, AT_ONCE = 600_000, 64, 2_000_000
+#: Words of a generation of those that a worker keeps encoded (it keeps two), bytes of the longest of them, and bytes of
+#: text whose words are looked up together.
+CACHED_WORDS, CACHED_BYTES, AT_ONCE = 250_000, 64, 4_000_000
 #: Letters and then perhaps ASCII punctuation without apostrophes: the tokenizer encodes the two parts apart, each as one unit.
 LETTERS_AND_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Signs of such a tail.
+ONE_SIGN = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Ends the last token of a unit; units that are encoded in one call.
 UNIT_END, UNITS = "</w>", 1000
 
@@ -56,7 +59,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
+        #: Words of late, and those before them.
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         tokens = self.tokenizer.get_vocab()
         self.ends_unit = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_unit[[i for token, i in tokens.items() if token.endswith(UNIT_END)]] = True
@@ -73,12 +78,18 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         known, match = self.known, LETTERS_AND_TAIL.fullmatch
-        parts = {w: m.groups() for w in words if (m := match(w))}
-        self._learn_units(list({x for pair in parts.values() for x in pair if x}.difference(known)))
+        plain = {w for w in words if w.isalpha()}
+        parts = {}
+        for w in words - plain:
+            if w[-1] in ONE_SIGN and w[:-1].isalpha():
+                parts[w] = w[:-1], w[-1:]
+            elif m := match(w):
+                parts[w] = m.groups()
+        self._learn_units(list(plain.union(*parts.values()).difference(known, (b"",))))
         for word, (letters, tail) in parts.items():
             if tail:
                 known[word] = known[letters] + known[tail]
-        rest = list(words - parts.keys())
+        rest = list(words - plain - parts.keys())
         for word, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
             known[word] = np.array(found.ids, "<u4").tobytes()
 
@@ -86,10 +97,12 @@ class WordEncoder:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = set().union(*split)
+        if len(self.known) > CACHED_WORDS:
+            self.old, self.known = self.known, {}
         new = words.difference(self.known)
-        if len(self.known) + 2 * len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = words
+        if again := new.intersection(self.old):
+            self.known.update((w, self.old[w]) for w in again)
+            new -= again
         self._learn(new)
         ids = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
         for word in new:
@@ -104,19 +117,6 @@ def _encoder(vocabulary: str) -> WordEncoder:
     return WordEncoder(vocabulary)
 
 
-def in_turn(texts: list[bytes], at_once: int = AT_ONCE) -> Iterator[list[bytes]]:
-    """``texts`` in groups of about ``at_once`` bytes, or of one longer text."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > at_once:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def window_ends(total: int, window: int) -> list[int]:
     """Where the stream's rest after the last full window is cut: into powers of two, largest first, so that no padding is needed."""
     at, ends = total - total % window, []
@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
         encoder, part, at, end = _encoder(vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [text or b"" for text in as_bytes(batch.column(1))]
-            ids = [x + end for x in chain.from_iterable(map(encoder.encode, in_turn(texts)))]
+            ids = [x + end for x in chain.from_iterable(map(encoder.encode, in_turn(texts, AT_ONCE)))]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             places = np.cumsum(sizes) - sizes + at
             at += int(sizes.sum())
@@ -150,7 +150,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
             )
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    encoded = cut(narrow.mapInArrow(encode, "part int, doc_id long, place long, doc_tokens long, ids binary"))
+    encoded = cut(narrow.mapInArrow(released(encode), "part int, doc_id long, place long, doc_tokens long, ids binary"))
     # one row for each partition of the input
     totals = sorted(tuple(r) for r in encoded.groupBy("part").agg(F.sum("doc_tokens")).collect())
     starts = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0)))

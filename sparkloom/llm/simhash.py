@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, cut, documents
+from .common import as_bytes, connected_components, cut, documents, released
 
 BITS, SEGMENTS = 64, 16
 #: Bits in which linked fingerprints may differ; cells within distance 1 of both points meet up to 2.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
             found = [fingerprint(text, words_per_shingle) for text in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, fp long")
 
 
 def points(fps: np.ndarray) -> np.ndarray:

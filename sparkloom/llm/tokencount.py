@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents
-from .packing import CACHED_BYTES, CACHED_WORDS, UNIT_END, VOCABULARY, in_turn, vocabulary_path
+from .common import as_bytes, documents, in_turn, released
+from .packing import AT_ONCE, CACHED_BYTES, UNIT_END, VOCABULARY, vocabulary_path
 
+#: Counts of words that a worker keeps.
+CACHED_WORDS = 300_000
 #: Stands for the end of a word among the bytes.
 END = 256
 
@@ -116,7 +118,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         automaton, known = _automaton(vocabulary)
         for batch in batches:
             words_of, tokens_of = [], []
-            for texts in in_turn([t or b"" for t in as_bytes(batch.column(1))]):
+            for texts in in_turn([t or b"" for t in as_bytes(batch.column(1))], AT_ONCE):
                 split = [t.lower().split() for t in texts]
                 new = (words := set().union(*split)).difference(known)
                 if len(known) + len(new) > CACHED_WORDS:
@@ -130,7 +132,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                         del known[word]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of, pa.int64()), pa.array(tokens_of, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, n_words long, n_tokens long")
 
 
 def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
