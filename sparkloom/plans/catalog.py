@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..operators import graph, report, resolve, retrieval, traverse
-from . import views
+from ..operators.build import build_graph
+from ..sources.repository import parse_sources
+from . import sample, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,3 +490,35 @@ def _rrf(spark, d):
 @query("hybrid_search", "SELECT CAST(b.ord AS VARCHAR) AS id, coalesce(source, '') AS name, coalesce(lang, '') AS file, round(score, 4) AS score, sources, rank FROM best AS b LEFT JOIN documents ON doc_id = b.ord", FUSED)
 def _hybrid(spark, d):
     return retrieval.hybrid(views.text_docs(spark, d), SEARCH, 10, views.vectors(spark, d), _query_vector(spark, d))
+
+
+# ---- parsing and building, on a repository whose rows are known
+
+
+def _parsed(spark):
+    return parse_sources(sample.sources(spark))
+
+
+def _parse_symbols(spark, d):
+    return _parsed(spark).select("file", F.explode("symbols").alias("s")).select("file", "s.kind", "s.qualified_name", "s.start_line", "s.end_line")
+
+
+def _parse_imports(spark, d):
+    return _parsed(spark).select("file", F.explode("imports").alias("i")).select("file", "i.module", "i.name", F.coalesce("i.alias", F.lit("")).alias("alias"))
+
+
+def _parse_calls(spark, d):
+    return _parsed(spark).select("file", F.explode("calls").alias("c")).select("file", "c.caller", F.col("c.callee_chain").alias("chain"), "c.line")
+
+
+def _call_edges(spark, d):
+    return build_graph(_parsed(spark)).edges.where("type = 'CALLS'").select("src", "dst")
+
+
+for _name, _query, _rows, _columns in (
+    ("parse_symbols", _parse_symbols, sample.SYMBOLS, "file, kind, qualified_name, start_line, end_line"),
+    ("parse_imports", _parse_imports, sample.IMPORTS, "file, module, name, alias"),
+    ("parse_calls", _parse_calls, sample.CALLS, "file, caller, chain, line"),
+    ("built_call_edges", _call_edges, sample.CALL_EDGES, "src, dst"),
+):
+    QUERIES[_name], ORACLE_SQL[_name] = _query, sample.as_sql(_rows, _columns)

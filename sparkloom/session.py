@@ -174,4 +174,6 @@ class SourceGraph:
     def semantic_search_payload(self, query: str, k: int = 8) -> str:
         return json.dumps(self.search(query, k), ensure_ascii=False)
 
-
+    def tools(self) -> dict[str, Callable[..., str]]:
+        """The questions as functions that give JSON, by name, for programs that call tools."""
+        return {"impact": self.impact_payload, "context": self.context_payload, "query": self.query_payload, "semantic_search": self.semantic_search_payload}
