@@ -127,17 +127,19 @@ def window_ends(total: int, window: int) -> list[int]:
     return ends
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, keep_words: bool = True) -> DataFrame:
     """Pieces (PIECES) of all documents: each id lies in one piece; a sequence holds the pieces from offset 0 without gaps.
 
     ``ids`` are little-endian unsigned 32-bit numbers. All sequences but the last few are full; the rest of the stream
     makes sequences whose lengths are powers of two. A null or empty text has the end id alone. Repeated rows are packed
     as often as they occur; a null doc_id is carried along; other columns are ignored; an empty table gives no piece.
     Texts are encoded as the tokenizer does by default, special tokens' strings included.
+    Python workers keep encoded words from task to task, which is faster, unless ``keep_words`` is false, which leaves
+    memory to what runs next.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at, end = _encoder(vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encoder, part, at, end = (_encoder if keep_words else WordEncoder)(vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [text or b"" for text in as_bytes(batch.column(1))]
             ids = [x + end for x in chain.from_iterable(map(encoder.encode, in_turn(texts, AT_ONCE)))]
@@ -178,7 +180,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
                     at = end
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return encoded.mapInArrow(pieces, PIECES)
+    return encoded.mapInArrow(released(pieces), PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
