@@ -84,7 +84,8 @@ def measures(text: Column) -> Column:
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, as longs, MEASURES."""
-    rows = docs.select(*keep, measures(F.col("text")).alias("m"))
+    # generated, so that no filter or projection above is merged with it and measures a text again for each column
+    rows = docs.select(*keep, F.explode(F.array(measures(F.col("text")))).alias("m"))
     flat = {
         "n_words": "m.w.n_words", "word_chars": "m.word_chars", "n_symbols": "m.n_symbols", "n_repeat_words": "m.w.n_repeat_words", "n_lines": "m.l.n",
         "n_distinct": "m.w.n_distinct", "n_letters": "m.n_letters", "n_capitals": "m.n_capitals", "n_calls": "m.n_calls",
@@ -125,14 +126,22 @@ class RuleModel:
 
     def posterior(self) -> Column:
         """Probability that a document is good, from its vote columns."""
-        odds = F.lit(0.0)  # of the other kinds against the good one
+        votes, kinds = F.array(*(F.col(r) for r in RULES)), []
         for share, against in zip(self.kinds[1:], self.against[1:]):
-            likelihood = F.lit(log(share) - log(self.kinds[0]))
-            for rule, bad, good in zip(RULES, against, self.against[0]):
-                up, down = log(1 - bad) - log(1 - good), log(bad) - log(good)
-                likelihood += F.when(F.col(rule) == -1, down).when(F.col(rule) == 1, up).otherwise(0.0)
-            odds += F.exp(likelihood)
-        return 1 / (1 + odds)
+            down = [log(bad) - log(good) for bad, good in zip(against, self.against[0])]
+            up = [log(1 - bad) - log(1 - good) for bad, good in zip(against, self.against[0])]
+            kinds.append(F.struct(F.lit(log(share) - log(self.kinds[0])).alias("base"), _doubles(down).alias("down"), _doubles(up).alias("up")))
+
+        def total(terms: Column) -> Column:
+            return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+        def odds(kind: Column) -> Column:
+            """Of one kind against the good one."""
+            down = total(F.zip_with(votes, kind["down"], lambda v, x: F.when(v == -1, x).otherwise(0.0)))
+            return F.exp(kind["base"] + down + total(F.zip_with(votes, kind["up"], lambda v, x: F.when(v == 1, x).otherwise(0.0))))
+
+        # constants in arrays: an expression for each rule and kind would be too long to compile
+        return 1 / (1 + total(F.transform(F.array(*kinds), odds)))
 
 
 def vote_patterns(measured_docs: DataFrame) -> DataFrame:
