@@ -5,7 +5,7 @@ size, and then by hash. Two lines whose Jaccard similarity is THRESHOLD or more
 (the prefix); a frequent token stands for the pair it makes with one of the next tokens, as the lines share a second one in
 a prefix that is one token longer. Lines that share such a key become candidates if length, position and parities allow it, and the
 Jaccard similarity of candidates is verified on their whole sets. A line goes if an earlier line, by doc_id and place in the
-document, is similar.
+document, is similar; rows that share a doc_id are told apart by a hash of their text.
 
 Equal sets are dealt with before: only the first line of each set takes part in the join. Where many lines share a key, a
 line is first tried with a few earlier lines, and only those that match none of them with more, so that a large group of
@@ -44,9 +44,9 @@ AT_ONCE = 200_000
 #: Bits of the filters through which tokens of lines are fetched, for sets and for documents; they only save work.
 FILTER_BITS, DOC_FILTER_BITS = 27, 24
 
-#: Packed arrays of one bucket: keys of 32 bits, set ids, and compressed the lines' documents, places, sizes, the keys' positions and the lines' parities.
+#: Packed arrays of one bucket: keys of 32 bits, set ids, and compressed the lines' documents, rows, places, sizes, the keys' positions and the lines' parities.
 ENTRIES = "bucket int, key binary, id binary, rest binary"
-REST = (np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint64)
+REST = (np.int64, np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint64)
 #: Stands for a null doc_id, before all others.
 NO_DOC = np.iinfo(np.int64).min
 
@@ -77,10 +77,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, found ^ found >> np.uint64(32)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of up to LINES lines with words: documents, places in them, numbers of words, and the hashes of all words."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of up to LINES lines with words: documents, rows, places in them, numbers of words, and the hashes of all words."""
     for batch in batches:
         docs = np.array([NO_DOC if d is None else d for d in batch.column(0).to_pylist()], np.int64)
+        rows = batch.column(2).to_numpy(zero_copy_only=False)
         texts, at = [t or b"" for t in as_bytes(batch.column(1))], 0
         for group in in_turn(texts, AT_ONCE):
             data = b"\n".join(group)
@@ -88,23 +89,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             starts, hashes = word_hashes(data)
             line_of_word = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A), starts)
             sizes = np.bincount(line_of_word, minlength=int(of_doc.sum()))
-            doc_of_line = np.repeat(docs[at : at + len(group)], of_doc)
+            doc_of_line, row_of_line = (np.repeat(x[at : at + len(group)], of_doc) for x in (docs, rows))
             place = np.arange(len(sizes)) - np.repeat(np.cumsum(of_doc) - of_doc, of_doc)
             some, word = np.flatnonzero(sizes), 0
             for i in range(0, len(some), LINES):
                 part = some[i : i + LINES]
                 n = int(sizes[part].sum())
-                yield doc_of_line[part], place[part].astype(np.int32), sizes[part], hashes[word : word + n]
+                yield doc_of_line[part], row_of_line[part], place[part].astype(np.int32), sizes[part], hashes[word : word + n]
                 word += n
             at += len(group)
 
 
 def word_table(texts: DataFrame) -> np.ndarray:
-    """How many words of all texts (doc_id, text) fall into each of 2^COUNT_BITS places."""
+    """How many words of all texts (doc_id, text, row) fall into each of 2^COUNT_BITS places."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, waiting = np.zeros(1 << COUNT_BITS, np.int64), []
-        for _, _, _, found in _lines(batches):
+        for *_, found in _lines(batches):
             waiting.append((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
             if len(waiting) == 32:
                 table += np.bincount(np.concatenate(waiting), minlength=len(table))
@@ -193,7 +194,7 @@ def _packed(bucket: int, keys: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -
 
 
 def _read(parts: pd.DataFrame) -> list[np.ndarray]:
-    """Keys, set ids, documents, places, sizes and positions of packed rows."""
+    """Keys, set ids, documents, rows, places, sizes and positions of packed rows."""
     import zstandard
 
     columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint32, np.uint64, *REST)]
@@ -216,51 +217,62 @@ def _by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
         yield b, order[starts[b] : starts[b + 1]]
 
 
+def _in_order(ids: np.ndarray, docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The order of lines by set and then by document, row and place."""
+    return np.lexsort((places, rows, docs, ids) if rows.any() else (places, docs, ids))
+
+
 def line_entries(texts: DataFrame, classes, buckets: int, frequent: int) -> DataFrame:
-    """ENTRIES of ``texts`` (doc_id, text). Classes from ``frequent`` on are joined in pairs. Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set in its partition, by set, with position 0, and the other lines, which go, with position -1."""
+    """ENTRIES of ``texts`` (doc_id, text, row). Classes from ``frequent`` on are joined in pairs. Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set in its partition, by set, with position 0, and the other lines, which go, with position -1."""
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("id", pa.binary()), ("rest", pa.binary())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         first_of: list[tuple] = []
         base = 0
-        for docs, places, sizes, hashes in _lines(batches):
+        for docs, rows, places, sizes, hashes in _lines(batches):
             tokens, line, ids, parities = line_sets(sizes, hashes, classes.value)
             keys, lines, at, n = prefix_keys(tokens, line, frequent)
             parts.append((keys, lines + base, at, n[lines], *parities[:, lines]))
-            first_of.append((ids, docs, places))
+            first_of.append((ids, docs, rows, places))
             base += len(ids)
         if not base:
             return
-        ids, docs, places = (np.concatenate(x) for x in zip(*first_of))
+        ids, docs, rows, places = (np.concatenate(x) for x in zip(*first_of))
         keys, lines, at, n, low, high = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((places, docs, ids))
+        order = _in_order(ids, docs, rows, places)
         first = np.zeros(base, bool)
         first[order[np.r_[True, ids[order][1:] != ids[order][:-1]]]] = True
         chosen = first[lines]
         keys, lines, at, n, low, high = (x[chosen] for x in (keys, lines, at, n, low, high))
         for b, x in _by_bucket(keys, buckets):
             y = lines[x]
-            yield pa.RecordBatch.from_pylist([_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], places[y], n[x], at[x], low[x], high[x])], schema)
+            yield pa.RecordBatch.from_pylist([_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], rows[y], places[y], n[x], at[x], low[x], high[x])], schema)
         for b, x in _by_bucket(ids, buckets):
             none = np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], places[x], none, first[x].astype(np.int32) - 1, none, none)], schema)
+            yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], rows[x], places[x], none, first[x].astype(np.int32) - 1, none, none)], schema)
 
-    return texts.mapInArrow(released(rows), ENTRIES)
+    return texts.mapInArrow(released(entries), ENTRIES)
 
 
-def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and places of all lines of a bucket but the first of each set."""
-    _, ids, docs, places, _, j, _, _ = _read(parts)
+def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, rows and places of all lines of a bucket but the first of each set."""
+    _, ids, docs, rows, places, _, j, _, _ = _read(parts)
     gone = j < 0
     first = np.flatnonzero(~gone)
-    order = first[np.lexsort((places[first], docs[first], ids[first]))]
-    gone[order[np.r_[False, ids[order][1:] == ids[order][:-1]]]] = True
-    return docs[gone], places[gone]
+    order = first[_in_order(ids[first], docs[first], rows[first], places[first])]
+    again = np.r_[False, ids[order][1:] == ids[order][:-1]]
+    gone[order[again]] = True
+    if rows.any():
+        # equal rows are one: their lines at the first one's place are that line
+        kept, gone = order[~again], np.flatnonzero(gone)
+        of = kept[np.searchsorted(ids[kept], ids[gone])]
+        gone = gone[(docs[of] != docs[gone]) | (rows[of] != rows[gone]) | (places[of] != places[gone])]
+    return docs[gone], rows[gone], places[gone]
 
 
 #: kind 0: a line that goes. kind 1: a candidate, sets a and b, b's first line. kind 2: entries of crowded keys.
-TRIED = "kind int, a long, b long, a_doc long, doc_id long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
+TRIED = "kind int, a long, b long, a_doc long, doc_id long, row long, line int, more boolean, bucket int, key binary, id binary, rest binary, crowd_key long"
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -288,17 +300,17 @@ class Bucket:
     """The entries of a bucket whose key several sets share, the first line of each set, in the order of keys and lines."""
 
     def __init__(self, parts: pd.DataFrame):
-        keys, ids, docs, places, *rest = _read(parts)
+        keys, ids, docs, rows, places, *rest = _read(parts)
         shared = np.flatnonzero(_repeated(keys))
         rank = np.empty(len(shared), np.uint64)
-        rank[np.lexsort((places[shared], docs[shared]))] = np.arange(len(shared), dtype=np.uint64)
+        rank[np.lexsort((places[shared], rows[shared], docs[shared]) if rows.any() else (places[shared], docs[shared]))] = np.arange(len(shared), dtype=np.uint64)
         # the first line of each set for each key, then by key and line
         order = np.lexsort((rank, ids[shared], keys[shared]))
         k, i = keys[shared[order]], ids[shared[order]]
         order = order[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]] if len(order) else order
         shared = shared[order[np.argsort(keys[shared[order]].astype(np.uint64) << np.uint64(32) | rank[order])]]
-        self.columns = [x[shared] for x in (keys, ids, docs, places, *rest)]
-        self.keys, self.ids, self.docs, self.places, n, j, self.low, self.high = self.columns
+        self.columns = [x[shared] for x in (keys, ids, docs, rows, places, *rest)]
+        self.keys, self.ids, self.docs, self.rows, self.places, n, j, self.low, self.high = self.columns
         # tokens, and those from the key's on
         self.n, self.left = n, n - j
         starts = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, np.int64)
@@ -363,22 +375,22 @@ def _tried(parts: pd.DataFrame, crowd: int, heads: int) -> pd.DataFrame:
     bucket = int(parts["bucket"].iloc[0])
     names = [c.split()[0] for c in TRIED.split(", ")]
     if bucket < 0:
-        docs, places = _later_copies(parts)
-        return pd.DataFrame({"kind": 0, "doc_id": docs, "line": places}).reindex(columns=names)
+        docs, rows, places = _later_copies(parts)
+        return pd.DataFrame({"kind": 0, "doc_id": docs, "row": rows, "line": places}).reindex(columns=names)
     x = Bucket(parts)
     a, b, more = x.likeliest(crowd, heads)
     signed, found = x.ids.view(np.int64), a >= 0
-    columns = {"a": np.where(found, signed[a], signed[b]), "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "line": x.places[b], "more": more, "crowd_key": x.keys[b].astype(np.int64)}
+    columns = {"a": np.where(found, signed[a], signed[b]), "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "row": x.rows[b], "line": x.places[b], "more": more, "crowd_key": x.keys[b].astype(np.int64)}
     out = pd.DataFrame({"kind": 1, **columns, "bucket": bucket, "key": None, "id": None, "rest": None})[names]
     if not more.any():
         return out
     kept = np.flatnonzero(np.isin(x.starts, x.starts[b[more]]))
     # whole numbers beside missing ones would become doubles
-    rest = pd.DataFrame([_packed(bucket, *(c[kept] for c in x.columns)) | {"kind": 2, "a": 0, "b": 0, "a_doc": 0, "doc_id": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
+    rest = pd.DataFrame([_packed(bucket, *(c[kept] for c in x.columns)) | {"kind": 2, "a": 0, "b": 0, "a_doc": 0, "doc_id": 0, "row": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
     return pd.concat([out, rest], ignore_index=True)
 
 
-OTHERS = "a long, b long, a_doc long, doc_id long, line long, more boolean, bucket int, crowd_key long"
+OTHERS = "a long, b long, a_doc long, doc_id long, row long, line long, more boolean, bucket int, crowd_key long"
 
 
 def _others(most: int | None):
@@ -389,7 +401,7 @@ def _others(most: int | None):
         x = Bucket(parts)
         a, b, more = x.all_pairs(set(zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist())), most)
         signed = x.ids.view(np.int64)
-        columns = {"a": signed[a], "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "line": x.places[b].astype(np.int64), "more": more}
+        columns = {"a": signed[a], "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "row": x.rows[b], "line": x.places[b].astype(np.int64), "more": more}
         return pd.DataFrame(columns | {"bucket": int(parts["bucket"].iloc[0]), "crowd_key": x.keys[b].astype(np.int64)})
 
     return find
@@ -420,7 +432,7 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, _, sizes, hashes in _lines(chosen_docs(batches)):
+        for *_, sizes, hashes in _lines(chosen_docs(batches)):
             tokens, line, ids, _ = line_sets(sizes, hashes, classes.value)
             signed = ids.view(np.int64)
             hit = _may_hold(held.value[0], signed)
@@ -434,7 +446,10 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
 
 
 def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, heads: int = HEADS, nearest: int = NEAREST) -> DataFrame:
-    """(doc_id, line): the lines of ``texts`` (doc_id, text) that an earlier similar line makes superfluous; NO_DOC is the null doc_id."""
+    """(doc_id, row, line): the lines of ``texts`` (doc_id, text, row) that an earlier similar line makes superfluous; NO_DOC is the null doc_id.
+
+    Earlier is by doc_id, row and place; rows that agree in doc_id and ``row`` have equal texts and are one document.
+    """
     spark = texts.sparkSession
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = word_table(texts)
@@ -442,14 +457,14 @@ def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUE
     least = max(frequent, int(LOAD * table.mean()))
     first = lambda parts: _tried(parts, crowd, heads)
     tried = cut(line_entries(texts, classes, buckets, int(rarity_classes(np.array([least]))[0])).groupBy("bucket").applyInPandas(first, TRIED))
-    gone = tried.where("kind = 0").select("doc_id", "line")
-    place = F.struct("doc_id", F.col("line").cast("int").alias("line"))
+    gone = tried.where("kind = 0").select("doc_id", "row", "line")
+    place = F.struct("doc_id", "row", F.col("line").cast("int").alias("line"))
     pairs = tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min("a_doc").alias("a_doc"), F.min(place).alias("at"))
     # with the set that is the likeliest for most keys; the others only for lines that don't match it
     best = F.max_by(F.struct("a", "a_doc"), F.struct("keys", "a")).alias("best")
     best = cut(pairs.groupBy("b").agg(best, F.min("at").alias("at")).select("best.a", "b", "best.a_doc", "at"))
     matched = cut(_verified(texts, classes, best))
-    gone = gone.union(matched.select("at.doc_id", "at.line"))
+    gone = gone.union(matched.select("at.doc_id", "at.row", "at.line"))
     kept = tried.where("kind = 2").select("bucket", "key", "id", "rest").toDF("bucket", "key", "id", "rest")
     open_, done = tried.where("kind = 1 and more").select("bucket", "crowd_key", "b"), best.select("a", "b")
     rest = pairs.select("a", "b", "a_doc", "at").join(matched.select("b"), "b", "left_anti").select("a", "b", "a_doc", "at")
@@ -460,7 +475,7 @@ def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUE
         waiting = cut(waiting.join(done, ["a", "b"], "left_anti"))
         if not waiting.isEmpty():
             matched = cut(_verified(texts, classes, waiting))
-            gone = gone.union(matched.select("at.doc_id", "at.line"))
+            gone = gone.union(matched.select("at.doc_id", "at.row", "at.line"))
         open_ = found.where("more").select("bucket", "crowd_key", "b").distinct().toDF("bucket", "crowd_key", "b")
         if open_.isEmpty():
             break
@@ -483,14 +498,21 @@ def dedup_lines(docs: DataFrame, **tuning) -> DataFrame:
     """``docs`` with its columns; lines of ``text`` that are similar to an earlier line are gone, and n_chars, if it is there, is the new length.
 
     Lines end at line breaks; earlier is by doc_id (null first) and then by place. Lines without words stay, and so do
-    documents that lose all lines (their text is then empty); a null text stays null. Rows that share a doc_id are one
-    document: what is removed by its place is removed from each of them, and equal rows don't remove each other's lines.
-    An empty table gives no row. Other columns are carried along.
+    documents that lose all lines (their text is then empty); a null text stays null. Rows that share a doc_id, or have none,
+    are documents of their own, ordered by a hash of the text. Only rows with equal doc_id and equal text are one document:
+    each of them loses what it repeats of earlier documents, and they don't remove each other's lines. An empty table gives
+    no row. Other columns are carried along.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = removed_lines(texts, **tuning).groupBy("doc_id").agg(F.collect_list("line").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    most = docs.groupBy(doc_id.alias("doc_id")).count().agg(F.max("count")).first()[0]
+    own_row = lambda t: F.xxhash64(t) if (most or 0) > 1 else F.lit(0).cast("long")
+    texts = docs.select(doc_id.alias("doc_id"), text.alias("text"), own_row(text).alias("row"))
+    gone = removed_lines(texts, **tuning).groupBy("doc_id", "row").agg(F.collect_list("line").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
     row = docs.select(F.struct(*docs.columns).alias("row"))
-    joined = row.join(gone, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(int(NO_DOC))) == F.col("gone_id"), "left")
+    same = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(int(NO_DOC))) == F.col("gone_id")
+    if (most or 0) > 1:
+        same = same & (own_row(F.col("row.text").cast("string")) == F.col("gone_row"))
+    joined = row.join(gone, same, "left")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:

@@ -211,6 +211,20 @@ def test_line_dedup(spark, docs, empty, tuning):
         assert linededup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("tuning", [{}, {"crowd": 1, "frequent": 0, "heads": 1}])
+def test_line_dedup_loses_no_line_of_repeated_rows_and_null_ids(spark, tuning):
+    line = lambda name: " ".join(f"{name}{i}" for i in range(10))
+    once, shared, near = line("u"), line("s"), line("s").replace("s9", "z")
+    rows = [(7, f"{once}\n{line('v')}", "s")] * 5 + [(None, f"{shared}\n{line('p')}", "s"), (None, f"{shared}\n{line('q')}", "s")]
+    rows += [(None, f"{near}\n{line('r')}", "s"), (8, f"{line('t')}\n{once}", "s"), (9, f"{line('x')}\n{line('y')}", "s"), (9, f"{line('t')}\n{line('w')}", "s")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(make(spark, rows), **tuning).collect())
+    # repeated rows are one document; a null id isn't, and one of its three like lines stays
+    assert got[7, rows[0][1]] == 5 and got[8, line("t")] == 1 and got[9, rows[9][1]] == 1 and got[9, line("w")] == 1
+    left = [text.split("\n") for doc, text in got.elements() if doc is None]
+    assert sorted(x[-1] for x in left) == [line("p"), line("q"), line("r")]
+    assert [x[0] for x in left if len(x) == 2] in ([shared], [near])
+
+
 # ---- 5
 
 
