@@ -2,8 +2,9 @@
 
 Documents are encoded in blocks: the distinct words of a block, and each token as the number of its word. Counts go
 between blocks as packed buckets, by a hash of the word or of the context, so what is shuffled is distinct words and distinct
-contexts of a block, never tokens. Contexts are counted over all training documents; the model keeps those that make up a
-fixed share of all symbols, so its size is bounded whatever the corpus.
+contexts of a block, never tokens. Contexts are counted over all training documents and all are kept: the model lies in
+buckets by the last two bytes of context, and what a block has to look up goes to the buckets, whose scores come back. Only
+counts of single bytes and of pairs of bytes, at most 65,792, are held everywhere.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from . import ppm
 from .common import as_bytes, cut, documents, held_out, in_turn, released
 
 FOLDS = 5
-#: Bytes of text in a block, about, unless a text is longer; bytes of text that are scored together.
-BLOCK_BYTES, AT_ONCE = 32_000_000, 4_000_000
+#: Bytes of text in a block, about, unless a text is longer; bytes of text and entries that are scored together.
+BLOCK_BYTES, AT_ONCE, SCORED_AT_ONCE = 32_000_000, 4_000_000, 1_000_000
 #: Bits of a word's hash by which a block's words are in order.
 HASH_BITS = 16
 LEAST_BUCKETS = 16
 
-BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, n_tokens binary, tokens binary, words binary, hashes binary, counts binary, train_docs long, train_words long, train_symbols long"
+BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, n_tokens binary, tokens binary, words binary, hashes binary, counts binary, train_docs long, train_words long, pair_keys array<int>, pair_counts array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -43,6 +44,7 @@ class Block:
         self.held: list[bool] = []
         self.tokens: list[np.ndarray] = []
         self.bytes = 0
+        self.pairs, self.waiting, self.waiting_bytes = np.zeros(1 << 16, np.int64), [], 0
 
     def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
         words = text.lower().split()
@@ -50,6 +52,15 @@ class Block:
         self.held.append(held)
         self.tokens.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.bytes += len(text)
+        if not held:
+            self.waiting.append(b" ".join(words))
+            self.waiting_bytes += len(text)
+            if self.waiting_bytes > AT_ONCE:
+                self._count_pairs()
+
+    def _count_pairs(self) -> None:
+        self.pairs += ppm.pair_counts(self.waiting)
+        self.waiting, self.waiting_bytes = [], 0
 
     def row(self, block_id: int) -> pa.RecordBatch:
         words, n = list(self.numbers), len(self.numbers)
@@ -61,13 +72,13 @@ class Block:
         learned = [t for t, held in zip(tokens, self.held) if not held]
         counts = np.bincount(np.concatenate(learned), minlength=n) if learned else np.zeros(n, np.int64)
         words = [words[i] for i in order]
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        symbols = int(counts @ (lengths + 1)) + sum(not len(t) for t in learned)  # each word and its space or end mark
+        self._count_pairs()
+        pairs = np.flatnonzero(self.pairs)
         values = [
             block_id, self.doc_ids, self.held, np.array([len(t) for t in tokens], np.int64).tobytes(), np.concatenate(tokens).tobytes(), b"\n".join(words),
-            hashes[order].astype(np.uint16).tobytes(), counts.tobytes(), len(learned), sum(map(len, learned)), symbols,
+            hashes[order].astype(np.uint16).tobytes(), counts.tobytes(), len(learned), sum(map(len, learned)), pairs, self.pairs[pairs],
         ]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
@@ -125,74 +136,90 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(merge, "block_id long, bucket int, counts binary, distinct long")
 
 
-def _normalised(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").lower().split())
+def _texts(row: dict) -> list[bytes]:
+    """The normalised texts of a block."""
+    words = row["words"].split(b"\n")
+    tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["n_tokens"], np.int64)
+    ends = np.cumsum(sizes)
+    return [b" ".join(map(words.__getitem__, tokens[e - s : e].tolist())) for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def count_contexts(texts: DataFrame, buckets: int, least: float, order: int = ppm.ORDER) -> DataFrame:
-    """(kind, keys, counts): the packed entries (kind 0 to order) and contexts (kind 100 and on) of ``texts`` (text) that occur ``least`` times or more.
+def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of ``texts`` in order and how often each occurs."""
+    keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    folded = lambda: ppm.count_keys(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([counts, *(c for _, c in parts)]))
+    for group in in_turn(texts, AT_ONCE):
+        parts.append(ppm.count_keys(ppm.entry_keys(ppm.windows(group)[0], order)))
+        if sum(len(k) for k, _ in parts) > max(4_000_000, 2 * len(keys)):
+            (keys, counts), parts = folded(), []
+    return folded()
 
-    Those of the two lowest orders are parts that have still to be added up. Buckets go by the last two bytes of context,
-    which entries and contexts of all other orders share.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+def block_entries(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
+    """(block_id, bucket, entries): the distinct entries of each block, packed, and how often its training documents have them.
 
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            return ppm.count_keys(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([counts, *(c for _, c in parts)]))
+    Buckets go by the last two bytes of context, which entries and contexts of all orders but the two lowest share.
+    """
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in in_turn([_normalised(t) for t in as_bytes(batch.column(0))], AT_ONCE):
-                parts.append(ppm.count_keys(ppm.entry_keys(ppm.windows(group)[0], order)))
-                if sum(len(k) for k, _ in parts) > max(4_000_000, 2 * len(keys)):
-                    (keys, counts), parts = folded(), []
-        keys, counts = folded()
-        if len(keys):
-            bucket = _mixed(keys >> np.uint64(8 * (order - 2)) & np.uint64(0xFFFF), buckets)
-            by = np.argsort(bucket, kind="stable")
-            starts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(starts)).tolist():
-                part = by[starts[b] : starts[b + 1]]
-                yield _packed(b, keys[part], counts[part])
+            for row in batch.to_pylist():
+                texts = _texts(row)
+                keys, counts = _distinct([t for t, held in zip(texts, row["held"]) if not held], order)
+                others, none = _distinct([t for t, held in zip(texts, row["held"]) if held], order)
+                keys, counts = ppm.count_keys(np.concatenate([keys, others]), np.concatenate([counts, 0 * none]))
+                for b, part in _by_bucket(keys, buckets, order):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block_id"]], pa.int64()), pa.array([b], pa.int32()), pa.array([_packed(keys[part], counts[part])])], names=["block_id", "bucket", "entries"])
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        read = lambda name, t: np.concatenate([np.frombuffer(x, t) for x in parts[name]])
-        entries = ppm.count_keys(read("keys", np.uint64), read("counts", np.int64))
-        out = []
-        for k in range(order, -1, -1):
-            few = 0.0 if k < 2 else least
-            out.append((k, *ppm.strong(*entries, few)))
-            out.append((100 + k, *ppm.strong(*ppm.context_totals(*entries, k), few)))
+    return blocks.select("block_id", "held", "n_tokens", "tokens", "words").mapInArrow(released(split), "block_id long, bucket int, entries binary")
+
+
+def entry_scores(entries: DataFrame, pairs: np.ndarray, order: int) -> DataFrame:
+    """(block_id, bucket, scores): log10 of the probability of each of a block's entries of a bucket, after all training documents.
+
+    ``pairs`` are the counts of pairs of bytes in training documents.
+    """
+    low = ppm.low_orders(pairs)
+
+    def score(parts: pd.DataFrame) -> pd.DataFrame:
+        each = [_unpacked(x) for x in parts["entries"]]
+        keys, counts = ppm.count_keys(*(np.concatenate(x) for x in zip(*each)))
+        entries = keys[counts > 0], counts[counts > 0]
+        found, totals = [], []
+        for k in range(order, 1, -1):
+            found.insert(0, entries)
+            totals.insert(0, ppm.context_totals(*entries, k))
             entries = ppm.shorter(*entries)
-        return pd.DataFrame([(k, a.tobytes(), c.astype(np.int64).tobytes()) for k, a, c in out], columns=["kind", "keys", "counts"])
+        model = ppm.Model([e for e, _ in low] + found, [t for _, t in low] + totals)
+        scores = [np.zeros(0, np.float32)]
+        for i in range(0, len(keys), SCORED_AT_ONCE):
+            scores.append(model.score(keys[i : i + SCORED_AT_ONCE] << np.uint64(8 * (7 - order))).astype(np.float32))
+        scores = np.concatenate(scores)
+        return pd.DataFrame({"block_id": parts["block_id"], "bucket": parts["bucket"], "scores": [scores[np.searchsorted(keys, k)].tobytes() for k, _ in each]})
 
-    packed = texts.select("text").mapInArrow(released(count), "bucket int, keys binary, counts binary")
-    return packed.groupBy("bucket").applyInPandas(merge, "kind int, keys binary, counts binary")
+    return entries.groupBy("bucket").applyInPandas(score, "block_id long, bucket int, scores binary")
 
 
-def _mixed(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values * ppm.MIX) >> np.uint64(40)).astype(np.int64) % buckets
+def _by_bucket(keys: np.ndarray, buckets: int, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets and the places of their entries, in order."""
+    bucket = ((keys >> np.uint64(8 * (order - 2)) & np.uint64(0xFFFF)) * ppm.MIX >> np.uint64(40)).astype(np.int64) % buckets
+    by = np.argsort(bucket, kind="stable")
+    starts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(starts)).tolist():
+        yield b, by[starts[b] : starts[b + 1]]
 
 
-def _packed(bucket: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    values = [bucket, keys.tobytes(), counts.astype(np.int64).tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + counts.astype(np.int64).tobytes())
 
-def train(texts: DataFrame, buckets: int, symbols: int, order: int = ppm.ORDER, share: float = ppm.KEPT_SHARE) -> ppm.Model:
-    """The model of ``texts`` (text), which have ``symbols`` symbols; at most 1 / share entries of each order reach the driver."""
-    least = symbols * share
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-    for row in count_contexts(texts, buckets, least, order).toLocalIterator():
-        parts[row["kind"]].append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)))
 
-    def total(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts[kind])])
-        counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts[kind])])
-        return ppm.strong(*ppm.count_keys(keys, counts), least)
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
 
-    return ppm.Model([total(k) for k in range(order + 1)], [total(100 + k) for k in range(order + 1)])
+    data = zstandard.ZstdDecompressor().decompress(data)
+    return np.cumsum(np.frombuffer(data, np.uint64, len(data) // 16)), np.frombuffer(data, np.int64, offset=len(data) // 2)
 
 
 def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
@@ -204,12 +231,15 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long"), FOLDS).alias("held"), F.col("text").cast("string").alias("text"))
     blocks = cut(encode_blocks(read))
-    sums = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("train_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("train_symbols"), F.lit(0)).alias("symbols")).first()
+    sums = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("train_words"), F.lit(0)).alias("words")).first()
     # four for each block, so that what a bucket gathers is a fraction of what a block holds
     buckets = min(1 << HASH_BITS, max(LEAST_BUCKETS, 4 << (max(1, sums["n"]) - 1).bit_length()))
     counts = cut(word_counts(blocks, buckets))
-    model = train(read.where("not held"), buckets, sums["symbols"], order)
-    held_model = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the share of symbols that is kept
+    pairs = np.zeros(1 << 16, np.int64)
+    pair = F.explode(F.arrays_zip("pair_keys", "pair_counts")).alias("p")
+    for row in blocks.select(pair).groupBy("p.pair_keys").agg(F.sum("p.pair_counts").alias("n")).collect():  # 65,536 at most
+        pairs[row["pair_keys"]] = row["n"]
+    looked_up = entry_scores(block_entries(blocks, buckets, order), pairs, order)
     n_docs, distinct = sums["docs"], counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
 
     total, kinds = sums["words"] + n_docs, distinct + (n_docs > 0)
@@ -218,17 +248,23 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
     def score(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
-        row, model = block.iloc[0], held_model.value
-        words = row["words"].split(b"\n")
+        row = block.iloc[0]
         tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["n_tokens"], np.int64)
-        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in found.sort_values("bucket")["counts"])])
+        found = found.sort_values("bucket")
+        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in found["counts"] if x is not None)])
         ends = np.cumsum(sizes)
         by_doc = lambda each: np.diff(np.r_[0, np.r_[0, np.cumsum(each[tokens])][ends]])
-        texts = [b" ".join(map(words.__getitem__, tokens[e - s : e].tolist())) for s, e in zip(sizes.tolist(), ends.tolist())]
-        scores = []
+        texts = _texts(row)
+        keys, _ = _distinct(texts, order)
+        of_key = np.zeros(len(keys), np.float32)
+        some = {b: x for b, x in zip(found["bucket"], found["scores"]) if x is not None}
+        for b, part in _by_bucket(keys, buckets, order):
+            of_key[part] = np.frombuffer(some[b], np.float32)
+        table, scores = ppm.Table(keys), []
         for group in in_turn(texts, AT_ONCE):
             windows, lengths = ppm.windows(group)
-            scores.append(np.add.reduceat(model.score(windows), np.r_[0, np.cumsum(lengths)[:-1]]))
+            each = of_key[table.find(ppm.entry_keys(windows, order))].astype(np.float64)
+            scores.append(np.add.reduceat(each, np.r_[0, np.cumsum(lengths)[:-1]]))
         return pd.DataFrame({
             "doc_id": pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], dtype="Int64"),
             "held_out": row["held"], "n_tokens": sizes + 1, "n_known": by_doc((c > 0).astype(np.int64)) + (n_docs > 0), "train_tokens": total,
@@ -236,7 +272,9 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
         })
 
     left = blocks.select("block_id", "doc_ids", "held", "n_tokens", "tokens", "words")
-    return left.groupBy("block_id").cogroup(counts.select("block_id", "bucket", "counts").groupBy("block_id")).applyInPandas(score, SCORES)
+    back = counts.select("block_id", "bucket", "counts", F.lit(None).cast("binary").alias("scores"))
+    back = back.union(looked_up.select("block_id", "bucket", F.lit(None).cast("binary"), "scores"))
+    return left.groupBy("block_id").cogroup(back.groupBy("block_id")).applyInPandas(score, SCORES)
 
 
 def op6_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

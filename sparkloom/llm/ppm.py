@@ -17,8 +17,6 @@ ORDER, DISCOUNT = 6, 0.5
 SPACE, END = 0x20, 0x0A
 #: 256 bytes: the space ends words, the line break (never part of a word) ends texts.
 SYMBOLS = 256
-#: An entry or context is kept if it makes up this share of all symbols at least, so there are at most 1 / KEPT_SHARE of each for each order.
-KEPT_SHARE = 1 / 2**20
 PAD = bytes([SPACE]) * 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,12 +98,12 @@ class Table:
 
 
 class Model:
-    """The trie of entries (context and symbol) and contexts that are common enough, ready for lookups."""
+    """The trie of entries (context and symbol) and contexts ready for lookups."""
 
     def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
         """``entries`` and ``totals`` by order: keys and counts of entries, keys and totals of contexts.
 
-        What is kept of one order must be kept, one byte shorter, of the order below; each entry's context must be kept.
+        What is there of one order must be there, one byte shorter, of the order below; each entry's context must be there.
         """
         self.order = len(entries) - 1
         self.entries = [Table(k) for k, _ in entries]
@@ -157,10 +155,20 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-30)).astype(np.float32)
 
 
-def strong(keys: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that occur ``least`` times or more, and their counts."""
-    enough = counts >= least
-    return keys[enough], counts[enough]
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each byte (times 1) and symbol after it (times 256) occur in normalised ``texts``, as entries of order 1."""
+    joined = np.frombuffer(b"".join([part for text in texts for part in (b" ", text, b"\n")]), np.uint8)
+    table = np.bincount(joined[:-1] + np.uint16(256) * joined[1:], minlength=1 << 16)
+    table[END::256] = 0  # the space before the next text
+    return table
+
+
+def low_orders(pairs: np.ndarray) -> list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """Entries and contexts of orders 0 and 1, from counts of pairs."""
+    keys = np.flatnonzero(pairs)
+    one = keys.astype(np.uint64), pairs[keys]
+    zero = shorter(*one)
+    return [(zero, context_totals(*zero, 0)), (one, context_totals(*one, 1))]
 
 
 def shorter(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -346,6 +346,23 @@ def test_prediction_by_partial_matching():
     assert float((10 ** model.score(follow)).sum()) == pytest.approx(1, abs=1e-4)
 
 
+def test_rare_contexts_of_large_corpora_are_kept(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400))
+    rows = [(i, text(), "s") for i in range(1200)] + [(5000, "", "s"), (5001, None, "s"), (None, "a b", "s")]
+    train = [b" ".join((t or "").encode().split()) for i, t, _ in rows if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1]
+    assert sum(map(len, train)) > 2**21  # where entries that occur once made up less than 1 in 2^20
+    got = {key(r["doc_id"]): r["score"] for r in lmscore.score_documents(make(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    entries = [ppm.count_keys(ppm.entry_keys(ppm.windows(train)[0], ppm.ORDER))]
+    for _ in range(ppm.ORDER):
+        entries.insert(0, ppm.shorter(*entries[0]))
+    model = ppm.Model(entries, [ppm.context_totals(k, c, i) for i, (k, c) in enumerate(entries)])
+    for i, t, _ in (*rows[:6], *rows[-3:]):
+        windows = ppm.windows([b" ".join((t or "").encode().split())])[0]
+        assert got[key(i)] == pytest.approx(float(model.score(windows).sum()), rel=1e-4)
+
+
 def test_untrained_model_is_even():
     model = ppm.Model([(np.zeros(0, np.uint64), np.zeros(0))] * 3, [(np.zeros(0, np.uint64), np.zeros(0))] * 3)
     assert model.score(ppm.windows([b"ab"])[0]).tolist() == [-math.log10(256)] * 3
