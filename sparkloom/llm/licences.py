@@ -73,8 +73,8 @@ RULES = (
     ("MPL-2.0", (29,)),
     ("proprietary", (30,)),
 )
-#: A text without any of these has no known sentence.
-ANCHORS = "licen|copyright|warrant|redistribut|permission|public domain|rights reserved"
+#: A text without any of these has no known sentence. Each lies in one word, so that it doesn't matter what stands between words.
+ANCHORS = "licen|copyright|warrant|redistribut|permission|unencumbered|reserved"
 SENTENCE_END = r"[.!?]+([ \t\r\n]+|\z)"
 
 

@@ -150,6 +150,12 @@ def test_licences(spark, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_licence_anchors_hold_across_lines(spark):
+    rows = [(1, "This is free and unencumbered software released into the public\ndomain.", "s"), (2, "All rights\nreserved.", "s"), (3, "All  rights - reserved", "s")]
+    got = {r["doc_id"]: (r["n_sentences"], r["licences"]) for r in licences.scan_licences(make(spark, rows)).collect()}
+    assert got == {1: (1, "Unlicense"), 2: (1, "proprietary"), 3: (2, "proprietary")}
+
+
 def test_licence_sentences_are_normal_and_anchored():
     for s in licences.SENTENCES:
         assert re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", s) and re.search(licences.ANCHORS, s)
