@@ -7,6 +7,7 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ def ascii_lower(column: Column) -> Column:
 
 
 def set_up_checkpoints(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only without it (as in tests) a folder is made."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only on one machine (as in tests) one is made without it."""
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoint-"))
 
 
@@ -43,8 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     return done
 
 
-def released(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``rows``, after which the Python worker, which waits for other tasks, gives memory back."""
+#: Bytes of an Arrow batch, about: a task's memory doesn't grow with the length of texts times a fixed number of rows.
+BATCH_BYTES = 4_194_304
+
+
+def arrow_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``rows`` of each partition, in batches of BATCH_BYTES, a setting that stays with the session; then the Python worker, which waits for other tasks, gives memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
@@ -54,7 +62,73 @@ def released(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         if hasattr(libc, "malloc_trim"):
             libc.malloc_trim(0)
 
-    return run
+    return df.mapInArrow(run, schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, out of the way of names that an operator adds; getField takes them out again."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns))
+
+
+#: Places of a table that are added up and sent together, and values that a task counts at a time.
+PART_BITS, COUNTED_AT_ONCE = 16, 4_000_000
+
+
+def packed_table(
+    df: DataFrame, places: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, kind: np.dtype, finish: Callable[[np.ndarray], np.ndarray]
+) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(first place, what ``finish`` makes of the counts, their sum) for each part of a table of 2^``bits`` places that has any of the ``places`` of ``df``.
+
+    Places are counted in each task before they are sent, packed by part; executors add up the parts, row by row, held as
+    ``kind`` (of one byte: whether there is any). What reaches the driver has a fixed size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            found = np.sort(np.concatenate(waiting).astype(np.uint32))
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            n, found = np.diff(np.r_[first, len(found)]).astype(np.uint32), found[first]
+            part, at = found >> np.uint32(PART_BITS), found.astype(np.uint16)
+            parts = np.unique(part)
+            edges = [*np.searchsorted(part, parts).tolist(), len(part)]
+            slices = [slice(a, b) for a, b in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([at[s].tobytes() for s in slices]), pa.array([n[s].tobytes() for s in slices])], names=["part", "at", "n"])
+
+        for found in places(batches):
+            if len(found):
+                waiting.append(found)
+            if sum(map(len, waiting)) >= COUNTED_AT_ONCE:
+                yield counted()
+                waiting = []
+        if waiting:
+            yield counted()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        totals: dict[int, int] = {}
+        for batch in batches:
+            for p, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                at, n = np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint32)
+                if p not in tables:
+                    tables[p], totals[p] = np.zeros(1 << PART_BITS, kind), 0
+                if kind.itemsize == 1:
+                    tables[p][at] = 1
+                else:
+                    tables[p][at] += n
+                totals[p] += int(n.sum())
+        for p, table in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p << PART_BITS]), pa.array([finish(table).tobytes()]), pa.array([totals[p]])], names=["first", "data", "n"])
+
+    dealt = arrow_rows(df, count, "part int, at binary, n binary").repartition(F.col("part"))
+    for row in arrow_rows(dealt, add, "first long, data binary, n long").collect():
+        yield row["first"], np.frombuffer(row["data"], np.uint8), row["n"]
 
 
 def in_turn(texts: list[bytes], at_once: int) -> Iterator[list[bytes]]:

@@ -22,19 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, documents, in_turn, released
+from .common import arrow_rows, as_bytes, cut, documents, in_turn, packed_table, whole_row
 
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bits of the table of word counts; tokens in places with more than FREQUENT words, and LOAD times as many as places have on average, are joined in pairs.
-COUNT_BITS, FREQUENT, LOAD = 21, 256, 8
-#: Places of the table in a row.
-PART = 65_536
+COUNT_BITS, FREQUENT, LOAD = 24, 256, 8
+#: Entries that a task collects before it sends them on, and words of all lines for each bucket of entries.
+SENT_AT_ONCE, BUCKET_WORDS = 500_000, 1_000_000
 #: In a key with more lines a line is at first tried with so many of the earliest alone.
 CROWDED = 256
 HEADS = 16
 #: Candidates of a line for each key, the likeliest, that are tried before all.
-NEAREST = 8
+NEAREST = 3
+#: Sets of so many tokens do with half the parities.
+FEW_TOKENS = 72
 #: Lines that are sorted together, and the bits of a token: its rarity and its hash.
 LINES, LINE_BITS, RARITY_BITS, HASH_BITS = 4096, 12, 6, 46
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,44 +102,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             at += len(group)
 
 
-def word_table(texts: DataFrame) -> np.ndarray:
-    """How many words of all texts (doc_id, text, row) fall into each of 2^COUNT_BITS places."""
+def word_classes(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """A class of rarity for each of 2^COUNT_BITS places into which the words of all texts (doc_id, text, row) fall, and the number of words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, waiting = np.zeros(1 << COUNT_BITS, np.int64), []
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for *_, found in _lines(batches):
-            waiting.append((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
-            if len(waiting) == 32:
-                table += np.bincount(np.concatenate(waiting), minlength=len(table))
-                waiting = []
-        if waiting:
-            table += np.bincount(np.concatenate(waiting), minlength=len(table))
-        for i in range(0, len(table), PART):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([table[i : i + PART].tobytes()])], names=["at", "n"])
+            yield found >> np.uint64(64 - COUNT_BITS)
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": parts["at"].iloc[:1], "n": [sum(np.frombuffer(n, np.int64) for n in parts["n"]).tobytes()]})
-
-    table = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in texts.mapInArrow(released(count), "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").collect():
-        table[row["at"] : row["at"] + PART] = np.frombuffer(row["n"], np.int64)
-    return table
+    n_words = 0
+    classes = np.zeros(1 << COUNT_BITS, np.uint8)
+    for at, part, n in packed_table(texts, places, COUNT_BITS, np.dtype(np.int64), rarity_classes):
+        classes[at : at + len(part)] = part
+        n_words += n
+    return classes, n_words
 
 
 def rarity_classes(table: np.ndarray) -> np.ndarray:
     """A class for each place of the table: 0 for a single word, then by half steps of the logarithm."""
     steps = np.floor(2 * np.log2(np.maximum(table, 1))).astype(np.int64) + (table > 1)
-    return np.minimum(steps, (1 << RARITY_BITS) - 1).astype(np.uint64)
+    return np.minimum(steps, (1 << RARITY_BITS) - 1).astype(np.uint8)
 
 
 def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lines with ``sizes`` words: distinct tokens by line and rarity, the number of the line of each, and each line's set id and parities, two words.
 
-    A token stands for one of 128 bits; a bit of the parities tells whether the set has an odd number of its tokens. So the
-    parities of two sets differ in no more bits than the sets differ in tokens.
+    A token stands for one of 64 bits and, in sets of more than FEW_TOKENS, for one of 128; a bit of the parities tells whether
+    the set has an odd number of its tokens. So the parities of two sets differ in no more bits than the sets differ in
+    tokens. The second word has the odd half of the 128 bits, the first both halves added up.
     """
     line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    rarity = classes[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    rarity = classes[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
     packed = line << np.uint64(64 - LINE_BITS) | rarity << np.uint64(HASH_BITS) | hashes & np.uint64((1 << HASH_BITS) - 1)
     packed.sort()
     packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
@@ -147,7 +141,8 @@ def line_sets(sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> tup
     mixed ^= mixed >> np.uint64(29)
     starts = np.searchsorted(line, np.arange(len(sizes)))
     bit, high = np.uint64(1) << (mixed & np.uint64(63)), mixed >> np.uint64(6) & np.uint64(1)
-    parities = np.stack([np.bitwise_xor.reduceat(bit * (high ^ np.uint64(1)), starts), np.bitwise_xor.reduceat(bit * high, starts)])
+    parities = np.stack([np.bitwise_xor.reduceat(bit, starts), np.bitwise_xor.reduceat(bit * high, starts)])
+    parities[1, np.diff(np.r_[starts, len(line)]) <= FEW_TOKENS] = 0
     return tokens, line, np.add.reduceat(mixed, starts), parities
 
 
@@ -193,12 +188,12 @@ def _packed(bucket: int, keys: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -
     return {"bucket": bucket, "key": keys.astype(np.uint32).tobytes(), "id": ids.tobytes(), "rest": zstandard.ZstdCompressor(level=1).compress(data)}
 
 
-def _read(parts: pd.DataFrame) -> list[np.ndarray]:
+def _read(parts: pa.Table) -> list[np.ndarray]:
     """Keys, set ids, documents, rows, places, sizes and positions of packed rows."""
     import zstandard
 
     columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint32, np.uint64, *REST)]
-    for key, id_, rest in zip(parts["key"], parts["id"], parts["rest"]):
+    for key, id_, rest in zip(*(parts.column(c).to_pylist() for c in ("key", "id", "rest"))):
         data, at = zstandard.ZstdDecompressor().decompress(rest), 0
         columns[0].append(np.frombuffer(key, np.uint32))
         columns[1].append(np.frombuffer(id_, np.uint64))
@@ -223,39 +218,51 @@ def _in_order(ids: np.ndarray, docs: np.ndarray, rows: np.ndarray, places: np.nd
 
 
 def line_entries(texts: DataFrame, classes, buckets: int, frequent: int) -> DataFrame:
-    """ENTRIES of ``texts`` (doc_id, text, row). Classes from ``frequent`` on are joined in pairs. Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set in its partition, by set, with position 0, and the other lines, which go, with position -1."""
+    """ENTRIES of ``texts`` (doc_id, text, row). Classes from ``frequent`` on are joined in pairs.
+
+    Buckets from 0 on hold prefix keys; bucket -1 - b holds lines without keys: the first of each set among those that a task
+    sends together, by set, with position 0, and the other lines, which go, with position -1. A task holds SENT_AT_ONCE
+    entries, whatever its input; rows are never more than entries.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("id", pa.binary()), ("rest", pa.binary())])
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        first_of: list[tuple] = []
-        base = 0
-        for docs, rows, places, sizes, hashes in _lines(batches):
-            tokens, line, ids, parities = line_sets(sizes, hashes, classes.value)
-            keys, lines, at, n = prefix_keys(tokens, line, frequent)
-            parts.append((keys, lines + base, at, n[lines], *parities[:, lines]))
-            first_of.append((ids, docs, rows, places))
-            base += len(ids)
-        if not base:
-            return
+    def packed(first_of: list[tuple], parts: list[tuple]) -> pa.RecordBatch:
         ids, docs, rows, places = (np.concatenate(x) for x in zip(*first_of))
         keys, lines, at, n, low, high = (np.concatenate(x) for x in zip(*parts))
         order = _in_order(ids, docs, rows, places)
-        first = np.zeros(base, bool)
+        first = np.zeros(len(ids), bool)
         first[order[np.r_[True, ids[order][1:] != ids[order][:-1]]]] = True
         chosen = first[lines]
         keys, lines, at, n, low, high = (x[chosen] for x in (keys, lines, at, n, low, high))
+        out = []
         for b, x in _by_bucket(keys, buckets):
             y = lines[x]
-            yield pa.RecordBatch.from_pylist([_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], rows[y], places[y], n[x], at[x], low[x], high[x])], schema)
+            out.append(_packed(b, (keys[x] * MIX) >> np.uint64(32), ids[y], docs[y], rows[y], places[y], n[x], at[x], low[x], high[x]))
         for b, x in _by_bucket(ids, buckets):
             none = np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_pylist([_packed(-1 - b, none, ids[x], docs[x], rows[x], places[x], none, first[x].astype(np.int32) - 1, none, none)], schema)
+            out.append(_packed(-1 - b, none, ids[x], docs[x], rows[x], places[x], none, first[x].astype(np.int32) - 1, none, none))
+        return pa.RecordBatch.from_pylist(out, schema)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        first_of: list[tuple] = []
+        base = waiting = 0
+        for docs, rows, places, sizes, hashes in _lines(batches):
+            tokens, line, ids, parities = line_sets(sizes, hashes, classes.value)
+            keys, lines, at, n = prefix_keys(tokens, line, frequent)
+            parts.append((keys, (lines + base).astype(np.int32), at.astype(np.int32), n[lines].astype(np.int32), *parities[:, lines]))
+            first_of.append((ids, docs, rows, places))
+            base, waiting = base + len(ids), waiting + len(keys)
+            if waiting + base >= SENT_AT_ONCE:
+                yield packed(first_of, parts)
+                parts, first_of, base, waiting = [], [], 0, 0
+        if base:
+            yield packed(first_of, parts)
 
-    return texts.mapInArrow(released(entries), ENTRIES)
+    return arrow_rows(texts, entries, ENTRIES)
 
 
-def _later_copies(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later_copies(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, rows and places of all lines of a bucket but the first of each set."""
     _, ids, docs, rows, places, _, j, _, _ = _read(parts)
     gone = j < 0
@@ -299,7 +306,7 @@ def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple[np
 class Bucket:
     """The entries of a bucket whose key several sets share, the first line of each set, in the order of keys and lines."""
 
-    def __init__(self, parts: pd.DataFrame):
+    def __init__(self, parts: pa.Table):
         keys, ids, docs, rows, places, *rest = _read(parts)
         shared = np.flatnonzero(_repeated(keys))
         rank = np.empty(len(shared), np.uint64)
@@ -325,36 +332,24 @@ class Bucket:
         need = pair_overlap(both)
         fits = np.flatnonzero(np.minimum(self.left[a], self.left[b]) >= need)
         chosen, a, b, most = chosen[fits], a[fits], b[fits], both[fits] - 2 * need[fits]
-        apart = (np.bitwise_count(self.low[a] ^ self.low[b]) + np.bitwise_count(self.high[a] ^ self.high[b])).astype(np.int32)
+        folded, high = self.low[a] ^ self.low[b], self.high[a] ^ self.high[b]
+        many = np.minimum(self.n[a], self.n[b]) > FEW_TOKENS
+        apart = np.where(many, np.bitwise_count(folded ^ high) + np.bitwise_count(high), np.bitwise_count(folded)).astype(np.int32)
         fits = np.flatnonzero(apart <= most)
         return chosen[fits], apart[fits]
 
-    def likeliest(self, crowd: int, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For lines with candidates the likeliest of them, and whether there may be others. The first is -1 if none was found among the heads of a crowded key."""
-        count = np.zeros(len(self.keys), np.int64)
-        best, least = np.full(len(self.keys), -1, np.int64), np.full(len(self.keys), np.iinfo(np.int32).max, np.int32)
-        members, step = np.arange(len(self.keys)), 0
-        while len(members):
-            head = self.starts[members] + step
-            left = (head < members) & ((self.sizes_each[members] <= crowd) | (step < heads))
-            members, head = members[left], head[left]
-            good, apart = self.possible(head, members)
-            a, b = head[good], members[good]
-            count[b] += 1
-            closer = apart < least[b]
-            best[b[closer]], least[b[closer]] = a[closer], apart[closer]
-            step += 1
-        hidden = (self.sizes_each > crowd) & (np.arange(len(self.keys)) - self.starts > heads)
-        lines = np.flatnonzero((best >= 0) | hidden)
-        return best[lines], lines, (count[lines] > 1) | hidden[lines]
+    def candidates(self, members: np.ndarray, most: int | None, crowd: int | None = None, heads: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (a, b) of entries with b among ``members``: the ``most`` likeliest earlier ones of each, or all; and whether b may have others.
 
-    def all_pairs(self, wanted: set[tuple[int, int]], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The candidates of the lines with a key and set among ``wanted``: the ``most`` likeliest of each, or all; and whether a line has others."""
-        members = np.array([i for i, x in enumerate(zip(self.keys.tolist(), self.ids.view(np.int64).tolist())) if x in wanted], np.int64)
+        In keys with more than ``crowd`` lines only the first ``heads`` are tried.
+        """
         a_out, b_out, d_out, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        asked = members
         while len(members):
             head = self.starts[members] + step
             left = head < members
+            if crowd is not None:
+                left &= (self.sizes_each[members] <= crowd) | (step < heads)
             members, head = members[left], head[left]
             good, apart = self.possible(head, members)
             a_out.append(head[good])
@@ -364,66 +359,89 @@ class Bucket:
             if most is not None and step % 64 == 0:  # keeps what is held small
                 a_out, b_out, d_out, _ = ([c] for c in _nearest(*map(np.concatenate, (a_out, b_out, d_out)), most))
         a, b, d = map(np.concatenate, (a_out, b_out, d_out))
-        if most is None:
-            return a, b, np.zeros(len(a), bool)
-        a, b, d, full = _nearest(a, b, d, most)
+        full = np.zeros(len(a), bool)
+        if most is not None:
+            a, b, d, full = _nearest(a, b, d, most)
+        if crowd is not None:
+            hidden = asked[(self.sizes_each[asked] > crowd) & (asked - self.starts[asked] > heads)]
+            full |= np.isin(b, hidden)
+            # with none among the heads, a line stands for itself
+            alone = np.setdiff1d(hidden, b)
+            a, b, full = np.r_[a, alone], np.r_[b, alone], np.r_[full, np.ones(len(alone), bool)]
         return a, b, full
 
+    def wanted(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The entries with such a key and set, perhaps a few more."""
+        mixed = lambda k, i: k.astype(np.uint64) * MIX ^ i.view(np.uint64)
+        return np.flatnonzero(np.isin(mixed(self.keys, self.ids), mixed(keys, ids)))
 
-def _tried(parts: pd.DataFrame, crowd: int, heads: int) -> pd.DataFrame:
+
+def _tried(table: pa.Table, crowd: int, heads: int, nearest: int) -> pa.Table:
     """TRIED of the rows of one bucket."""
-    bucket = int(parts["bucket"].iloc[0])
-    names = [c.split()[0] for c in TRIED.split(", ")]
+    bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
-        docs, rows, places = _later_copies(parts)
-        return pd.DataFrame({"kind": 0, "doc_id": docs, "row": rows, "line": places}).reindex(columns=names)
-    x = Bucket(parts)
-    a, b, more = x.likeliest(crowd, heads)
-    signed, found = x.ids.view(np.int64), a >= 0
-    columns = {"a": np.where(found, signed[a], signed[b]), "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "row": x.rows[b], "line": x.places[b], "more": more, "crowd_key": x.keys[b].astype(np.int64)}
-    out = pd.DataFrame({"kind": 1, **columns, "bucket": bucket, "key": None, "id": None, "rest": None})[names]
+        docs, rows, places = _later_copies(table)
+        return _rows(len(docs), {"kind": 0, "doc_id": docs, "row": rows, "line": places})
+    x = Bucket(table)
+    a, b, more = x.candidates(np.arange(len(x.keys)), nearest, crowd, heads)
+    signed = x.ids.view(np.int64)
+    found = _rows(len(a), {"kind": 1, "a": signed[a], "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "row": x.rows[b], "line": x.places[b], "more": more, "bucket": bucket, "crowd_key": x.keys[b]})
     if not more.any():
-        return out
+        return found
     kept = np.flatnonzero(np.isin(x.starts, x.starts[b[more]]))
-    # whole numbers beside missing ones would become doubles
-    rest = pd.DataFrame([_packed(bucket, *(c[kept] for c in x.columns)) | {"kind": 2, "a": 0, "b": 0, "a_doc": 0, "doc_id": 0, "row": 0, "line": 0, "more": False, "crowd_key": 0}])[names]
-    return pd.concat([out, rest], ignore_index=True)
+    return pa.concat_tables([found, _rows(1, {"kind": 2} | {k: v if k == "bucket" else [v] for k, v in _packed(bucket, *(c[kept] for c in x.columns)).items()})])
 
 
-OTHERS = "a long, b long, a_doc long, doc_id long, row long, line long, more boolean, bucket int, crowd_key long"
+def _rows(n: int, columns: dict) -> pa.Table:
+    """``n`` rows of TRIED; a single value holds for all of them, and what isn't there is null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    arrays = {}
+    for name, kind in (c.split() for c in TRIED.split(", ")):
+        value = columns.get(name)
+        if value is None or isinstance(value, int):
+            arrays[name] = pa.nulls(n, kinds[kind]) if value is None else pa.repeat(pa.scalar(value, kinds[kind]), n)
+        else:
+            arrays[name] = pa.array(value, kinds[kind])
+    return pa.table(arrays)
 
 
-def _others(most: int | None):
-    def find(parts: pd.DataFrame, unresolved: pd.DataFrame) -> pd.DataFrame:
-        """OTHERS of the unresolved lines of a bucket."""
-        if not len(parts) or not len(unresolved):
-            return pd.DataFrame({c.split()[0]: [] for c in OTHERS.split(", ")}).astype({"more": bool})
-        x = Bucket(parts)
-        a, b, more = x.all_pairs(set(zip(unresolved["crowd_key"].tolist(), unresolved["b"].tolist())), most)
-        signed = x.ids.view(np.int64)
-        columns = {"a": signed[a], "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "row": x.rows[b], "line": x.places[b].astype(np.int64), "more": more}
-        return pd.DataFrame(columns | {"bucket": int(parts["bucket"].iloc[0]), "crowd_key": x.keys[b].astype(np.int64)})
+OTHERS = "a long, b long, a_doc long, doc_id long, row long, line long"
 
-    return find
 
+def _others(parts: pa.Table, unresolved: pa.Table) -> pa.Table:
+    """OTHERS of the unresolved lines of a bucket: all their candidates."""
+    names = [c.split()[0] for c in OTHERS.split(", ")]
+    if not len(parts) or not len(unresolved):
+        return pa.table({c: pa.array([], pa.int64()) for c in names})
+    x = Bucket(parts)
+    a, b, _ = x.candidates(x.wanted(*(unresolved.column(c).to_numpy() for c in ("crowd_key", "b"))), None)
+    signed = x.ids.view(np.int64)
+    return pa.table(dict(zip(names, (pa.array(c, pa.int64()) for c in (signed[a], signed[b], x.docs[a], x.docs[b], x.rows[b], x.places[b])))))
+
+
+def _filters(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Filters of 2^FILTER_BITS and 2^DOC_FILTER_BITS bits for the sets and documents ``wanted`` (id, doc), put together by executors."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            ids, docs = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            yield ids & np.uint64((1 << FILTER_BITS) - 1)
+            yield (docs & np.uint64((1 << DOC_FILTER_BITS) - 1)) + np.uint64(1 << FILTER_BITS)
 
-def _bits(wanted: DataFrame, column: str, size: int) -> np.ndarray:
-    """A filter of 2^``size`` bits for the longs of a column; it reaches the driver, as does nothing that grows."""
-    bits = np.zeros(1 << size - 6, np.uint64)
-    word, bit = F.pmod(F.col(column), F.lit(len(bits))), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {size - 6}) & 63 as int))")
-    for row in wanted.select(word.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[row["at"]] = row["bits"] % (1 << 64)
-    return bits
+    bits = np.zeros((1 << FILTER_BITS) + (1 << DOC_FILTER_BITS) >> 3, np.uint8)
+    for at, part, _ in packed_table(wanted, places, FILTER_BITS + 1, np.dtype(np.int8), np.packbits):
+        bits[at >> 3 : (at >> 3) + len(part)] = part
+    return bits[: 1 << FILTER_BITS - 3], bits[1 << FILTER_BITS - 3 :]
 
 
 def _may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    size = (len(bits) - 1).bit_length()
-    return (bits[values % len(bits)] >> (values.view(np.uint64) >> np.uint64(size) & np.uint64(63)) & np.uint64(1)).astype(bool)
+    place = values.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
     """(id, tokens) of the sets ``wanted`` (id, doc: a document that has it), perhaps of a few more."""
-    held = texts.sparkSession.sparkContext.broadcast((_bits(wanted, "id", FILTER_BITS), _bits(wanted, "doc", DOC_FILTER_BITS)))  # of a fixed size
+    held = texts.sparkSession.sparkContext.broadcast(_filters(wanted))  # of a fixed size
 
     def chosen_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +460,7 @@ def live_tokens(texts: DataFrame, classes, wanted: DataFrame) -> DataFrame:
                 lists = [tokens[starts[i] : starts[i + 1]].view(np.int64) for i in chosen]
                 yield pa.RecordBatch.from_arrays([pa.array(signed[chosen]), pa.array(lists, pa.list_(pa.int64()))], names=["id", "tokens"])
 
-    return texts.mapInArrow(released(rows), "id long, tokens array<long>")
+    return arrow_rows(texts, rows, "id long, tokens array<long>")
 
 
 def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUENT, heads: int = HEADS, nearest: int = NEAREST) -> DataFrame:
@@ -451,47 +469,36 @@ def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUE
     Earlier is by doc_id, row and place; rows that agree in doc_id and ``row`` have equal texts and are one document.
     """
     spark = texts.sparkSession
-    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = word_table(texts)
-    classes = spark.sparkContext.broadcast(rarity_classes(table).astype(np.uint64))
-    least = max(frequent, int(LOAD * table.mean()))
-    first = lambda parts: _tried(parts, crowd, heads)
-    tried = cut(line_entries(texts, classes, buckets, int(rarity_classes(np.array([least]))[0])).groupBy("bucket").applyInPandas(first, TRIED))
+    table, n_words = word_classes(texts)
+    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // BUCKET_WORDS)
+    classes = spark.sparkContext.broadcast(table)  # of a fixed size
+    least = int(rarity_classes(np.array([max(frequent, LOAD * n_words >> COUNT_BITS)]))[0])
+    first = lambda table: _tried(table, crowd, heads, nearest)
+    tried = cut(line_entries(texts, classes, buckets, least).groupBy("bucket").applyInArrow(first, TRIED))
     gone = tried.where("kind = 0").select("doc_id", "row", "line")
-    place = F.struct("doc_id", "row", F.col("line").cast("int").alias("line"))
-    pairs = tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(F.count("*").alias("keys"), F.min("a_doc").alias("a_doc"), F.min(place).alias("at"))
-    # with the set that is the likeliest for most keys; the others only for lines that don't match it
-    best = F.max_by(F.struct("a", "a_doc"), F.struct("keys", "a")).alias("best")
-    best = cut(pairs.groupBy("b").agg(best, F.min("at").alias("at")).select("best.a", "b", "best.a_doc", "at"))
-    matched = cut(_verified(texts, classes, best))
-    gone = gone.union(matched.select("at.doc_id", "at.row", "at.line"))
-    kept = tried.where("kind = 2").select("bucket", "key", "id", "rest").toDF("bucket", "key", "id", "rest")
-    open_, done = tried.where("kind = 1 and more").select("bucket", "crowd_key", "b"), best.select("a", "b")
-    rest = pairs.select("a", "b", "a_doc", "at").join(matched.select("b"), "b", "left_anti").select("a", "b", "a_doc", "at")
-    for most in (nearest, None):
-        open_ = open_.join(matched.select("b"), "b", "left_anti")
-        found = cut(kept.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInPandas(_others(most), OTHERS))
-        waiting = rest.union(found.select("a", "b", "a_doc", place)).groupBy("a", "b").agg(F.min("a_doc").alias("a_doc"), F.min("at").alias("at"))
-        waiting = cut(waiting.join(done, ["a", "b"], "left_anti"))
-        if not waiting.isEmpty():
-            matched = cut(_verified(texts, classes, waiting))
-            gone = gone.union(matched.select("at.doc_id", "at.row", "at.line"))
-        open_ = found.where("more").select("bucket", "crowd_key", "b").distinct().toDF("bucket", "crowd_key", "b")
-        if open_.isEmpty():
-            break
-        done, rest = done.union(waiting.select("a", "b")), rest.limit(0)
+    at = (F.min("a_doc").alias("a_doc"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("line").cast("int").alias("line"))
+    pairs = cut(tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(*at))
+    matched = cut(_verified(texts, classes, pairs))
+    gone = gone.union(matched.select("doc_id", "row", "line"))
+    open_ = cut(tried.where("kind = 1 and more").select("bucket", "crowd_key", "b").join(matched.select("b"), "b", "left_anti"))
+    if not open_.isEmpty():
+        # all candidates of the lines that match none of the likeliest
+        kept = tried.where("kind = 2").select("bucket", "key", "id", "rest")
+        found = kept.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_others, OTHERS)
+        others = cut(found.groupBy("a", "b").agg(*at).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        gone = gone.union(_verified(texts, classes, others).select("doc_id", "row", "line"))
     return gone.distinct()
 
 
 def _verified(texts: DataFrame, classes, pairs: DataFrame) -> DataFrame:
-    """(b, at) of the pairs (a, b, a_doc, at) whose sets are similar."""
-    sides = F.array(F.struct(F.col("a").alias("id"), F.col("a_doc").alias("doc")), F.struct(F.col("b").alias("id"), F.col("at.doc_id").alias("doc")))
-    tokens = live_tokens(texts, classes, pairs.select(F.explode(sides).alias("x")).select("x.*").distinct())
+    """(b, doc_id, row, line) of the pairs (a, b, a_doc, doc_id, row, line) whose sets are similar."""
+    sides = F.array(F.struct(F.col("a").alias("id"), F.col("a_doc").alias("doc")), F.struct(F.col("b").alias("id"), F.col("doc_id").alias("doc")))
+    tokens = live_tokens(texts, classes, pairs.select(F.explode(sides).alias("x")).select("x.*"))
     tokens = tokens.groupBy("id").agg(F.first("tokens").alias("tokens"))
     left, right = tokens.toDF("a", "x"), tokens.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     similar = DENOMINATOR * both >= NUMERATOR * (F.size("x") + F.size("y") - both)
-    return pairs.join(right, "b").join(left, "a").where(similar).groupBy("b").agg(F.min("at").alias("at"))
+    return pairs.join(right, "b").join(left, "a").where(similar).select("b", "doc_id", "row", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, **tuning) -> DataFrame:
@@ -508,26 +515,29 @@ def dedup_lines(docs: DataFrame, **tuning) -> DataFrame:
     own_row = lambda t: F.xxhash64(t) if (most or 0) > 1 else F.lit(0).cast("long")
     texts = docs.select(doc_id.alias("doc_id"), text.alias("text"), own_row(text).alias("row"))
     gone = removed_lines(texts, **tuning).groupBy("doc_id", "row").agg(F.collect_list("line").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
-    row = docs.select(F.struct(*docs.columns).alias("row"))
-    same = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(int(NO_DOC))) == F.col("gone_id")
+    row = docs.select(whole_row(docs).alias("row"))
+    held = lambda name: F.col("row").getField(name)
+    same = F.coalesce(held("doc_id").cast("long"), F.lit(int(NO_DOC))) == F.col("gone_id")
     if (most or 0) > 1:
-        same = same & (own_row(F.col("row.text").cast("string")) == F.col("gone_row"))
+        same = same & (own_row(held("text").cast("string")) == F.col("gone_row"))
     joined = row.join(gone, same, "left")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
         def kept(t, g):
             if t is None or g is None:
-                return t
+                return None
             lines, drop = t.split("\n"), set(g.tolist())
             return "\n".join([x for i, x in enumerate(lines) if i not in drop])
 
         return pd.Series([kept(t, g) for t, g in zip(text, gone)], dtype=object)
 
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(without("row.text", "gone"))
-    columns = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": text}
-    out = joined.select(*(v.alias(k) for k, v in columns.items()))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    # texts that stay whole don't go through Python
+    cut_text = without(F.when(F.col("gone").isNotNull(), held("text").cast("string")), F.col("gone"))
+    columns = {c: held(c) for c in docs.columns} | {"text": F.when(F.col("gone").isNull(), held("text")).otherwise(cut_text)}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(v.alias(k) for k, v in columns.items()))
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import as_bytes, cut, documents, held_out, in_turn, released
+from .common import arrow_rows, as_bytes, cut, documents, held_out, in_turn
 
 FOLDS = 5
 #: Bytes of text in a block, about, unless a text is longer; bytes of text and entries that are scored together.
@@ -97,7 +97,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
         if block.doc_ids:
             yield block.row(first + n)
 
-    return docs.mapInArrow(released(rows), BLOCKS)
+    return arrow_rows(docs, rows, BLOCKS)
 
 
 def _bucket_slices(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def block_entries(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
                 for b, part in _by_bucket(keys, buckets, order):
                     yield pa.RecordBatch.from_arrays([pa.array([row["block_id"]], pa.int64()), pa.array([b], pa.int32()), pa.array([_packed(keys[part], counts[part])])], names=["block_id", "bucket", "entries"])
 
-    return blocks.select("block_id", "held", "n_tokens", "tokens", "words").mapInArrow(released(split), "block_id long, bucket int, entries binary")
+    return arrow_rows(blocks.select("block_id", "held", "n_tokens", "tokens", "words"), split, "block_id long, bucket int, entries binary")
 
 
 def entry_scores(entries: DataFrame, pairs: np.ndarray, order: int) -> DataFrame:

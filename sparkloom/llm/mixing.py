@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents
+from .common import WORD, cut, documents, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix for each word of the corpus, and how often a source may be repeated.
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def take_mix(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, with their columns, each as often as mix takes it; rows that share a doc_id as often as the one of them taken most."""
     copies = mix(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
-    row = docs.select(F.struct(*docs.columns).alias("row"))
+    row = docs.select(whole_row(docs).alias("row"))
     copies = copies.withColumnRenamed("doc_id", "mix_id")
     joined = row.join(copies, F.col("row.doc_id").eqNullSafe(F.col("mix_id")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, documents, in_turn, released
+from .common import arrow_rows, as_bytes, cut, documents, in_turn
 
 WINDOW = 2048
 #: Ends each document.
@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
             )
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    encoded = cut(narrow.mapInArrow(released(encode), "part int, doc_id long, place long, doc_tokens long, ids binary"))
+    encoded = cut(arrow_rows(narrow, encode, "part int, doc_id long, place long, doc_tokens long, ids binary"))
     # one row for each partition of the input
     totals = sorted(tuple(r) for r in encoded.groupBy("part").agg(F.sum("doc_tokens")).collect())
     starts = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0)))
@@ -180,7 +180,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, window: int =
                     at = end
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return encoded.mapInArrow(released(pieces), PIECES)
+    return arrow_rows(encoded, pieces, PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, held_out, released, training_row
+from .common import arrow_rows, as_bytes, documents, held_out, training_row
 
 DIMENSION_BITS = 18
 #: Labelled rows to learn from, at most, and how often each is shown.
@@ -116,7 +116,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             scores = [sigmoid(float(w[at] @ values)) for at, values in map(features, as_bytes(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, score double")
+    return arrow_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, score double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:

@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents
+from .common import WORD, cut, documents, whole_row
 
 #: Words of a window that may repeat, fewest words of a document, and largest share of repeated words in per cent.
 WINDOW, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -227,7 +227,7 @@ def assess_documents(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that assess_documents keeps, with their columns; the texts are measured twice rather than shuffled."""
     model = fit_rules(vote_patterns(measured(docs.select("text"))))
-    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    held = docs.select(whole_row(docs).alias("row"), "text")
     return judged(measured(held, "row"), model).where("kept").select("row.*")
 
 

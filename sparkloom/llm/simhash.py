@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, cut, documents, released
+from .common import arrow_rows, as_bytes, connected_components, cut, documents
 
 BITS, SEGMENTS = 64, 16
 #: Bits in which linked fingerprints may differ; cells within distance 1 of both points meet up to 2.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
             found = [fingerprint(text, words_per_shingle) for text in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, fp long")
+    return arrow_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, fp long")
 
 
 def points(fps: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 def fingerprint_links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fps`` (fp), which connect all that differ in RADIUS bits or less, and no others."""
     cells = _cells(fps).select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-    found = cut(cells.mapInArrow(_cell_links(crowded), "a long, b long"))
+    found = cut(arrow_rows(cells, _cell_links(crowded), "a long, b long"))
     links, hot = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("fp")).distinct()
     flips = [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(BITS)]
     meet = hot.select("fp", F.explode(F.array("fp", *flips)).alias("cell"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, in_turn, released
+from .common import arrow_rows, as_bytes, documents, in_turn
 from .packing import AT_ONCE, CACHED_BYTES, UNIT_END, VOCABULARY, vocabulary_path
 
 #: Counts of words that a worker keeps.
@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                         del known[word]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of, pa.int64()), pa.array(tokens_of, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(rows), "doc_id long, n_words long, n_tokens long")
+    return arrow_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, n_words long, n_tokens long")
 
 
 def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
