@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,14 @@ WINDOW = 2048
 #: Ends each document.
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words of a generation of those that a worker keeps encoded (it keeps two), bytes of the longest of them, and bytes of
-#: text whose words are looked up together.
-CACHED_WORDS, CACHED_BYTES, AT_ONCE = 250_000, 64, 4_000_000
-#: Letters and then perhaps ASCII punctuation without apostrophes: the tokenizer encodes the two parts apart, each as one unit.
-LETTERS_AND_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-#: Signs of such a tail.
-ONE_SIGN = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Words that a worker keeps encoded, their bytes, and bytes of text whose words are looked up together.
+CACHED_WORDS, CACHED_BYTES, AT_ONCE = 600_000, 16_000_000, 4_000_000
+#: Words, one a line, that aren't letters and then perhaps ASCII punctuation without apostrophes; of others nothing is captured.
+#: The tokenizer encodes letters and punctuation apart, each as one unit.
+IRREGULAR = re.compile(rb"^(?:(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[!-&(-/:-@\[-`{-~]*|(.+))$", re.MULTILINE)
+SIGNS = bytes(set(range(0x21, 0x7F)) - {0x27} - set(range(0x30, 0x3A)) - set(range(0x41, 0x5B)) - set(range(0x61, 0x7B)))
 #: Ends the last token of a unit; units that are encoded in one call.
-UNIT_END, UNITS = "</w>", 1000
+UNIT_END, AT_A_TIME = "</w>", 1000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -47,68 +47,92 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordEncoder:
     """Encodes texts word by word.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text are those of
-    its words in turn, and a word's ids are found once. Case goes first, as the tokenizer does it, but for texts that may
+    its words in turn. Words get numbers as they come, and a word's ids are found once until all are forgotten. Case goes first, as the tokenizer does it, but for texts that may
     hold a special token's string.
     """
 
     def __init__(self, vocabulary: str):
+        # a task has one core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        #: Words of late, and those before them.
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         tokens = self.tokenizer.get_vocab()
         self.ends_unit = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_unit[[i for token, i in tokens.items() if token.endswith(UNIT_END)]] = True
-
-    def _learn_units(self, units: list[bytes]) -> None:
-        groups = [units[i : i + UNITS] for i in range(0, len(units), UNITS)]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Numbers of words as they come, the empty one first; where the ids of each begin in ``ids``, and how many they are.
+        self.numbers: defaultdict[bytes, int] = defaultdict(None, {b"": 0})
+        self.numbers.default_factory = self.numbers.__len__
+        self.starts, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.bytes = 0
+
+    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many of them are each unit's."""
+        groups = [units[i : i + AT_A_TIME] for i in range(0, len(units), AT_A_TIME)]
+        every, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends_unit[ids]) + 1)).tolist()
-            if len(ends) != len(group):
+            every.append(np.array(found.ids, "<u4"))
+            sizes.append(np.diff(np.flatnonzero(self.ends_unit[every[-1]]) + 1, prepend=0))
+            if len(sizes[-1]) != len(group):
                 raise ValueError("the vocabulary's tokens don't end with the words")
-            packed = ids.tobytes()
-            self.known.update(zip(group, [packed[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, match = self.known, LETTERS_AND_TAIL.fullmatch
-        plain = {w for w in words if w.isalpha()}
-        parts = {}
-        for w in words - plain:
-            if w[-1] in ONE_SIGN and w[:-1].isalpha():
-                parts[w] = w[:-1], w[-1:]
-            elif m := match(w):
-                parts[w] = m.groups()
-        self._learn_units(list(plain.union(*parts.values()).difference(known, (b"",))))
-        for word, (letters, tail) in parts.items():
-            if tail:
-                known[word] = known[letters] + known[tail]
-        rest = list(words - plain - parts.keys())
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        return np.concatenate(every), np.concatenate(sizes)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """The ids of ``words``, the last that got numbers."""
+        irregular = IRREGULAR.findall(b"\n".join(words)) if words else []
+        other = np.fromiter(map(bool, irregular), bool, len(words))
+        regular = [w for w, x in zip(words, irregular) if not x]
+        letters = [w.rstrip(SIGNS) for w in regular]
+        known, get = len(self.starts), self.numbers.get
+        fresh: dict[bytes, int] = {}
+
+        def place(unit: bytes) -> int:
+            number = get(unit)
+            return number if number is not None and number < known else fresh.setdefault(unit, known + len(fresh))
+
+        places = np.array([[place(x), place(w[len(x) :])] for w, x in zip(regular, letters)], np.int64).reshape(-1, 2)
+        ids, sizes = self._units(list(fresh))
+        every = np.concatenate([self.ids, ids])
+        sizes = np.r_[self.sizes, sizes]
+        starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes[known:]) - sizes[known:]]
+        rest = list(filter(None, irregular))
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        others = [np.array(x.ids, "<u4") for x in found]
+        size = np.zeros(len(words), np.int64)
+        size[~other], size[other] = sizes[places].sum(axis=1), [len(x) for x in others]
+        order = np.r_[np.flatnonzero(~other), np.flatnonzero(other)]
+        start = np.empty(len(words), np.int64)
+        start[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        self.ids = np.concatenate([self.ids, runs(every, starts[places.ravel()], sizes[places.ravel()]), *others])
+        self.starts, self.sizes = np.r_[self.starts, start], np.r_[self.sizes, size]
+        self.bytes += sum(map(len, words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = set().union(*split)
-        if len(self.known) > CACHED_WORDS:
-            self.old, self.known = self.known, {}
-        new = words.difference(self.known)
-        if again := new.intersection(self.old):
-            self.known.update((w, self.old[w]) for w in again)
-            new -= again
-        self._learn(new)
-        ids = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        for word in new:
-            if len(word) > CACHED_BYTES:
-                del self.known[word]
-        return ids
+        if len(self.numbers) > CACHED_WORDS or self.bytes > CACHED_BYTES:
+            self._forget()
+        known, words = len(self.numbers), np.fromiter(map(len, split), np.int64, len(split))
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int32, int(words.sum()))
+        self._learn(list(islice(self.numbers, known, None)))
+        size = self.sizes[number]
+        ends = np.cumsum(size)
+        ids = runs(self.ids, self.starts[number], size).tobytes()
+        cuts = (4 * np.r_[0, ends][np.r_[0, np.cumsum(words)]]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @cache
