@@ -7,9 +7,10 @@ a prefix that is one token longer. Lines that share such a key become candidates
 Jaccard similarity of candidates is verified on their whole sets. A line goes if an earlier line, by doc_id and place in the
 document, is similar; rows that share a doc_id are told apart by a hash of their text.
 
-Equal sets are dealt with before: only the first line of each set takes part in the join. Where many lines share a key, a
-line is first tried with a few earlier lines, and only those that match none of them with more, so that a large group of
-copies is not compared all against all; no candidate is left out.
+Equal sets are dealt with before: only the first line of each set takes part in the join. Lines that share a key are in order
+of size, and each is held against those near it whose size fits. A line is first verified with its few likeliest candidates,
+and only if it matches none of them with more, so that a large group of copies is not verified all against all; no candidate
+is left out.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ from .common import arrow_rows, as_bytes, cut, documents, in_turn, packed_table,
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bits of the table of word counts; tokens in places with more than FREQUENT words, and LOAD times as many as places have on average, are joined in pairs.
-COUNT_BITS, FREQUENT, LOAD = 24, 256, 8
+COUNT_BITS, FREQUENT, LOAD = 24, 1024, 8
 #: Entries that a task collects before it sends them on, and words of all lines for each bucket of entries.
 SENT_AT_ONCE, BUCKET_WORDS = 500_000, 1_000_000
-#: In a key with more lines a line is at first tried with so many of the earliest alone.
-CROWDED = 256
-HEADS = 16
-#: Candidates of a line for each key, the likeliest, that are tried before all.
-NEAREST = 3
+#: In a key with more lines a line is at first tried with so many of its neighbours by size alone.
+CROWDED, HEADS = 1024, 16
+#: Candidates of a line for each key, the likeliest, that are tried at first; in each further round MORE times as many.
+NEAREST, MORE = 3, 8
+#: Pairs that are held before all but the likeliest of them go.
+HELD = 1_000_000
 #: Sets of so many tokens do with half the parities.
 FEW_TOKENS = 72
 #: Lines that are sorted together, and the bits of a token: its rarity and its hash.
@@ -311,11 +313,13 @@ class Bucket:
         shared = np.flatnonzero(_repeated(keys))
         rank = np.empty(len(shared), np.uint64)
         rank[np.lexsort((places[shared], rows[shared], docs[shared]) if rows.any() else (places[shared], docs[shared]))] = np.arange(len(shared), dtype=np.uint64)
-        # the first line of each set for each key, then by key and line
+        # the first line of each set for each key, then by key, size and line
         order = np.lexsort((rank, ids[shared], keys[shared]))
         k, i = keys[shared[order]], ids[shared[order]]
         order = order[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]] if len(order) else order
-        shared = shared[order[np.argsort(keys[shared[order]].astype(np.uint64) << np.uint64(32) | rank[order])]]
+        n = rest[0][shared[order]]
+        order = order[np.lexsort((rank[order], n, keys[shared[order]]))]
+        shared, self.rank = shared[order], rank[order]
         self.columns = [x[shared] for x in (keys, ids, docs, rows, places, *rest)]
         self.keys, self.ids, self.docs, self.rows, self.places, n, j, self.low, self.high = self.columns
         # tokens, and those from the key's on
@@ -325,47 +329,57 @@ class Bucket:
         self.starts, self.sizes_each = np.repeat(starts, self.sizes), np.repeat(self.sizes, self.sizes)
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the pairs of lines that may be similar, and in how many parities each of them differs. The cheapest filter goes first."""
-        n_a, n_b = self.n[a], self.n[b]
-        chosen = np.flatnonzero(DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b))
-        a, b, both = a[chosen], b[chosen], n_a[chosen] + n_b[chosen]
+        """Numbers of the pairs of lines of similar sizes that may be similar, and in how many parities each of them differs."""
+        both = self.n[a] + self.n[b]
         need = pair_overlap(both)
-        fits = np.flatnonzero(np.minimum(self.left[a], self.left[b]) >= need)
-        chosen, a, b, most = chosen[fits], a[fits], b[fits], both[fits] - 2 * need[fits]
+        chosen = np.flatnonzero(np.minimum(self.left[a], self.left[b]) >= need)
+        a, b, most = a[chosen], b[chosen], (both - 2 * need)[chosen]
         folded, high = self.low[a] ^ self.low[b], self.high[a] ^ self.high[b]
         many = np.minimum(self.n[a], self.n[b]) > FEW_TOKENS
         apart = np.where(many, np.bitwise_count(folded ^ high) + np.bitwise_count(high), np.bitwise_count(folded)).astype(np.int32)
         fits = np.flatnonzero(apart <= most)
         return chosen[fits], apart[fits]
 
-    def candidates(self, members: np.ndarray, most: int | None, crowd: int | None = None, heads: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (a, b) of entries with b among ``members``: the ``most`` likeliest earlier ones of each, or all; and whether b may have others.
-
-        In keys with more than ``crowd`` lines only the first ``heads`` are tried.
-        """
-        a_out, b_out, d_out, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        asked = members
+    def _neighbours(self, members: np.ndarray, side: int, crowd: int | None, heads: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of ``members`` and entries of their key before (side -1) or after them (side 1) whose sizes fit."""
+        step = 1
         while len(members):
-            head = self.starts[members] + step
-            left = head < members
-            if crowd is not None:
-                left &= (self.sizes_each[members] <= crowd) | (step < heads)
-            members, head = members[left], head[left]
-            good, apart = self.possible(head, members)
-            a_out.append(head[good])
-            b_out.append(members[good])
-            d_out.append(apart.astype(np.int64))
+            other = members + side * step
+            inside = np.flatnonzero((other >= self.starts[members]) & (other < self.starts[members] + self.sizes_each[members]))
+            members, other = members[inside], other[inside]
+            n, m = self.n[members], self.n[other]
+            fits = DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)
+            if crowd is not None and step > heads:
+                fits &= self.sizes_each[members] <= crowd
+            # sizes are in order: who doesn't fit now won't further on
+            members, other = members[fits], other[fits]
+            yield members, other
             step += 1
-            if most is not None and step % 64 == 0:  # keeps what is held small
-                a_out, b_out, d_out, _ = ([c] for c in _nearest(*map(np.concatenate, (a_out, b_out, d_out)), most))
-        a, b, d = map(np.concatenate, (a_out, b_out, d_out))
-        full = np.zeros(len(a), bool)
-        if most is not None:
-            a, b, d, full = _nearest(a, b, d, most)
+
+    def candidates(self, members: np.ndarray | None, most: int, crowd: int | None = None, heads: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (a, b) of entries, a the earlier, with b among ``members`` (all if None): the ``most`` likeliest of each b; and whether b may have others.
+
+        In keys with more than ``crowd`` lines only ``heads`` neighbours by size are tried.
+        """
+        held: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+        n_held = 0
+        asked = np.arange(len(self.keys)) if members is None else members
+        for side in (-1,) if members is None else (-1, 1):
+            for one, other in self._neighbours(asked, side, crowd, heads):
+                later = self.rank[one] > self.rank[other]
+                if members is not None:
+                    one, other, later = one[later], other[later], later[later]
+                a, b = np.where(later, other, one), np.where(later, one, other)
+                good, apart = self.possible(a, b)
+                held.append((a[good], b[good], apart.astype(np.int64)))
+                n_held += len(good)
+                if n_held > HELD:
+                    held, n_held = [_nearest(*map(np.concatenate, zip(*held)), most)[:3]], 0
+        a, b, _, full = _nearest(*map(np.concatenate, zip(*held)), most)
         if crowd is not None:
-            hidden = asked[(self.sizes_each[asked] > crowd) & (asked - self.starts[asked] > heads)]
-            full |= np.isin(b, hidden)
-            # with none among the heads, a line stands for itself
+            hidden = np.flatnonzero(self.sizes_each > crowd)
+            full |= self.sizes_each[b] > crowd
+            # with none among those tried, a line stands for itself
             alone = np.setdiff1d(hidden, b)
             a, b, full = np.r_[a, alone], np.r_[b, alone], np.r_[full, np.ones(len(alone), bool)]
         return a, b, full
@@ -383,7 +397,7 @@ def _tried(table: pa.Table, crowd: int, heads: int, nearest: int) -> pa.Table:
         docs, rows, places = _later_copies(table)
         return _rows(len(docs), {"kind": 0, "doc_id": docs, "row": rows, "line": places})
     x = Bucket(table)
-    a, b, more = x.candidates(np.arange(len(x.keys)), nearest, crowd, heads)
+    a, b, more = x.candidates(None, nearest, crowd, heads)
     signed = x.ids.view(np.int64)
     found = _rows(len(a), {"kind": 1, "a": signed[a], "b": signed[b], "a_doc": x.docs[a], "doc_id": x.docs[b], "row": x.rows[b], "line": x.places[b], "more": more, "bucket": bucket, "crowd_key": x.keys[b]})
     if not more.any():
@@ -405,18 +419,22 @@ def _rows(n: int, columns: dict) -> pa.Table:
     return pa.table(arrays)
 
 
-OTHERS = "a long, b long, a_doc long, doc_id long, row long, line long"
+OTHERS = "a long, b long, a_doc long, doc_id long, row long, line long, bucket long, crowd_key long, more boolean"
 
 
-def _others(parts: pa.Table, unresolved: pa.Table) -> pa.Table:
-    """OTHERS of the unresolved lines of a bucket: all their candidates."""
-    names = [c.split()[0] for c in OTHERS.split(", ")]
-    if not len(parts) or not len(unresolved):
-        return pa.table({c: pa.array([], pa.int64()) for c in names})
-    x = Bucket(parts)
-    a, b, _ = x.candidates(x.wanted(*(unresolved.column(c).to_numpy() for c in ("crowd_key", "b"))), None)
-    signed = x.ids.view(np.int64)
-    return pa.table(dict(zip(names, (pa.array(c, pa.int64()) for c in (signed[a], signed[b], x.docs[a], x.docs[b], x.rows[b], x.places[b])))))
+def _others(most: int):
+    def find(parts: pa.Table, unresolved: pa.Table) -> pa.Table:
+        """OTHERS of the unresolved lines of a bucket: ``most`` candidates for each key."""
+        names = [c.split()[0] for c in OTHERS.split(", ")]
+        if not len(parts) or not len(unresolved):
+            return pa.table({c: pa.array([], pa.bool_() if c == "more" else pa.int64()) for c in names})
+        x = Bucket(parts)
+        a, b, more = x.candidates(x.wanted(*(unresolved.column(c).to_numpy() for c in ("crowd_key", "b"))), most)
+        signed = x.ids.view(np.int64)
+        columns = [pa.array(c, pa.int64()) for c in (signed[a], signed[b], x.docs[a], x.docs[b], x.rows[b], x.places[b], np.full(len(a), parts.column("bucket")[0].as_py()), x.keys[b])]
+        return pa.table(dict(zip(names, [*columns, pa.array(more)])))
+
+    return find
 
 
 def _filters(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -480,13 +498,18 @@ def removed_lines(texts: DataFrame, crowd: int = CROWDED, frequent: int = FREQUE
     pairs = cut(tried.where("kind = 1 and a <> b").groupBy("a", "b").agg(*at))
     matched = cut(_verified(texts, classes, pairs))
     gone = gone.union(matched.select("doc_id", "row", "line"))
-    open_ = cut(tried.where("kind = 1 and more").select("bucket", "crowd_key", "b").join(matched.select("b"), "b", "left_anti"))
-    if not open_.isEmpty():
-        # all candidates of the lines that match none of the likeliest
-        kept = tried.where("kind = 2").select("bucket", "key", "id", "rest")
-        found = kept.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_others, OTHERS)
+    open_, most = cut(tried.where("kind = 1 and more").select("bucket", "crowd_key", "b").distinct().join(matched.select("b"), "b", "left_anti")), nearest
+    kept = tried.where("kind = 2").select("bucket", "key", "id", "rest")
+    while not open_.isEmpty():
+        # more candidates of the lines that match none so far, until none has more
+        most *= MORE
+        found = cut(kept.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_others(most), OTHERS))
         others = cut(found.groupBy("a", "b").agg(*at).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        gone = gone.union(_verified(texts, classes, others).select("doc_id", "row", "line"))
+        if not others.isEmpty():
+            matched = cut(_verified(texts, classes, others))
+            gone = gone.union(matched.select("doc_id", "row", "line"))
+            pairs = pairs.select("a", "b").union(others.select("a", "b"))
+        open_ = cut(found.where("more").select("bucket", "crowd_key", "b").distinct().join(matched.select("b"), "b", "left_anti"))
     return gone.distinct()
 
 
