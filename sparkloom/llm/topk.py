@@ -1,11 +1,11 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
-The integer vectors are packed into blocks. A block's index holds its postings (vector, dimension, impact) in segments of
-descending quantised impact: the bit length of |component|, so a segment holds components of one power of two. Blocks of
-queries are joined with blocks of vectors by equality on a block number. For a pair of blocks segments are processed in
-descending impact; after each one, a vector's score so far and the norm of its unprocessed postings bound its score from
-both sides. Accumulation stops only once few vectors can still be members of a query's top k, or nothing is left; all
-possible members are then scored exactly in whole numbers.
+The integer vectors are packed into blocks of one shape of rows each. A block's index, made once for all its queries, holds its
+postings (dimension, vector, impact) in segments of descending quantised impact: the bit length of |component|, so a segment
+holds components of one power of two. Queries, the smaller side, go to every block in groups; the index never moves again. For
+a block and a group segments are processed in descending impact; after each one, a vector's score so far and the norm of its
+unprocessed postings bound its score from both sides. Accumulation stops only once few vectors can still be members of a
+query's top k, or nothing is left; all possible members are then scored exactly in whole numbers.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_rows, cut
 
 SCALE, K, QUERY_EVERY = 64.0, 20, 20
-#: Vectors in a block, queries in a block.
-BLOCK, QUERY_BLOCK = 8192, 512
+#: Vectors in a block, queries in a group.
+BLOCK, QUERY_BLOCK = 4096, 512
 #: Possible members for each query, as a multiple of k, at which exact scoring is cheaper than another segment.
 FEW = 8
+#: A segment is kept as lists if it has postings in fewer than one of so many places.
+DENSE = 8
 #: Whole numbers up to this are exact in double precision.
 EXACT = 2.0**53
 
@@ -35,31 +37,59 @@ def quantised(vector: Column, scale: float = SCALE) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")))
 
 
-def segments(block: np.ndarray) -> list[np.ndarray]:
-    """The postings of a block (vectors x dimensions) by descending impact, each segment as a matrix of its own."""
-    _, impact = np.frexp(np.abs(block))
-    return [np.where(impact == i, block, 0) for i in sorted(set(impact[block != 0].ravel().tolist()), reverse=True)]
+class Segment:
+    """The postings of one impact: for each dimension that has any, the vectors and their components."""
 
+    def __init__(self, part: np.ndarray):
+        vectors, dimensions = np.nonzero(part)
+        order = np.argsort(dimensions, kind="stable")
+        self.vectors, dimensions = vectors[order], dimensions[order]
+        self.values = part[self.vectors, dimensions]
+        self.dimensions, first = np.unique(dimensions, return_index=True)
+        self.slices = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(dimensions)])]
 
-def search_block(queries: np.ndarray, block: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> np.ndarray:
+    def add_to(self, scores: np.ndarray, queries: np.ndarray) -> None:
+        """Adds to ``scores`` (vectors x queries) what the postings bring: a vector is at most once in a dimension's list."""
+        for d, part in zip(self.dimensions.tolist(), self.slices):
+            scores[self.vectors[part]] += self.values[part][:, None] * queries[:, d][None, :]
+
+
+class Index:
+    """Segments of a block (vectors x dimensions) by descending impact, each with the norms of what is left after it."""
+
+    def __init__(self, block: np.ndarray):
+        self.block, self.segments, self.rests = block, [], []
+        _, impact = np.frexp(np.abs(block))
+        rest = block
+        for i in sorted(set(impact[block != 0].ravel().tolist()), reverse=True):
+            part = np.where(impact == i, block, 0)
+            rest = rest - part
+            # lists for few postings, the plain matrix where most places have one
+            self.segments.append(Segment(part) if np.count_nonzero(part) * DENSE < part.size else part)
+            self.rests.append(np.linalg.norm(rest, axis=1))
+
+
+def search_block(queries: np.ndarray, index: Index, own: np.ndarray, k: int, few: int = FEW) -> np.ndarray:
     """Which vectors of the block can be among a query's k best of the block: a mask (queries x vectors) that misses none.
 
     ``own`` marks pairs that take no part.
     """
-    scores = np.zeros((len(queries), len(block)))
-    if len(block) <= k:
+    n = len(index.block)
+    if n <= k:
         return ~own
-    rest = block
+    scores = np.zeros((n, len(queries)))
     norms = np.linalg.norm(queries, axis=1)[:, None]
     possible = ~own
-    for part in segments(block):
-        scores += queries @ part.T
-        rest = rest - part
-        bound = norms * np.linalg.norm(rest, axis=1)[None, :]
-        slack = bound + 1e-9 * (np.abs(scores) + bound)  # rounding of the norms
-        lower = np.where(own, -np.inf, scores - slack)
-        kth = np.partition(lower, len(block) - k, axis=1)[:, len(block) - k]
-        possible = (scores + slack >= kth[:, None]) & ~own
+    for part, rest in zip(index.segments, index.rests):
+        if isinstance(part, Segment):
+            part.add_to(scores, queries)
+        else:
+            scores += part @ queries.T
+        bound = norms * rest[None, :]
+        slack = bound + 1e-9 * (np.abs(scores.T) + bound)  # rounding of the norms
+        lower = np.where(own, -np.inf, scores.T - slack)
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        possible = (scores.T + slack >= kth[:, None]) & ~own
         if possible.sum() <= few * k * len(queries):
             break
     return possible
@@ -96,38 +126,41 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, scale: float = SCALE,
     kept = cut(one)
     counts = kept.agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q"), F.max(F.size("v")).alias("width")).first()
     n, n_queries, width = counts["n"], counts["q"], counts["width"] or 0
-    n_blocks, n_query_blocks = -(-n // block), -(-n_queries // query_block)
+    n_blocks, n_groups = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
 
     def pack(blocks: int):
         # numbers of rows in a block vary a little, as rows are dealt by a hash
-        return F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).cast("int")
+        return F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
 
     def to_rows(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
         return pd.DataFrame({"b": [rows["b"].iloc[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "data": [_packed(rows, width).tobytes()]})
 
     layout = "b int, ids binary, data binary"
-    indexed = kept.select("vec_id", "v", pack(n_blocks).alias("b")).groupBy("b").applyInPandas(to_rows, layout)
-    asked = kept.where("is_query").select("vec_id", "v", pack(n_query_blocks).alias("b")).groupBy("b").applyInPandas(to_rows, layout)
-    index = indexed.select(F.col("b").alias("block"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(max(1, n_query_blocks) - 1))).alias("query_block"))
-    asked = asked.select(F.col("b").alias("query_block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    pairs = index.join(asked, "query_block").select("ids", "data", "query_ids", "query_data")
+    indexed = kept.select("vec_id", "v", pack(n_blocks).alias("b")).groupBy("b").applyInPandas(to_rows, layout).select(F.col("b").alias("block"), "ids", "data", F.lit(-1).alias("query_group"))
+    asked = kept.where("is_query").select("vec_id", "v", pack(n_groups).alias("b")).groupBy("b").applyInPandas(to_rows, layout)
+    # the queries go to every block, not the index to every group: the smaller side is repeated
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "ids", "data", F.col("b").alias("query_group"))
+    # a block's index comes first, then the groups of queries one by one
+    pairs = indexed.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "query_group").select("query_group", "ids", "data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, data, query_ids, query_data = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                data, query_data = data.reshape(len(ids), -1), query_data.reshape(len(query_ids), -1)
-                own = query_ids[:, None] == ids[None, :]
-                q, v = np.nonzero(search_block(query_data, data, own, k))
-                scores = exact_scores(query_data[q], data[v])
+                found, data = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in ((1, np.int64), (2, np.float64)))
+                data = data.reshape(len(found), -1)
+                if batch.column(0)[row].as_py() < 0:
+                    index, ids = Index(data.copy()), found.copy()
+                    continue
+                q, v = np.nonzero(search_block(data, index, found[:, None] == ids[None, :], k))
+                scores = exact_scores(data[q], index.block[v])
                 order = np.lexsort((ids[v], -scores, q))
                 q, v, scores = q[order], v[order], scores[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                best = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q[best]]), pa.array(ids[v[best]]), pa.array(scores[best])], names=["query_id", "vec_id", "score"])
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(found[q[best]]), pa.array(ids[v[best]]), pa.array(scores[best])], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = arrow_rows(pairs, search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

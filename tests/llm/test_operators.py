@@ -526,7 +526,7 @@ def test_search_misses_no_member():
     rng = np.random.default_rng(7)
     block, queries = np.floor(rng.normal(size=(300, 16)) * 20), np.floor(rng.normal(size=(5, 16)) * 20)
     own = np.zeros((5, 300), bool)
-    mask = topk.search_block(queries, block, own, 10)
+    mask = topk.search_block(queries, topk.Index(block), own, 10)
     scores = queries @ block.T
     for q in range(5):
         assert mask[q][scores[q] >= np.sort(scores[q])[-10]].all()
