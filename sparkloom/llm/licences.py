@@ -2,7 +2,9 @@
 
 A text's sentences are normalised (lower case, letters and digits only) and looked up among known licence sentences; the
 sequence of the identifiers found is matched against rules, each an ordered run of identifiers. Sentences are taken from
-lines as they stand and from the text with its lines joined, so that wrapped licence texts and single lines both count.
+lines as they stand and from the text with its lines joined, so that wrapped licence texts and single lines both count, and,
+for the rules alone, from paragraphs with their lines joined, as headings and copyright lines seldom end like sentences. A
+paragraph ends at a line without letters and digits and on both sides of a copyright line with a year or sign.
 """
 
 from __future__ import annotations
@@ -46,6 +48,30 @@ SENTENCES = (
     "this is free and unencumbered software released into the public domain",
     "this source code form is subject to the terms of the mozilla public license v 2 0",
     "all rights reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "you may obtain a copy of the license at",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache license version 2 0 january 2004 https www apache org licenses",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "mozilla public license version 2 0",
+    "gnu general public license version 3 29 june 2007",
+    "gnu general public license version 2 june 1991",
+    "gnu lesser general public license version 3 29 june 2007",
+    "gnu lesser general public license version 2 1 february 1999",
+    "gnu affero general public license version 3 19 november 2007",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "see the gnu affero general public license for more details",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "see the gnu lesser general public license for more details",
+    "eclipse public license v 2 0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law",
+    "the artistic license 2 0",
+    "boost software license version 1 0 august 17th 2003",
 )
 # A rule is a licence and the numbers of its sentences in order, counted from 0 in SENTENCES.
 RULES = (
@@ -72,10 +98,33 @@ RULES = (
     ("Unlicense", (28,)),
     ("MPL-2.0", (29,)),
     ("proprietary", (30,)),
+    ("MIT", (31, 32, 1, 2)),
+    ("Apache-2.0", (7, 33, 34, 9)),
+    ("Apache-2.0", (35,)),
+    ("Apache-2.0", (36,)),
+    ("BSD-2-Clause", (37, 24, 25)),
+    ("BSD-3-Clause", (37, 24, 25, 26)),
+    ("ISC", (27, 38)),
+    ("MPL-2.0", (39,)),
+    ("GPL-3.0-only", (40,)),
+    ("GPL-2.0-only", (41,)),
+    ("LGPL-3.0-only", (42,)),
+    ("LGPL-2.1-only", (43,)),
+    ("AGPL-3.0-only", (44,)),
+    ("AGPL-3.0-or-later", (45, 14, 46)),
+    ("LGPL-2.1-or-later", (47, 48, 49)),
+    ("EPL-2.0", (50,)),
+    ("EPL-2.0", (51,)),
+    ("CC0-1.0", (52,)),
+    ("Artistic-2.0", (53,)),
+    ("BSL-1.0", (54,)),
 )
 #: A text without any of these has no known sentence. Each lies in one word, so that it doesn't matter what stands between words.
 ANCHORS = "licen|copyright|warrant|redistribut|permission|unencumbered|reserved"
 SENTENCE_END = r"[.!?]+([ \t\r\n]+|\z)"
+#: In lower case: a copyright line, and what stands between paragraphs. BREAK is put between paragraphs and sentences.
+COPYRIGHT_LINE = r"(^|\n)([^a-z0-9\n]*copyright[ \t]+(?:\(c\)|\xa9|[0-9])[^\n]*)"
+EMPTY_LINE, BREAK = r"\n[^a-z0-9\n]*\n", "\x01"
 
 
 def _identifiers(sentences: Column) -> Column:
@@ -92,13 +141,14 @@ def _run(identifiers: Column) -> Column:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, licences) of each row of ``docs``: known licence sentences, lines and joined lines counted apart, and the licences found.
 
-    ``licences`` are identifiers in code-point order with commas between them, each once; empty if there is none. A null or
+    Whole texts are read, however long; one without an anchor costs one search. ``licences`` are identifiers in code-point order with commas between them, each once; empty if there is none. A null or
     empty text has none. Repeated rows and null ids are scanned like others. An empty table gives no row. Other columns are
     ignored.
     """
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     ends = lambda t: F.split(F.regexp_replace(t, SENTENCE_END, "\n"), "\n", -1)
-    lines, joined = ends(text), ends(F.translate(text, "\n", " "))
+    apart = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, "\n\n$2\n"), EMPTY_LINE, BREAK)
+    lines, joined, paragraphs = ends(text), ends(F.translate(text, "\n", " ")), ends(F.translate(apart, "\n" + BREAK, " \n"))
     likely = text.rlike(ANCHORS)
     none = F.array().cast("array<int>")
 
@@ -115,9 +165,10 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             names.append(F.when(match, F.lit(licence)))
         return F.array_join(F.array_sort(F.array_compact(F.array(*names))), ",")
 
-    both = F.when(likely, F.array(_identifiers(lines), _identifiers(joined))).otherwise(F.array(none, none))
-    rows = docs.select("doc_id", let(both, lambda b: F.struct((F.size(F.get(b, F.lit(0))) + F.size(F.get(b, F.lit(1)))).alias("n"), F.transform(b, _run).alias("runs"))).alias("s"))
-    licences = F.when(F.col("s.n") == 0, F.lit("")).otherwise(let(F.col("s.runs"), found))
+    forms = F.when(likely, F.array(_identifiers(lines), _identifiers(joined), _identifiers(paragraphs))).otherwise(F.array(none, none, none))
+    size = lambda forms, i: F.size(F.get(forms, F.lit(i)))
+    rows = docs.select("doc_id", let(forms, lambda f: F.struct((size(f, 0) + size(f, 1)).alias("n"), F.transform(f, _run).alias("runs"), (F.size(F.flatten(f)) > 0).alias("some"))).alias("s"))
+    licences = F.when(F.col("s.some"), let(F.col("s.runs"), found)).otherwise(F.lit(""))
     return rows.select("doc_id", F.col("s.n").cast("long").alias("n_sentences"), licences.alias("licences"))
 
 
@@ -128,12 +179,16 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     known = ", ".join(f"('{s}', {i})" for i, s in enumerate(SENTENCES))
     rules = ", ".join(f"('{licence}', ' {' '.join(map(str, numbers))} ')" for licence, numbers in RULES)
-    sentence_end = r"[.!?]+([ \t\r\n]+|\z)"
+    sentence_end, new_line, apart = SENTENCE_END, "chr(10)", "chr(1)"
     return f"""
 WITH known(sentence, number) AS (VALUES {known}), rules(licence, run) AS (VALUES {rules}),
 lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 forms AS (
     SELECT doc_id, 0 AS form, t FROM lowered UNION ALL SELECT doc_id, 1 AS form, translate(t, chr(10), ' ') AS t FROM lowered
+    UNION ALL SELECT doc_id, 2 AS form, translate(
+        regexp_replace(regexp_replace(t, '{COPYRIGHT_LINE}', {new_line} || {new_line} || '\\2' || {new_line}, 'g'), '{EMPTY_LINE}', {apart}, 'g'),
+        {new_line} || {apart}, ' ' || {new_line}
+    ) AS t FROM lowered
 ), cut AS (
     SELECT doc_id, form, string_split(regexp_replace(t, '{sentence_end}', chr(10), 'g'), chr(10)) AS parts FROM forms
 ), sentences AS (
@@ -144,7 +199,7 @@ forms AS (
 ), runs AS (
     SELECT doc_id, form, ' ' || string_agg(CAST(number AS VARCHAR), ' ' ORDER BY place) || ' ' AS run, count(*) AS n FROM hits GROUP BY doc_id, form
 ), counted AS (
-    SELECT doc_id, sum(n) AS n FROM runs GROUP BY doc_id
+    SELECT doc_id, sum(n) AS n FROM runs WHERE form < 2 GROUP BY doc_id
 ), named AS (
     SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences
     FROM (SELECT DISTINCT runs.doc_id, rules.licence FROM runs JOIN rules ON contains(runs.run, rules.run)) AS x GROUP BY doc_id
