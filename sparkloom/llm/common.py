@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +131,7 @@ def packed_table(
         yield row["first"], np.frombuffer(row["data"], np.uint8), row["n"]
 
 
-def in_turn(texts: list[bytes], at_once: int) -> Iterator[list[bytes]]:
+def in_turn(texts: Iterable[bytes], at_once: int) -> Iterator[list[bytes]]:
     """``texts`` in groups of about ``at_once`` bytes, or of one longer text."""
     group, size = [], 0
     for text in texts:
@@ -144,6 +144,12 @@ def in_turn(texts: list[bytes], at_once: int) -> Iterator[list[bytes]]:
         yield group
 
 
+def runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The values of a string column as UTF-8, without decoding them."""
     return column.cast(pa.large_binary()).to_pylist()

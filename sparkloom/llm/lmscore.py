@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import arrow_rows, as_bytes, cut, documents, held_out, in_turn
+from .common import arrow_rows, as_bytes, cut, documents, held_out, in_turn, runs
 
 FOLDS = 5
 #: Bytes of text in a block, about, unless a text is longer; bytes of text and entries that are scored together.
@@ -30,7 +31,7 @@ BLOCK_BYTES, AT_ONCE, SCORED_AT_ONCE = 32_000_000, 4_000_000, 1_000_000
 HASH_BITS = 16
 LEAST_BUCKETS = 16
 
-BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, n_tokens binary, tokens binary, words binary, hashes binary, counts binary, train_docs long, train_words long, pair_keys array<int>, pair_counts array<long>"
+BLOCKS = "block_id long, doc_ids array<long>, held array<boolean>, n_tokens binary, tokens binary, words binary, hashes binary, counts binary, train_docs long, train_words long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -44,7 +45,6 @@ class Block:
         self.held: list[bool] = []
         self.tokens: list[np.ndarray] = []
         self.bytes = 0
-        self.pairs, self.waiting, self.waiting_bytes = np.zeros(1 << 16, np.int64), [], 0
 
     def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
         words = text.lower().split()
@@ -52,15 +52,6 @@ class Block:
         self.held.append(held)
         self.tokens.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.bytes += len(text)
-        if not held:
-            self.waiting.append(b" ".join(words))
-            self.waiting_bytes += len(text)
-            if self.waiting_bytes > AT_ONCE:
-                self._count_pairs()
-
-    def _count_pairs(self) -> None:
-        self.pairs += ppm.pair_counts(self.waiting)
-        self.waiting, self.waiting_bytes = [], 0
 
     def row(self, block_id: int) -> pa.RecordBatch:
         words, n = list(self.numbers), len(self.numbers)
@@ -72,13 +63,11 @@ class Block:
         learned = [t for t, held in zip(tokens, self.held) if not held]
         counts = np.bincount(np.concatenate(learned), minlength=n) if learned else np.zeros(n, np.int64)
         words = [words[i] for i in order]
-        self._count_pairs()
-        pairs = np.flatnonzero(self.pairs)
         values = [
-            block_id, self.doc_ids, self.held, np.array([len(t) for t in tokens], np.int64).tobytes(), np.concatenate(tokens).tobytes(), b"\n".join(words),
-            hashes[order].astype(np.uint16).tobytes(), counts.tobytes(), len(learned), sum(map(len, learned)), pairs, self.pairs[pairs],
+            block_id, self.doc_ids, self.held, np.array([len(t) for t in tokens], np.int64).tobytes(), _squeezed(np.concatenate(tokens)), b"\n".join(words),
+            hashes[order].astype(np.uint16).tobytes(), counts.tobytes(), len(learned), sum(map(len, learned)),
         ]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64()]
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
@@ -136,12 +125,38 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(merge, "block_id long, bucket int, counts binary, distinct long")
 
 
-def _texts(row: dict) -> list[bytes]:
+def _squeezed(tokens: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(tokens.astype(np.int32).tobytes())
+
+
+def _tokens(row: dict) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.int32)
+
+
+def _texts(row: dict) -> Iterator[bytes]:
     """The normalised texts of a block."""
-    words = row["words"].split(b"\n")
-    tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["n_tokens"], np.int64)
-    ends = np.cumsum(sizes)
-    return [b" ".join(map(words.__getitem__, tokens[e - s : e].tolist())) for s, e in zip(sizes.tolist(), ends.tolist())]
+    words = np.frombuffer(row["words"] + b"\n", np.uint8)
+    ends = np.flatnonzero(words == 0x0A) + 1
+    # each word with a space after it
+    words = np.where(words == 0x0A, np.uint8(ppm.SPACE), words)
+    sizes = np.diff(ends, prepend=0)
+    starts, tokens = ends - sizes, _tokens(row)
+    last = np.cumsum(np.frombuffer(row["n_tokens"], np.int64))
+    first = last - np.frombuffer(row["n_tokens"], np.int64)
+    length = np.cumsum(np.r_[0, sizes[tokens]])
+    at = 0
+    while at < len(last):
+        # documents of about AT_ONCE bytes, one at least
+        to = max(at + 1, int(np.searchsorted(length[last], length[first[at]] + AT_ONCE)))
+        part = tokens[first[at] : last[to - 1]]
+        data, base = runs(words, starts[part], sizes[part]).tobytes(), int(length[first[at]])
+        for a, b in zip((length[first[at:to]] - base).tolist(), (length[last[at:to]] - base).tolist()):
+            yield data[a : max(a, b - 1)]
+        at = to
 
 
 def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +170,30 @@ def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return folded()
 
 
+def _entries_row(block_id: int, bucket: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block_id], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_packed(keys, counts)])], names=["block_id", "bucket", "entries"])
+
+
+def all_pairs(entries: DataFrame) -> np.ndarray:
+    """How often each pair of bytes occurs in training documents, from the entries of bucket -1; combined in each task, 65,536 numbers."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                keys, counts = _unpacked(data)
+                table[keys.astype(np.int64)] += counts
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["pair", "n"])
+
+    pairs = np.zeros(1 << 16, np.int64)
+    for row in arrow_rows(entries.where("bucket < 0").select("entries"), add, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 at most
+        pairs[row["pair"]] = row["n"]
+    return pairs
+
+
 def block_entries(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
-    """(block_id, bucket, entries): the distinct entries of each block, packed, and how often its training documents have them.
+    """(block_id, bucket, entries): the distinct entries of each block, packed, and how often its training documents have them; in bucket -1 their pairs of bytes.
 
     Buckets go by the last two bytes of context, which entries and contexts of all orders but the two lowest share.
     """
@@ -164,18 +201,20 @@ def block_entries(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                texts = _texts(row)
-                keys, counts = _distinct([t for t, held in zip(texts, row["held"]) if not held], order)
-                others, none = _distinct([t for t, held in zip(texts, row["held"]) if held], order)
+                keys, counts = _distinct(list(compress(_texts(row), [not x for x in row["held"]])), order)
+                others, none = _distinct(list(compress(_texts(row), row["held"])), order)
+                pairs = ppm.pair_counts(keys, counts, order)
+                some = np.flatnonzero(pairs)
+                yield _entries_row(row["block_id"], -1, some.astype(np.uint64), pairs[some])
                 keys, counts = ppm.count_keys(np.concatenate([keys, others]), np.concatenate([counts, 0 * none]))
                 for b, part in _by_bucket(keys, buckets, order):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block_id"]], pa.int64()), pa.array([b], pa.int32()), pa.array([_packed(keys[part], counts[part])])], names=["block_id", "bucket", "entries"])
+                    yield _entries_row(row["block_id"], b, keys[part], counts[part])
 
     return arrow_rows(blocks.select("block_id", "held", "n_tokens", "tokens", "words"), split, "block_id long, bucket int, entries binary")
 
 
 def entry_scores(entries: DataFrame, pairs: np.ndarray, order: int) -> DataFrame:
-    """(block_id, bucket, scores): log10 of the probability of each of a block's entries of a bucket, after all training documents.
+    """(block_id, bucket, entries, scores): log10 of the probability of each of a block's entries of a bucket, after all training documents.
 
     ``pairs`` are the counts of pairs of bytes in training documents.
     """
@@ -195,9 +234,9 @@ def entry_scores(entries: DataFrame, pairs: np.ndarray, order: int) -> DataFrame
         for i in range(0, len(keys), SCORED_AT_ONCE):
             scores.append(model.score(keys[i : i + SCORED_AT_ONCE] << np.uint64(8 * (7 - order))).astype(np.float32))
         scores = np.concatenate(scores)
-        return pd.DataFrame({"block_id": parts["block_id"], "bucket": parts["bucket"], "scores": [scores[np.searchsorted(keys, k)].tobytes() for k, _ in each]})
+        return pd.DataFrame({"block_id": parts["block_id"], "bucket": parts["bucket"], "entries": parts["entries"], "scores": [scores[np.searchsorted(keys, k)].tobytes() for k, _ in each]})
 
-    return entries.groupBy("bucket").applyInPandas(score, "block_id long, bucket int, scores binary")
+    return entries.where("bucket >= 0").groupBy("bucket").applyInPandas(score, "block_id long, bucket int, entries binary, scores binary")
 
 
 def _by_bucket(keys: np.ndarray, buckets: int, order: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -235,11 +274,8 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
     # four for each block, so that what a bucket gathers is a fraction of what a block holds
     buckets = min(1 << HASH_BITS, max(LEAST_BUCKETS, 4 << (max(1, sums["n"]) - 1).bit_length()))
     counts = cut(word_counts(blocks, buckets))
-    pairs = np.zeros(1 << 16, np.int64)
-    pair = F.explode(F.arrays_zip("pair_keys", "pair_counts")).alias("p")
-    for row in blocks.select(pair).groupBy("p.pair_keys").agg(F.sum("p.pair_counts").alias("n")).collect():  # 65,536 at most
-        pairs[row["pair_keys"]] = row["n"]
-    looked_up = entry_scores(block_entries(blocks, buckets, order), pairs, order)
+    entries = cut(block_entries(blocks, buckets, order))
+    looked_up = entry_scores(entries, all_pairs(entries), order)
     n_docs, distinct = sums["docs"], counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
 
     total, kinds = sums["words"] + n_docs, distinct + (n_docs > 0)
@@ -249,19 +285,15 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
         if not len(block):
             return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
         row = block.iloc[0]
-        tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["n_tokens"], np.int64)
+        tokens, sizes = _tokens(row), np.frombuffer(row["n_tokens"], np.int64)
         found = found.sort_values("bucket")
         c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in found["counts"] if x is not None)])
         ends = np.cumsum(sizes)
         by_doc = lambda each: np.diff(np.r_[0, np.r_[0, np.cumsum(each[tokens])][ends]])
-        texts = _texts(row)
-        keys, _ = _distinct(texts, order)
-        of_key = np.zeros(len(keys), np.float32)
-        some = {b: x for b, x in zip(found["bucket"], found["scores"]) if x is not None}
-        for b, part in _by_bucket(keys, buckets, order):
-            of_key[part] = np.frombuffer(some[b], np.float32)
-        table, scores = ppm.Table(keys), []
-        for group in in_turn(texts, AT_ONCE):
+        some = [(_unpacked(e)[0], np.frombuffer(x, np.float32)) for e, x in zip(found["entries"], found["scores"]) if x is not None]
+        of_key = np.concatenate([np.zeros(0, np.float32), *(x for _, x in some)])
+        table, scores = ppm.Table(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in some)])), [np.zeros(0)]
+        for group in in_turn(_texts(row), AT_ONCE):
             windows, lengths = ppm.windows(group)
             each = of_key[table.find(ppm.entry_keys(windows, order))].astype(np.float64)
             scores.append(np.add.reduceat(each, np.r_[0, np.cumsum(lengths)[:-1]]))
@@ -272,8 +304,8 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
         })
 
     left = blocks.select("block_id", "doc_ids", "held", "n_tokens", "tokens", "words")
-    back = counts.select("block_id", "bucket", "counts", F.lit(None).cast("binary").alias("scores"))
-    back = back.union(looked_up.select("block_id", "bucket", F.lit(None).cast("binary"), "scores"))
+    back = counts.select("block_id", "bucket", "counts", F.lit(None).cast("binary").alias("entries"), F.lit(None).cast("binary").alias("scores"))
+    back = back.union(looked_up.select("block_id", "bucket", F.lit(None).cast("binary"), "entries", "scores"))
     return left.groupBy("block_id").cogroup(back.groupBy("block_id")).applyInPandas(score, SCORES)
 
 

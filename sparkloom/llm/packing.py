@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes, cut, documents, in_turn
+from .common import arrow_rows, as_bytes, cut, documents, in_turn, runs
 
 WINDOW = 2048
 #: Ends each document.
@@ -47,12 +47,6 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Runs of ``values``, one after another."""
-    ends = np.cumsum(sizes)
-    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class WordEncoder:
     """Encodes texts word by word.
 

@@ -57,7 +57,8 @@ def count_keys(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
         keys = np.sort(keys)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         return keys[first], np.diff(np.r_[first, len(keys)])
-    order = np.argsort(keys)
+    # keys often come as a few runs in order, which this sort merges
+    order = np.argsort(keys, kind="stable")
     keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(weights, first)
@@ -155,12 +156,9 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-30)).astype(np.float32)
 
 
-def pair_counts(texts: list[bytes]) -> np.ndarray:
-    """How often each byte (times 1) and symbol after it (times 256) occur in normalised ``texts``, as entries of order 1."""
-    joined = np.frombuffer(b"".join([part for text in texts for part in (b" ", text, b"\n")]), np.uint8)
-    table = np.bincount(joined[:-1] + np.uint16(256) * joined[1:], minlength=1 << 16)
-    table[END::256] = 0  # the space before the next text
-    return table
+def pair_counts(keys: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """How often each byte (times 1) and symbol after it (times 256) occur in entries of ``order``."""
+    return np.bincount((keys >> np.uint64(8 * (order - 1))).astype(np.int64), counts, minlength=1 << 16).astype(np.int64)
 
 
 def low_orders(pairs: np.ndarray) -> list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
