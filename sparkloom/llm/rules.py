@@ -48,10 +48,10 @@ def _repeated_words(hashes: Column) -> Column:
         same = lambda a, b: F.get(ordered, a)["h"] == F.get(ordered, b)["h"]
         place = lambda j: F.when(F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)), F.get(ordered, j)["p"])
         places = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(ordered) - 1), place))
-        return let(F.array_sort(places), covered)
+        return let(F.sort_array(places), covered)
 
     def windows(found: Column) -> Column:
-        ordered = F.array_sort(F.transform(found, lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
+        ordered = F.sort_array(F.transform(found, lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
         return F.when(F.size(F.array_distinct(found)) < F.size(found), let(ordered, repeated)).otherwise(0)
 
     hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(WINDOW))))
@@ -217,18 +217,17 @@ def judged(measured_docs: DataFrame, model: RuleModel) -> DataFrame:
 def assess_documents(docs: DataFrame) -> DataFrame:
     """doc_id, MEASURES, base_failed, posterior and kept of each row of ``docs``.
 
-    A null or empty text has no words and fails. A null doc_id and repeated rows are judged like others. An empty table
-    gives no row. Other columns are ignored.
+    A null or empty text has no words and fails. A null doc_id and repeated rows are judged like others, and equal texts
+    alike. Texts are measured whole, however long, each in one task. An empty table gives no row. Other columns are ignored.
     """
     found = cut(measured(docs.select("doc_id", "text"), "doc_id"))
     return judged(found, fit_rules(vote_patterns(found)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that assess_documents keeps, with their columns; the texts are measured twice rather than shuffled."""
-    model = fit_rules(vote_patterns(measured(docs.select("text"))))
-    held = docs.select(whole_row(docs).alias("row"), "text")
-    return judged(measured(held, "row"), model).where("kept").select("row.*")
+    """The rows of ``docs`` that assess_documents keeps, with their columns. Each text is measured once; rows wait with their measures in the checkpoint folder."""
+    found = cut(measured(docs.select(whole_row(docs).alias("row"), F.col("text").cast("string").alias("text")), "row"))
+    return judged(found, fit_rules(vote_patterns(found))).where("kept").select("row.*")
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
