@@ -123,7 +123,9 @@ def test_grid_finds_all_links(spark):
 
 def test_near_copies(spark, docs, empty):
     rows = docs.select("doc_id", "text").collect()
-    sets = [frozenset(" ".join(words(r["text"])[i : i + 5]) for i in range(max(1, len(words(r["text"])) - 4))) if words(r["text"]) else frozenset() for r in rows]
+    sets = []
+    for w in (words(r["text"]) for r in rows):
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
     similar = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
     root = components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
     for crowded in (48, 1):
