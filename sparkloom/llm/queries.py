@@ -15,6 +15,7 @@ from .quality import op3_quality
 from .rules import op9_rules
 from .simhash import op1_simhash
 from .tokencount import op7_tokencount
+from .tokenfiles import op12_tokenfiles
 from .topk import ORACLE_TOP_K, op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_rules": op9_rules,
     "op10_topk": op10_topk,
+    "op12_tokenfiles": op12_tokenfiles,
 }
 
 ORACLE_SQL: dict[str, str] = {
