@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_alignment
 from .licences import ORACLE_LICENCES, op2_licences
 from .linededup import op4_linededup
 from .lmscore import op6_lmscore
@@ -14,6 +15,7 @@ from .packing import op8_packing
 from .quality import op3_quality
 from .rules import op9_rules
 from .simhash import op1_simhash
+from .spelling import op11_spelling
 from .tokencount import op7_tokencount
 from .tokenfiles import op12_tokenfiles
 from .topk import ORACLE_TOP_K, op10_topk
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_rules": op9_rules,
     "op10_topk": op10_topk,
+    "op11_spelling": op11_spelling,
     "op12_tokenfiles": op12_tokenfiles,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {

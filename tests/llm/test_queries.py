@@ -27,11 +27,11 @@ def test_same_rows_as_sql(spark, name):
 
 def test_all_are_registered():
     known = entry.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in known)] == []
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in known)] == []
     assert "pipeline" in known
 
 
-@pytest.mark.parametrize("name", ["op1_simhash", "op3_quality", "op4_linededup", "op5_mixing", "op6_lmscore", "op7_tokencount", "op9_rules"])
+@pytest.mark.parametrize("name", ["op1_simhash", "op3_quality", "op4_linededup", "op5_mixing", "op6_lmscore", "op7_tokencount", "op9_rules", "op12_tokenfiles", "op13_alignment"])
 def test_a_row_for_each_document(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no test data")
