@@ -34,7 +34,9 @@ BYTE_VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stands for a space in pieces.
 PIECE_SPACE = "▁"
 #: Steps, chunks and bytes of chunks that a worker keeps, and bytes of one that it keeps.
-CACHED_STEPS, CACHED_CHUNKS, CACHED_BYTES, LONG_CHUNK = 1_000_000, 300_000, 12_000_000, 64
+CACHED_STEPS, CACHED_CHUNKS, CACHED_BYTES, LONG_CHUNK = 500_000, 300_000, 12_000_000, 64
+#: Units that the byte-level side keeps, bytes of a block's texts, and new chunks that are aligned together.
+CACHED_UNITS, BLOCK_BYTES, NEW_AT_ONCE = 200_000, 6_000_000, 30_000
 #: One side's id is the upper half of a pair's number.
 HALF = 32
 STATS = "n_a long, n_b long, n_groups long, groups_sha256 string"
@@ -126,7 +128,7 @@ class Aligner:
     def __init__(self, vocabulary: str, model: str):
         import sentencepiece
 
-        self.a = ByteEncoder(vocabulary, plain_special=True)
+        self.a = ByteEncoder(vocabulary, plain_special=True, cached=CACHED_UNITS)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(model))
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         if any(PIECE_SPACE in name.lstrip(PIECE_SPACE) for name in names):
@@ -152,9 +154,9 @@ class Aligner:
         words = distinct.to_pylist()
         at = [i for i, w in enumerate(words) if w not in self.numbers]
         once: dict[str, int] = {}
-        if at:
-            new = [words[i] for i in at]
-            ids, sizes = self.a.ids_of(self.a.units(distinct.take(pa.array(at, pa.int64()))).ravel())
+        for part in (at[i : i + NEW_AT_ONCE] for i in range(0, len(at), NEW_AT_ONCE)):
+            new = [words[i] for i in part]
+            ids, sizes = self.a.ids_of(self.a.units(distinct.take(pa.array(part, pa.int64()))).ravel())
             ids, ends = ids.tolist(), [0, *np.cumsum(sizes)[1::2].tolist()]
             first, found = len(self.text), [self._align(ids[i:j], b) for i, j, b in zip(ends, ends[1:], self.pieces.encode(new, num_threads=1))]
             sizes = np.fromiter((len(f[3]) for f in found), np.int64, len(found))
@@ -212,7 +214,7 @@ def align_blocks(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, model: str
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(vocabulary, model)
-        for k, table in enumerate(gathered(batches, 1)):
+        for k, table in enumerate(gathered(batches, 1, BLOCK_BYTES)):
             aligner.trim()
             block = TaskContext.get().partitionId() << HALF | k
             numbers, sizes, good = _aligned(aligner, flat(table.column(1)))
@@ -299,7 +301,7 @@ def alignment_groups(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, model:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(vocabulary, model)
         said = aligner.transducer.bytes[0]
-        for table in gathered(batches, 1):
+        for table in gathered(batches, 1, BLOCK_BYTES):
             aligner.trim()
             numbers, sizes, _ = _aligned(aligner, flat(table.column(1)))
             at = 0

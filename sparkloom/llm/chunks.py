@@ -10,6 +10,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(
 SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 IS_LETTERS = re.compile(f"[{LETTERS}]+")
 #: Bytes of text that are looked up together; units that a worker keeps, and bytes of one that it keeps.
-AT_ONCE, CACHED_UNITS, LONG_UNIT = 8_000_000, 600_000, 64
+AT_ONCE, CACHED_UNITS, LONG_UNIT = 16_000_000, 900_000, 64
 #: Units that are encoded in one call.
 AT_A_TIME = 1000
 
@@ -89,12 +90,13 @@ class Grown:
 class ByteEncoder:
     """Token ids of chunks by a byte-level vocabulary. A unit is a run of letters with the space before it, or what else stands in a chunk; the ids of each are found once."""
 
-    def __init__(self, vocabulary: str, plain_special: bool = False):
+    def __init__(self, vocabulary: str, plain_special: bool = False, cached: int = CACHED_UNITS):
         # a task has one core
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         path = vocabulary_path(vocabulary)
+        self.cached = cached
         self.tokenizer = Tokenizer.from_file(path)
         #: Whether special tokens' strings in a text are plain text.
         self.tokenizer.encode_special_tokens = plain_special
@@ -113,46 +115,49 @@ class ByteEncoder:
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {"": 0}
         self.starts, self.sizes, self.ids = Grown("i8"), Grown("i8"), Grown("i4")
-        self._add([np.zeros(0, np.int32)])
+        self.add_unit([])
 
     def trim(self) -> None:
         """To be called between tables: what is kept doesn't grow with the input."""
-        if len(self.spaced) + len(self.bare) > CACHED_UNITS:
+        if len(self.spaced) + len(self.bare) > self.cached:
             self.forget()
 
-    def _add(self, found: list[np.ndarray]) -> int:
-        """The number of the first unit of those with these ids."""
-        first, sizes = self.sizes.n, np.fromiter(map(len, found), np.int64, len(found))
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """The number of the first of the units that have these ids."""
+        first = self.sizes.n
         self.starts.add(self.ids.n + np.cumsum(sizes) - sizes)
         self.sizes.add(sizes)
-        self.ids.add(np.concatenate(found) if found else np.zeros(0, np.int32))
+        self.ids.add(ids)
         return first
 
-    def _encoded(self, units: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
     def add_unit(self, ids: list[int]) -> int:
-        return self._add([np.array(ids, np.int32)])
+        return self._add(np.array(ids, np.int32), np.array([len(ids)]))
+
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def numbers(self, words: list[str], spaced: bool) -> np.ndarray:
         """Numbers of units: the words, each with a space before it if ``spaced``."""
         known = self.spaced if spaced else self.bare
-        new = [w for w in words if w not in known]
+        new = list(set(words).difference(known))
         once: dict[str, int] = {}
         if new:
             letters = [w for w in new if spaced and IS_LETTERS.fullmatch(w)]
             groups = [letters[i : i + AT_A_TIME] for i in range(0, len(letters), AT_A_TIME)]
-            for group, ids in zip(groups, self._encoded(["".join(f" {w}" for w in g) for g in groups])):
-                parts = np.split(ids, np.flatnonzero(self.leads[ids])[1:])
-                if len(parts) != len(group):
+            for group, ids in zip(groups, self._encoded([" " + " ".join(g) for g in groups])):
+                ids = np.array(ids, np.int32)
+                begins = np.flatnonzero(self.leads[ids])
+                if len(begins) != len(group):
                     raise ValueError("the vocabulary's tokens don't end where words end")
-                first = self._add(parts)
+                first = self._add(ids, np.diff(np.r_[begins, len(ids)]))
                 known.update(zip(group, range(first, first + len(group))))
-            rest = [w for w in new if w not in known]
-            first = self._add(self._encoded([f" {w}" if spaced else w for w in rest]))
+            rest = [w for w in new if w not in known] if len(letters) < len(new) else []
+            found = self._encoded([f" {w}" if spaced else w for w in rest])
+            first = self._add(np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
             for number, word in enumerate(rest, first):
                 (known if len(word) <= LONG_UNIT else once)[word] = number
-        return np.fromiter((known[w] if w in known else once[w] for w in words), np.int64, len(words))
+        numbers = map(known.__getitem__, words) if not once else (known[w] if w in known else once[w] for w in words)
+        return np.fromiter(numbers, np.int32, len(words))
 
     def units(self, pieces: pa.Array) -> np.ndarray:
         """Two unit numbers for each distinct piece with a space before it: letters and what follows them, or all of it and none."""
@@ -160,7 +165,8 @@ class ByteEncoder:
         size = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False)
         stems, tails = size(stem), size(tail)
         regular = pa.array((stems + tails == size(pieces)) & (stems > 0))
-        out = np.empty((len(pieces), 2), np.int64)
+        del stems, tails
+        out = np.empty((len(pieces), 2), np.int32)
         for i, (part, spaced) in enumerate([(pc.if_else(regular, stem, pieces), True), (pc.if_else(regular, tail, ""), False)]):
             coded = flat(part).dictionary_encode()
             out[:, i] = self.numbers(coded.dictionary.to_pylist(), spaced)[coded.indices.to_numpy()]

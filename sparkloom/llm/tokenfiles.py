@@ -28,6 +28,8 @@ END_ID = 2
 INDEX_STRIDE, STRIPE_BYTES, FALSE_POSITIVES = 1000, 16 << 20, 0.01
 #: Rows after which a stripe's size is looked at; documents may be long.
 ROWS_BETWEEN_CHECKS = 200
+#: Units whose ids are handed on together, about.
+UNITS_OUT = 500_000
 ROWS = "part int, doc_id long, place long, n_tokens long, ids array<int>"
 
 
@@ -60,7 +62,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
             docs_n, first = len(n), np.cumsum(n) - n
             coded = pieces.dictionary_encode()
             # a document's pieces, then its end
-            units = np.zeros((len(pieces) + docs_n, 2), np.int64)
+            units = np.zeros((len(pieces) + docs_n, 2), np.int32)
             places = np.arange(len(pieces)) + np.repeat(np.arange(docs_n), n)
             units[places] = encoder.units(coded.dictionary)[coded.indices.to_numpy()]
             begins = pieces.take(pa.array(first)).dictionary_encode()
@@ -68,17 +70,19 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
             units[places[first], 1] = 0
             ends = first + n + np.arange(docs_n)
             units[ends, 0] = end
-            ids, sizes = encoder.ids_of(units.ravel())
-            stops = np.cumsum(sizes)[2 * ends + 1]
-            counts = np.diff(stops, prepend=0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(docs_n, part, np.int32)), table.column(0).combine_chunks(), pa.array(at + stops - counts), pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(ids)),
-                ],
-                names=["part", "doc_id", "place", "n_tokens", "ids"],
-            )
-            at += int(stops[-1]) if docs_n else 0
+            doc_ids = table.column(0).combine_chunks()
+            del pieces, coded, begins, places
+            # documents of about so many units are handed on together
+            cuts = [0, *(np.flatnonzero(np.diff(ends // UNITS_OUT)) + 1).tolist(), docs_n]
+            for a, b in zip(cuts, cuts[1:]):
+                begin = int(ends[a - 1]) + 1 if a else 0
+                ids, sizes = encoder.ids_of(units[begin : ends[b - 1] + 1].ravel())
+                stops = np.cumsum(sizes)[2 * (ends[a:b] - begin) + 1]
+                counts = np.diff(stops, prepend=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(ids))
+                columns = [pa.array(np.full(b - a, part, np.int32)), doc_ids.slice(a, b - a), pa.array(at + stops - counts), pa.array(counts), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "place", "n_tokens", "ids"])
+                at += int(stops[-1])
 
     return arrow_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, ROWS)
 
