@@ -1,8 +1,10 @@
 """A code graph in a folder of versions: building it, keeping it up to date, and asking it.
 
-A version is a set of Parquet tables; it counts once its ``commit`` table is there, which is written last, so readers see
-the old version or the new one and never a part. Only added and changed files are parsed again; their rows replace the old
-ones in the table of parsed files, and the graph is derived from that table anew, so an incremental build equals a full one.
+A version is a manifest over tables in buckets (see ``store``); readers see the old version or the new one and never a part.
+Only added and changed files are parsed again. From what differs in their symbols follow the keys of calls that may have another
+target now, and only their edges are replaced, in the buckets that hold them (see ``operators.delta``). Edges are stored twice,
+by the module they come from and by the symbol they lead to, so that a question reads the buckets of what it asks for. Terms of
+documents are stored by term, a segment for each version until they are merged.
 """
 
 from __future__ import annotations
@@ -13,55 +15,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut_lineage
+from .functions import code
+from .operators import delta, graph, report, retrieval, traverse
+from .operators.build import last_imports
+from .schemas import DOC, EDGE, NODE, PARSED, POSTING, STORED_EDGE
+from .sources.languages import module_of
+from .sources.repository import content_hashes, discover, parse_sources, read_repository
+from .store import Store, at_once, bucket_column, bucket_of, buckets_for
 
-from .operators import graph, report, retrieval, traverse
-from .operators.build import GraphTables, build_graph
-from .schemas import DOC, EDGE, NODE, PARSED
-from .sources.repository import content_hashes, parse_sources, read_repository
-
+STORED_DOC = f"{DOC}, module string, dl int"
 #: Given, so that empty tables can be read.
-SCHEMAS = {"parsed": PARSED, "nodes": NODE, "edges": EDGE, "docs": DOC}
+SCHEMAS = {"parsed": PARSED, "symbols": delta.SYMBOL, "keys": delta.KEY, "nodes": NODE, "edges": STORED_EDGE, "edges_in": STORED_EDGE, "docs": STORED_DOC, "dead": "file string, upto int"}
+SHOWN = {"edges": EDGE, "edges_in": EDGE, "docs": DOC}
+CALLS = "rel_table in ('R_CALLS_FF', 'R_CALLS_FC')"
+#: Rows that a file is reckoned to have in each table, for the number of buckets.
+ROWS_A_FILE = 50
+#: With more changed files the tables are derived anew; with more ids the frontier stays a table.
+MOST_CHANGED, MOST_IDS = 1000, 2000
+#: Segments of the search index before they are merged.
+MOST_SEGMENTS = 6
 
 
 class SourceGraph:
-    """``db`` is a folder that all executors share."""
+    """``db`` is a folder that all executors share. ``model`` makes vectors of texts; ``backend`` answers (query, k) with ids, the best first."""
 
-    def __init__(self, spark: SparkSession, db: str, model: Callable[[list[str]], list[list[float]]] | None = None):
-        self.spark, self.db, self.model = spark, db.rstrip("/"), model
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.db)
-        self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, db: str, model: Callable[[list[str]], list[list[float]]] | None = None, backend: Callable[[str, int], list[str]] | None = None):
+        self.spark, self.db, self.model, self.backend = spark, db.rstrip("/"), model, backend
+        self.store = Store(spark, self.db)
 
     # ---- versions
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.db}/{name}")
-
     def version(self) -> int | None:
         """The last version that was committed."""
-        if not self._files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self.db)):
-            return None
-        names = [s.getPath().getName() for s in self._files.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.db))]
-        found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and self._files.exists(self._path(f"{n}/commit/_SUCCESS"))]
-        return max(found, default=None)
-
-    def _table(self, name: str, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version is None:
+        newest = self.store.newest()
+        return None if newest is None else newest["version"]
+
+    def _manifest(self) -> dict:
+        newest = self.store.newest()
+        if newest is None:
             raise ValueError(f"{self.db} has no graph; analyze a repository first")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.db}/v={version}/{name}")
+        return newest
 
-    def _commit(self, parsed: DataFrame, version: int) -> GraphTables:
-        base = f"{self.db}/v={version}"
-        parsed.write.mode("overwrite").parquet(f"{base}/parsed")
-        built = build_graph(self._table("parsed", version))
-        built.nodes.repartition("label").sortWithinPartitions("id").write.mode("overwrite").partitionBy("label").parquet(f"{base}/nodes")
-        built.edges.repartition("rel_table").sortWithinPartitions("src").write.mode("overwrite").partitionBy("rel_table").parquet(f"{base}/edges")
-        built.docs.write.mode("overwrite").parquet(f"{base}/docs")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{base}/commit")
-        return built
+    def _read(self, manifest: dict, name: str, keys=None, only=None) -> DataFrame:
+        return self.store.read(manifest["tables"][name], POSTING if name.startswith("postings") else SCHEMAS[name], keys, only)
 
-    def wipe(self) -> None:
-        self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.db), True)
+    def _table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        rows = self._read(manifest or self._manifest(), name)
+        return rows.select([f.split()[0] for f in SHOWN[name].split(", ")]) if name in SHOWN else rows
 
     def snapshot(self) -> dict[str, str]:
         """Content hash by file."""
@@ -70,78 +71,275 @@ class SourceGraph:
     # ---- building
 
     def analyze(self, root: str, force: bool = False) -> dict:
-        """Builds the graph of the sources under ``root``, or brings it up to date; ``force`` builds it anew."""
-        sources, version = read_repository(self.spark, root), self.version()
-        if force or version is None:
-            parsed = parse_sources(sources)
-            if force and version is not None:
-                self.wipe()
-            built = self._commit(parsed, 0)
-            return {"mode": "full", **self._totals(built)}
-        old = self._table("parsed", version)
-        diff = graph.snapshot_diff(old, content_hashes(sources)).collect()
-        changes = {kind: sorted(r["file"] for r in diff if r["change"] == kind) for kind in ("added", "changed", "deleted")}
+        """Builds the graph of the sources under ``root``, or brings it up to date; ``force`` builds it anew, and the old one stays until the new one is there.
+
+        The newest version whose files are whole counts; without one the graph is built anew.
+        """
+        sources = read_repository(self.spark, root)
+        manifest = None if force else self.store.newest(checked=True)
+        if manifest is not None:
+            return self._update(manifest, sources)
+        found = len(discover(root))
+        if not found:
+            return {"mode": "full", "files": 0, "symbols": 0, "edges": 0, "calls": 0, "unresolved": 0}
+        version, buckets = self.store.next_version(), buckets_for(ROWS_A_FILE * found)
+        parsed = self.store.write("parsed", parse_sources(sources), "module", buckets, "file")
+        published = self._derive(parsed, version)
+        if force:
+            self.store.vacuum(keep=1)
+        return {"mode": "full", **self._counts(published)}
+
+    def _derive(self, parsed_table: dict, version: int) -> dict:
+        """All tables from the parsed files, published."""
+        store, buckets = self.store, parsed_table["buckets"]
+        parsed = store.read(parsed_table, PARSED)
+
+        def graph_tables() -> dict:
+            symbols_table = store.write("symbols", delta.symbols_of(parsed), "module", buckets, "name")
+            symbols = store.read(symbols_table, delta.SYMBOL)
+            calls = delta.calls_of(parsed)
+            keys_table = store.write("keys", delta.resolved(delta.keys_of(calls), symbols, last_imports(parsed)), "module", buckets, "chain")
+            edges = delta.call_edges(calls, store.read(keys_table, delta.KEY), delta.labels_of(symbols)).unionByName(delta.own_edges(symbols)).unionByName(delta.import_edges(parsed, parsed.select("module")))
+            edges_table = store.write("edges", edges, "module", buckets, "src")
+            edges_in = store.write("edges_in", store.read(edges_table, STORED_EDGE), "dst", buckets, "dst")
+            return {"symbols": symbols_table, "keys": keys_table, "edges": edges_table, "edges_in": edges_in}
+
+        def nodes() -> dict:
+            rows = delta.file_nodes(parsed).unionByName(delta.symbol_nodes(delta.symbols_of(parsed)))
+            return {"nodes": store.write("nodes", rows, "id", buckets, "id")}
+
+        def index() -> dict:
+            docs = store.write("docs", _documents(parsed), "module", buckets, "ord")
+            return {"docs": docs, **self._index(store.read(docs, STORED_DOC), version, buckets)}
+
+        tables = {"parsed": parsed_table}
+        for part in at_once(graph_tables, nodes, index):
+            tables |= part
+        return self._publish(tables, version)
+
+    def _index(self, docs: DataFrame, version: int, buckets: int) -> dict:
+        """The search index of all documents, as one segment."""
+        dead = self.store.write("dead", self.spark.createDataFrame([], SCHEMAS["dead"]), "file", 1)
+        return {f"postings{version}": self.store.write("postings", retrieval.stored_postings(docs, version), "term", buckets, "term"), "dead": dead}
+
+    def _publish(self, tables: dict, version: int) -> dict:
+        """Publishes the tables with what is counted over all of them."""
+        manifest = {"tables": tables}
+        nodes, edges, keys, docs = at_once(
+            lambda: graph.node_counts(self._read(manifest, "nodes")).collect(),
+            lambda: graph.edge_counts(self._read(manifest, "edges")).collect(),
+            lambda: self._read(manifest, "keys").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("tier") == 0, F.col("sites"))), F.lit(0)).alias("unresolved")).first(),
+            lambda: self._read(manifest, "docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first(),
+        )
+        totals = {"nodes": {r["label"]: r["n"] for r in nodes}, "edges": {r["type"]: r["n"] for r in edges}, "keys": keys["n"], "unresolved": keys["unresolved"], "docs": docs["n"], "terms": docs["dl"]}
+        return self.store.publish(tables, version=version, totals=totals)
+
+    def _counts(self, manifest: dict) -> dict:
+        nodes, edges = manifest["totals"]["nodes"], manifest["totals"]["edges"]
+        return {"files": nodes.get("File", 0), "symbols": sum(n for k, n in nodes.items() if k != "File"), "edges": edges.get("(all)", 0), "calls": edges.get("CALLS", 0), "unresolved": manifest["totals"]["unresolved"]}
+
+    def _update(self, manifest: dict, sources: DataFrame) -> dict:
+        old = self._read(manifest, "parsed").select("file", "sha1")
+        diff = {r["file"]: r["change"] for r in graph.snapshot_diff(old, content_hashes(sources)).collect()}
         if not diff:
-            return {"mode": "up-to-date", "files": old.count()}
-        touched = self.spark.createDataFrame([(r["file"], r["change"]) for r in diff], "file string, change string")
-        fresh = parse_sources(sources.join(touched.where("change <> 'deleted'"), "file", "left_semi"))
-        affected = self._write_set(version, touched)
-        built = self._commit(old.join(touched, "file", "left_anti").unionByName(fresh), version + 1)
+            return {"mode": "up-to-date", "files": manifest["totals"]["nodes"].get("File", 0)}
+        changes = {kind: sorted(f for f, c in diff.items() if c == kind) for kind in ("added", "changed", "deleted")}
+        affected = self._write_set(manifest, sorted(diff))
+        files, left = sorted(diff), sorted(f for f, c in diff.items() if c != "deleted")
+        modules, version = {module_of(f) for f in files}, self.store.next_version()
+        if len(files) <= MOST_CHANGED:
+            fresh = parse_sources(sources.where(F.col("file").isin(left)) if left else sources.limit(0))
+            touched = {bucket_of(m, manifest["tables"]["parsed"]["buckets"]) for m in modules}
+            kept = self._read(manifest, "parsed", only=touched).where(~F.col("file").isin(files))
+            parsed = self.store.replace("parsed", manifest["tables"]["parsed"], kept.unionByName(fresh), touched, "file")
+            published, stale = self._refresh(manifest, parsed, files, modules, version)
+        else:
+            named = self.spark.createDataFrame([(f,) for f in files], "file string")
+            fresh = parse_sources(sources.join(named, "file", "left_semi"))
+            kept = self._read(manifest, "parsed").join(named, "file", "left_anti")
+            published = self._derive(self.store.write("parsed", kept.unionByName(fresh), "module", manifest["tables"]["parsed"]["buckets"], "file"), version)
+            stale = published["totals"]["keys"]
         reparsed = sorted({*affected, *changes["added"], *changes["changed"]} - {*changes["deleted"]})
-        return {"mode": "incremental", **changes, "reparsed_files": reparsed, "importers_files": sorted({*affected} - {r["file"] for r in diff}), **self._totals(built)}
-
-    def _write_set(self, version: int, touched: DataFrame) -> list[str]:
-        nodes, edges = self._table("nodes", version), self._table("edges", version)
+        return {
+            "mode": "incremental", **changes, "reparsed_files": reparsed, "importers_files": sorted({*affected} - {*files}),
+            "resolved_keys": stale, "all_keys": published["totals"]["keys"], **self._counts(published),
+        }
+
+    def _refresh(self, manifest: dict, parsed_table: dict, files: list[str], modules: set[str], version: int) -> tuple[dict, int]:
+        """The tables that follow from new parsed files, by what changed in them; what is published, and how many keys were resolved again."""
+        store, tables, buckets = self.store, manifest["tables"], parsed_table["buckets"]
+        own = {bucket_of(m, buckets) for m in modules}
+        is_file, is_module = F.col("file").isin(files), F.col("module").isin(sorted(modules))
+        parsed = lambda only=None: store.read(parsed_table, PARSED, only=only)
+        present = lambda df: {r[0] for r in df.where(is_module).select("module").distinct().collect()}
+        symbols_now = delta.symbols_of(parsed(own).where(is_file))
+        kept_symbols = self._read(manifest, "symbols", only=own).where(~is_file)
+
+        def changed() -> delta.Changes:
+            was = self._read(manifest, "symbols", only=own).where(is_file)
+            before, after = present(self._read(manifest, "parsed", only=own)), present(parsed(own))
+            return delta.changes_between(was, symbols_now, before, after)
+
+        def docs() -> dict:
+            rows = self._read(manifest, "docs", only=own).where(~is_file).unionByName(_documents(parsed(own).where(is_file)))
+            table = store.replace("docs", tables["docs"], rows, own, "ord")
+            return {"docs": table, **self._segment(manifest, store.read(table, STORED_DOC, only=own).where(is_file), store.read(table, STORED_DOC), files, version)}
+
+        changes, symbols_table, made = at_once(changed, lambda: store.replace("symbols", tables["symbols"], kept_symbols.unionByName(symbols_now), own, "name"), docs)
+        symbols = store.read(symbols_table, delta.SYMBOL)
+
+        def nodes() -> dict:
+            ids, files_of = F.col("id").isin(sorted(changes.ids)), F.col("id").isin(sorted(modules))
+            only = {bucket_of(i, buckets) for i in {*changes.ids, *modules}}
+            gone = F.when(F.col("label") == "File", files_of).otherwise(ids)
+            fresh = delta.file_nodes(parsed(own).where(is_module)).unionByName(delta.symbol_nodes(symbols.where(F.col("fqn").isin(sorted(changes.ids)))))
+            return {"nodes": store.replace("nodes", tables["nodes"], self._read(manifest, "nodes", only=only).where(~gone).unionByName(fresh), only, "id")}
+
+        found: dict = {}
+
+        def edges() -> dict:
+            stale = cut_lineage(delta.stale_keys(self._read(manifest, "keys"), changes))
+            # numbers of buckets, whatever the input
+            others = {r[0] for r in stale.select(bucket_column("module", buckets)).distinct().collect()}
+            importers = self.spark.createDataFrame([], "module string")
+            if changes.came_or_went:
+                importers = cut_lineage(last_imports(parsed()).where(F.col("imported").isin(sorted(changes.came_or_went))).select("module").distinct())
+                others |= {r[0] for r in importers.select(bucket_column("module", buckets)).distinct().collect()}
+            reach = own | others
+            near = parsed(reach)
+            calls = delta.calls_of(near)
+            named = stale.select("module", F.col("chain").alias("callee_chain"))
+            calls = calls.where(is_module).unionByName(calls.where(~is_module).join(named, ["module", "callee_chain"], "left_semi").select(calls.columns))
+            fresh = cut_lineage(delta.resolved(delta.keys_of(calls), symbols, last_imports(near)))
+            found["n"] = fresh.count()
+            pairs = stale.select("module", "chain")
+            kept = self._read(manifest, "keys", only=reach).where(~is_module).join(pairs, ["module", "chain"], "left_anti")
+            targets = symbols.join(fresh.select(F.col("target").alias("fqn")).distinct(), "fqn", "left_semi")
+            importing = near.where(is_module).unionByName(near.where(~is_module).join(importers, "module", "left_semi").select(near.columns))
+            added = delta.call_edges(calls, fresh, delta.labels_of(targets)).unionByName(delta.own_edges(store.read(symbols_table, delta.SYMBOL, only=own).where(is_module))).unionByName(delta.import_edges(importing, parsed().select("module")))
+            added = cut_lineage(added)
+            before = self._read(manifest, "edges", only=reach)
+            stay = delta.staying(before, changes.modules, importers, pairs)
+            gone = before.select("dst").exceptAll(stay.select("dst"))
+            ends = {r[0] for r in added.select("dst").union(gone).select(bucket_column("dst", buckets)).distinct().collect()}
+            stay_in = delta.staying(self._read(manifest, "edges_in", only=ends), changes.modules, importers, pairs)
+            keys_table, edges_table, in_table = at_once(
+                lambda: store.replace("keys", tables["keys"], kept.select(fresh.columns).unionByName(fresh), reach, "chain"),
+                lambda: store.replace("edges", tables["edges"], stay.unionByName(added), reach, "src"),
+                lambda: store.replace("edges_in", tables["edges_in"], stay_in.unionByName(added), ends, "dst"),
+            )
+            return {"keys": keys_table, "edges": edges_table, "edges_in": in_table}
+
+        made = {**made, "parsed": parsed_table, "symbols": symbols_table}
+        for part in at_once(nodes, edges):
+            made |= part
+        return self._publish(made, version), found["n"]
+
+    def _segment(self, manifest: dict, changed: DataFrame, every: DataFrame, files: list[str], version: int) -> dict:
+        """The search index with a segment for the ``changed`` documents, or merged, of ``every`` document, once there are many."""
+        old = {name: t for name, t in manifest["tables"].items() if name.startswith("postings")}
+        buckets = next(iter(old.values()))["buckets"]
+        if len(old) >= MOST_SEGMENTS:
+            return self._index(every, version, buckets)
+        dead = self._read(manifest, "dead").unionByName(self.spark.createDataFrame([(f, version) for f in files], SCHEMAS["dead"]))
+        dead = dead.groupBy("file").agg(F.max("upto").alias("upto"))
+        segment, dead_table = at_once(
+            lambda: self.store.write("postings", retrieval.stored_postings(changed, version), "term", buckets, "term"), lambda: self.store.write("dead", dead, "file", 1)
+        )
+        return {**old, f"postings{version}": segment, "dead": dead_table}
+
+    def _write_set(self, manifest: dict, changed: list[str]) -> list[str]:
+        nodes, edges = self._read(manifest, "nodes"), self._read(manifest, "edges")
         file_of = nodes.where("label = 'File'").select(F.col("id").alias("module"), "file")
         imports = edges.where("rel_table = 'R_IMPORTS'").join(file_of.toDF("src", "a"), "src").join(file_of.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         owners = nodes.where("label <> 'File'").select("id", "file")
-        present = self._table("parsed", version).select("file")
-        found = traverse.write_set(imports, self.calls(version), owners, touched.select("file"), present)
+        touched = self.spark.createDataFrame([(f,) for f in changed], "file string")
+        found = traverse.write_set(imports, edges.where(CALLS), owners, touched, self._read(manifest, "parsed").select("file"))
         return [r["file"] for r in found.collect()]
 
-    def _totals(self, built: GraphTables) -> dict:
-        edges = {r["type"]: r["n"] for r in graph.edge_counts(self._table("edges")).collect()}
-        nodes = {r["label"]: r["n"] for r in graph.node_counts(self._table("nodes")).collect()}
-        return {"files": nodes.get("File", 0), "symbols": sum(n for k, n in nodes.items() if k != "File"), "edges": edges.get("(all)", 0), "calls": edges.get("CALLS", 0), "unresolved": built.unresolved()}
-
     # ---- asking
 
-    def calls(self, version: int | None = None) -> DataFrame:
-        return self._table("edges", version).where("rel_table in ('R_CALLS_FF', 'R_CALLS_FC')").select("src", "dst", "confidence")
+    def calls(self) -> DataFrame:
+        return self._table("edges").where(CALLS).select("src", "dst", "confidence")
+
+    def reach(self, symbol: str, depth: int, reverse: bool = False) -> list[dict]:
+        """{id, parent, depth, confidence} of what is up to ``depth`` calls away, in order of depth and id.
+
+        Each level reads the buckets and rows of its frontier alone. A level of more than MOST_IDS symbols is left to the
+        traversal of the whole table.
+        """
+        manifest = self._manifest()
+        near, far, table = ("dst", "src", "edges_in") if reverse else ("src", "dst", "edges")
+        seen, frontier, out = {symbol}, [symbol], []
+        for level in range(1, depth + 1):
+            # what a symbol calls lies with its module: one of its id's beginnings
+            keys = frontier if reverse else {".".join(i.split(".")[:n]) for i in frontier for n in range(i.count(".") + 2)}
+            edges = self._read(manifest, table, keys).where(CALLS).where(F.col(near).isin(frontier) & (F.col(near) != F.col(far)))
+            first = F.min(F.struct(F.col(near).alias("parent"), "confidence")).alias("first")
+            rows = edges.groupBy(F.col(far).alias("id")).agg(first).select("id", "first.*").limit(len(seen) + MOST_IDS + 1).collect()
+            rows = sorted(({"id": r["id"], "parent": r["parent"], "depth": level, "confidence": r["confidence"]} for r in rows if r["id"] not in seen), key=lambda r: r["id"])
+            if len(rows) > MOST_IDS:
+                found = traverse.reach(self.calls(), self._one(symbol), depth, reverse).orderBy("depth", "id")
+                return [r.asDict() for r in found.collect()]
+            out += rows
+            frontier = [r["id"] for r in rows]
+            seen.update(frontier)
+            if not frontier:
+                break
+        return out
 
     def _one(self, symbol: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(symbol).alias("id"))
 
     def callers(self, symbol: str, depth: int = 2) -> list[dict]:
-        return [r.asDict() for r in traverse.callers(self.calls(), self._one(symbol), depth).orderBy("depth", "caller").collect()]
+        return [{"caller": r["id"], "callee": r["parent"], "depth": r["depth"], "confidence": r["confidence"]} for r in self.reach(symbol, depth, reverse=True)]
 
     def callees(self, symbol: str, depth: int = 2) -> list[dict]:
-        return [r.asDict() for r in traverse.callees(self.calls(), self._one(symbol), depth).orderBy("depth", "callee").collect()]
+        return [{"caller": r["parent"], "callee": r["id"], "depth": r["depth"], "confidence": r["confidence"]} for r in self.reach(symbol, depth)]
 
     def impact(self, symbol: str, depth: int = 2) -> dict:
-        return report.impact_report(self.calls(), symbol, depth)
+        up, down = at_once(lambda: self.reach(symbol, depth, reverse=True), lambda: self.reach(symbol, depth))
+        return report.assembled(symbol, depth, up, down)
 
     def context(self, symbol: str) -> dict:
-        return report.context(self.calls(), symbol)
+        up, down = at_once(lambda: self.reach(symbol, 1, reverse=True), lambda: self.reach(symbol, 1))
+        return {"symbol": symbol, "callers": [r["id"] for r in up], "callees": [r["id"] for r in down]}
 
     def symbols(self, fragment: str = "", limit: int = 50) -> list[dict]:
         nodes = self._table("nodes")
         found = graph.search_symbols(nodes, fragment, limit) if fragment else nodes.where("label <> 'File'").orderBy(F.desc("label"), "id").limit(limit)
         return [{"id": r["id"], "label": r["label"], "name": r["name"], "file": r["file"]} for r in found.collect()]
 
+    def postings(self, terms: list[str], manifest: dict | None = None) -> DataFrame:
+        """POSTING of the terms, from all segments; only the terms' buckets are read. Rows of documents that a later segment has, or that are gone, are left out."""
+        manifest, terms = manifest or self._manifest(), sorted(set(terms))
+        rows = None
+        for name in sorted(n for n in manifest["tables"] if n.startswith("postings")):
+            found = self._read(manifest, name, keys=terms).where(F.col("term").isin(terms))
+            rows = found if rows is None else rows.unionByName(found)
+        dead = self._read(manifest, "dead")
+        return rows.join(dead, (rows["file"] == dead["file"]) & (rows["seg"] < dead["upto"]), "left_anti")
+
     def search(self, query: str, k: int = 10) -> dict:
-        """Hybrid search; with a model its vectors, without one BM25 alone."""
-        docs = self._table("docs")
-        if self.model is None:
-            found, mode = retrieval.hybrid(docs, query, k), "bm25"
-        else:
-            found, mode = retrieval.hybrid(docs, query, k, retrieval.embed(docs, self.model), [float(x) for x in self.model([query])[0]]), "hybrid"
+        """Hybrid search; with a model its vectors, with a backend its ids, without either BM25 alone."""
+        manifest = self._manifest()
+        terms, totals = retrieval.query_terms(query), manifest["totals"]
+        docs = self._table("docs", manifest)
+        scored = retrieval.bm25_stored(self.postings(terms, manifest), docs, query, totals["docs"], totals["terms"]) if terms else retrieval.bm25(docs, query)
+        lists, mode = {"bm25": retrieval.top(scored, 3 * k)}, "bm25"
+        if query.strip() and self.backend is not None:
+            named = [(i, n) for n, i in enumerate(self.backend(query, 3 * k), 1)]
+            lists["semantic"], mode = self.spark.createDataFrame(named, "id string, rank int"), "hybrid"
+        elif query.strip() and self.model is not None:
+            vectors = retrieval.embed(docs, self.model)
+            lists["semantic"], mode = retrieval.top(retrieval.cosine(vectors, [float(x) for x in self.model([query])[0]]), 3 * k), "hybrid"
+        found = retrieval.fused_with_names(lists, docs, k)
         return {"query": query, "mode": mode, "results": [r.asDict() for r in found.orderBy("rank").collect()]}
 
     def stats(self) -> dict:
-        nodes = {r["label"]: r["n"] for r in graph.node_counts(self._table("nodes")).collect()}
-        edges = {r["type"]: r["n"] for r in graph.edge_counts(self._table("edges")).collect()}
-        languages = graph.language_counts(self._table("parsed").select(F.col("file").alias("path"))).collect()
+        manifest = self._manifest()
+        nodes, edges = manifest["totals"]["nodes"], dict(manifest["totals"]["edges"])
+        languages = graph.language_counts(self._table("parsed", manifest).select(F.col("file").alias("path"))).collect()
         total = edges.pop("(all)", 0)
         return {"files": nodes.get("File", 0), "functions": nodes.get("Function", 0), "classes": nodes.get("Class", 0), "edges": edges, "total_edges": total, "languages": {r["language"]: r["n"] for r in languages}, "db": self.db}
 
@@ -177,3 +375,7 @@ class SourceGraph:
     def tools(self) -> dict[str, Callable[..., str]]:
         """The questions as functions that give JSON, by name, for programs that call tools."""
         return {"impact": self.impact_payload, "context": self.context_payload, "query": self.query_payload, "semantic_search": self.semantic_search_payload}
+
+
+def _documents(parsed: DataFrame) -> DataFrame:
+    return delta.document_rows(parsed).withColumn("dl", F.size(code.tokens(F.col("text"))))
