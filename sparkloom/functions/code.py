@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Words that carry no meaning in a search.
 STOP_WORDS = (
-    "a an and are as at be by can class could def did do does else for from get had has have i if import in into is it make new no not of on or out "
-    "return self set that the this to up use used using we will with would yes you"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "class", "could", "def", "did", "do", "does", "else", "for",
+    "from", "get", "had", "has", "have", "i", "if", "import", "in", "into", "is", "it", "make", "new", "no", "not",
+    "of", "on", "or", "out", "return", "self", "set", "that", "the", "this", "to", "up", "use", "used", "using", "we",
+    "will", "with", "would", "yes", "you",
+)
 # Languages by file name extension, and their display names.
 LANGUAGES = {".py": "python", ".js": "js", ".mjs": "js", ".cjs": "js", ".jsx": "js", ".ts": "ts", ".tsx": "tsx", ".java": "java"}
 LANGUAGE_NAMES = {".py": "Python", ".js": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java"}

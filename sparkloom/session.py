@@ -21,7 +21,7 @@ from .operators import delta, graph, report, retrieval, traverse
 from .operators.build import last_imports
 from .schemas import DOC, EDGE, NODE, PARSED, POSTING, STORED_EDGE
 from .sources.languages import module_of
-from .sources.repository import content_hashes, discover, parse_sources, read_repository
+from .sources.repository import content_hashes, listing, parse_sources, read_repository
 from .store import Store, at_once, bucket_column, bucket_of, buckets_for
 
 STORED_DOC = f"{DOC}, module string, dl int"
@@ -79,7 +79,7 @@ class SourceGraph:
         manifest = None if force else self.store.newest(checked=True)
         if manifest is not None:
             return self._update(manifest, sources)
-        found = len(discover(root))
+        found = len(listing(root))
         if not found:
             return {"mode": "full", "files": 0, "symbols": 0, "edges": 0, "calls": 0, "unresolved": 0}
         version, buckets = self.store.next_version(), buckets_for(ROWS_A_FILE * found)
@@ -144,7 +144,6 @@ class SourceGraph:
         if not diff:
             return {"mode": "up-to-date", "files": manifest["totals"]["nodes"].get("File", 0)}
         changes = {kind: sorted(f for f, c in diff.items() if c == kind) for kind in ("added", "changed", "deleted")}
-        affected = self._write_set(manifest, sorted(diff))
         files, left = sorted(diff), sorted(f for f, c in diff.items() if c != "deleted")
         modules, version = {module_of(f) for f in files}, self.store.next_version()
         if len(files) <= MOST_CHANGED:
@@ -152,13 +151,13 @@ class SourceGraph:
             touched = {bucket_of(m, manifest["tables"]["parsed"]["buckets"]) for m in modules}
             kept = self._read(manifest, "parsed", only=touched).where(~F.col("file").isin(files))
             parsed = self.store.replace("parsed", manifest["tables"]["parsed"], kept.unionByName(fresh), touched, "file")
-            published, stale = self._refresh(manifest, parsed, files, modules, version)
+            affected, (published, stale) = at_once(lambda: self._write_set(manifest, files), lambda: self._refresh(manifest, parsed, files, modules, version))
         else:
             named = self.spark.createDataFrame([(f,) for f in files], "file string")
             fresh = parse_sources(sources.join(named, "file", "left_semi"))
             kept = self._read(manifest, "parsed").join(named, "file", "left_anti")
             published = self._derive(self.store.write("parsed", kept.unionByName(fresh), "module", manifest["tables"]["parsed"]["buckets"], "file"), version)
-            stale = published["totals"]["keys"]
+            stale, affected = published["totals"]["keys"], self._write_set(manifest, files)
         reparsed = sorted({*affected, *changes["added"], *changes["changed"]} - {*changes["deleted"]})
         return {
             "mode": "incremental", **changes, "reparsed_files": reparsed, "importers_files": sorted({*affected} - {*files}),

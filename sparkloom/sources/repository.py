@@ -1,68 +1,77 @@
 """Source repositories as a Spark data source, parsed on the executors.
 
-Spark's own binary reader leaves out files whose names begin with an underscore, such as ``__init__.py``, so discovery is a
-data source of its own. A partition is a run of files, bounded in number and bytes.
+Spark's own binary reader leaves out files whose names begin with an underscore, such as ``__init__.py``, so the listing is a
+data source of its own. Conditions on ``file`` reach it: only the files that they name are opened. Partitions get like shares
+of the bytes, bounded by the session's own setting for files.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..functions.code import SNIPPET_LINES
 from ..schemas import PARSED
-from .languages import language_of, module_of, parse
+from .languages import EXTENSIONS, PARSERS, language_of, module_of, parse
 
-MOST_FILES, MOST_BYTES = 1500, 8 * 1024 * 1024
+#: What opening a file counts as, in bytes.
+OPENING = 65_536
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
-def discover(root: str) -> list[tuple[str, int]]:
-    """(path relative to ``root``, size) of all sources, in order; hidden files and folders are left out."""
-    found = []
-    for folder, folders, files in os.walk(root):
-        folders[:] = [f for f in folders if not f.startswith(".")]
-        for name in files:
-            full = os.path.join(folder, name)
-            if not name.startswith(".") and language_of(name):
-                found.append((os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full)))
-    return sorted(found)
+def listing(root: str) -> dict[str, int]:
+    """Bytes of each source under ``root`` by its path there; what is hidden, or lies in a hidden folder, is left out."""
+    base = Path(root)
+    names = ((path.relative_to(base).as_posix(), path) for path in base.rglob("*") if language_of(path.name))
+    return {name: path.stat().st_size for name, path in names if not any(part.startswith(".") for part in name.split("/")) and path.is_file()}
 
 
-def runs(files: list[tuple[str, int]], most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> list[list[str]]:
-    """Files in runs of at most so many files and, unless one file is larger, bytes."""
-    out: list[list[str]] = []
-    size = 0
-    for name, n in files:
-        if not out or len(out[-1]) >= most_files or size + n > most_bytes:
-            out.append([])
-            size = 0
-        out[-1].append(name)
-        size += n
-    return out
+def shares(sizes: dict[str, int], most_bytes: int, tasks: int) -> list[list[str]]:
+    """The files in order of their paths, cut where multiples of a task's share of all bytes are passed."""
+    cost = [OPENING + n for _, n in sorted(sizes.items())]
+    share = max(OPENING, min(most_bytes, sum(cost) // max(1, tasks)))
+    at = 0
+    placed = []
+    for name, n in zip(sorted(sizes), cost):
+        placed.append((at // share, name))
+        at += n
+    return [[name for _, name in group] for _, group in groupby(placed, key=lambda p: p[0])]
 
 
-class _Run(InputPartition):
+class _Share(InputPartition):
     def __init__(self, files: list[str]):
         self.files = files
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+class RepositoryReader(DataSourceReader):
+    def __init__(self, root: str, most_bytes: int, tasks: int):
+        self.root, self.most_bytes, self.tasks, self.only = root, most_bytes, tasks, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes over conditions that name files; others stay with Spark."""
+        for f in filters:
+            if isinstance(f, (In, EqualTo)) and f.attribute == ("file",):
+                named = set(f.value) if isinstance(f, In) else {f.value}
+                self.only = named if self.only is None else self.only & named
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Run(r) for r in runs(discover(self.root))] or [_Run([])]
+        sizes = listing(self.root)
+        if self.only is not None:
+            sizes = {name: n for name, n in sizes.items() if name in self.only}
+        return [_Share(files) for files in shares(sizes, self.most_bytes, self.tasks)] or [_Share([])]
 
-    def read(self, partition: _Run) -> Iterator[tuple]:
+    def read(self, partition: _Share) -> Iterator[tuple]:
         for name in partition.files:
-            with open(os.path.join(self.root, name), "rb") as file:
-                yield name, file.read()
+            yield name, Path(self.root, name).read_bytes()
 
 
 class RepositorySource(DataSource):
@@ -76,12 +85,15 @@ class RepositorySource(DataSource):
         return "file string, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return RepositoryReader(self.options["path"], int(self.options.get("most_bytes", 128 << 20)), int(self.options.get("tasks", 1)))
 
 
 def read_repository(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content); the session lets conditions reach Python data sources from here on."""
     spark.dataSource.register(RepositorySource)
-    return spark.read.format("source_repo").load(root)
+    spark.conf.set(PUSHDOWN, "true")
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return spark.read.format("source_repo").option("most_bytes", most).option("tasks", spark.sparkContext.defaultParallelism).load(root)
 
 
 def content_hashes(sources: DataFrame) -> DataFrame:
@@ -90,11 +102,12 @@ def content_hashes(sources: DataFrame) -> DataFrame:
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
-    """PARSED: one row for each file of ``sources`` (file, content), with its symbols, imports and calls."""
+    """PARSED: one row for each file of ``sources`` (file, content), with its symbols, imports and calls. The parsers known now go with the tasks."""
+    parsers, extensions = dict(PARSERS), dict(EXTENSIONS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([_parsed(f, c) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], schema=_ARROW)
+            yield pa.RecordBatch.from_pylist([_parsed(f, c, parsers, extensions) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], schema=_ARROW)
 
     return sources.select("file", "content").mapInArrow(rows, PARSED)
 
@@ -112,13 +125,13 @@ def _structs(names: tuple[str, ...]) -> pa.DataType:
 _ARROW = pa.schema([*((n, pa.string()) for n in ("file", "module", "lang", "sha1")), ("size", pa.int64()), ("status", pa.string()), ("symbols", _structs(_SYMBOL)), ("imports", _structs(_IMPORT)), ("calls", _structs(_CALL))])
 
 
-def _parsed(file: str, content: bytes) -> dict:
-    found, lines = parse(content, file), content.decode("utf-8", "replace").splitlines()
+def _parsed(file: str, content: bytes, parsers: dict, extensions: dict) -> dict:
+    found, lines = parse(content, file, parsers, extensions), content.decode("utf-8", "replace").splitlines()
     symbols = []
     for row in found.symbols:
         start, end = row[3], row[4]
         symbols.append(dict(zip(_SYMBOL, (*row, "\n".join(lines[max(1, start) - 1 : min(end, start + SNIPPET_LINES)])))))
     return {
-        "file": file, "module": module_of(file), "lang": language_of(file), "sha1": hashlib.sha1(content).hexdigest(), "size": len(content), "status": found.status,
+        "file": file, "module": module_of(file, extensions), "lang": language_of(file, extensions), "sha1": hashlib.sha1(content).hexdigest(), "size": len(content), "status": found.status,
         "symbols": symbols, "imports": [dict(zip(_IMPORT, r)) for r in found.imports], "calls": [dict(zip(_CALL, r)) for r in found.calls],
     }

@@ -12,10 +12,10 @@ from sparkloom.operators import graph, resolve, retrieval, traverse
 from sparkloom.session import SourceGraph
 
 SAMPLE = {
-    "auth.py": "def get_password(u):\n    return 'x'\n\n\ndef verify_password(a, b):\n    return a == b\n\n\ndef login(u, p):\n    pw = get_password(u)\n    return verify_password(pw, p)\n",
-    "models.py": "class User:\n    def __init__(self, n):\n        self.n = n\n\n    def is_active(self):\n        return True\n",
-    "service.py": "from auth import login\nfrom models import User\n\n\ndef helper(x):\n    return x\n\n\nclass Service:\n    def create_user(self, n):\n        u = User(n)\n        login(n, 'p')\n        return helper(u)\n",
-    "main.py": "from service import Service\n\n\ndef run_app():\n    svc = Service()\n    return svc.create_user('a')\n",
+    "tide.py": "def moon_phase(day):\n    return day % 29\n\n\ndef sea_level(phase, port):\n    return phase * port\n\n\ndef forecast(day, port):\n    phase = moon_phase(day)\n    return sea_level(phase, port)\n",
+    "boats.py": "class Dinghy:\n    def __init__(self, draught):\n        self.draught = draught\n\n    def floats(self):\n        return True\n",
+    "harbour.py": "from tide import forecast\nfrom boats import Dinghy\n\n\ndef moor(x):\n    return x\n\n\nclass Pier:\n    def take_in(self, draught):\n        b = Dinghy(draught)\n        forecast(draught, 3)\n        return moor(b)\n",
+    "season.py": "from harbour import Pier\n\n\ndef open_all():\n    pier = Pier()\n    return pier.take_in(2)\n",
 }
 
 
@@ -42,39 +42,39 @@ def test_sample_graph(sample):
     session, root = sample
     edges = {(r["type"], r["src"], r["dst"], r["rel_table"]) for r in session._table("edges").collect()}
     assert {e[1:] for e in edges if e[0] == "CALLS"} == {
-        ("auth.login", "auth.get_password", "R_CALLS_FF"), ("auth.login", "auth.verify_password", "R_CALLS_FF"), ("main.run_app", "service.Service", "R_CALLS_FC"),
-        ("main.run_app", "service.Service.create_user", "R_CALLS_FF"), ("service.Service.create_user", "models.User", "R_CALLS_FC"),
-        ("service.Service.create_user", "auth.login", "R_CALLS_FF"), ("service.Service.create_user", "service.helper", "R_CALLS_FF"),
+        ("tide.forecast", "tide.moon_phase", "R_CALLS_FF"), ("tide.forecast", "tide.sea_level", "R_CALLS_FF"), ("season.open_all", "harbour.Pier", "R_CALLS_FC"),
+        ("season.open_all", "harbour.Pier.take_in", "R_CALLS_FF"), ("harbour.Pier.take_in", "boats.Dinghy", "R_CALLS_FC"),
+        ("harbour.Pier.take_in", "tide.forecast", "R_CALLS_FF"), ("harbour.Pier.take_in", "harbour.moor", "R_CALLS_FF"),
     }
-    assert {e[1:3] for e in edges if e[0] == "IMPORTS"} == {("main", "service"), ("service", "auth"), ("service", "models")}
-    assert {e[1:3] for e in edges if e[0] == "HAS_METHOD"} == {("models.User", "models.User.__init__"), ("models.User", "models.User.is_active"), ("service.Service", "service.Service.create_user")}
+    assert {e[1:3] for e in edges if e[0] == "IMPORTS"} == {("season", "harbour"), ("harbour", "tide"), ("harbour", "boats")}
+    assert {e[1:3] for e in edges if e[0] == "HAS_METHOD"} == {("boats.Dinghy", "boats.Dinghy.__init__"), ("boats.Dinghy", "boats.Dinghy.floats"), ("harbour.Pier", "harbour.Pier.take_in")}
     assert session.analyze(root) == {"mode": "up-to-date", "files": 4}
     assert set(session.snapshot()) == set(SAMPLE)
 
 
 def test_sample_answers(sample):
     session, _ = sample
-    report = session.impact("auth.login", 2)
-    assert report["upstream"]["by_depth"] == {"1": ["service.Service.create_user"], "2": ["main.run_app"]}
-    assert report["downstream"]["by_depth"] == {"1": ["auth.get_password", "auth.verify_password"]}
-    assert (report["files"], report["risk"]) == (["auth", "main", "service"], "low")
-    assert session.context("auth.login") == {"symbol": "auth.login", "callers": ["service.Service.create_user"], "callees": ["auth.get_password", "auth.verify_password"]}
+    report = session.impact("tide.forecast", 2)
+    assert report["upstream"]["by_depth"] == {"1": ["harbour.Pier.take_in"], "2": ["season.open_all"]}
+    assert report["downstream"]["by_depth"] == {"1": ["tide.moon_phase", "tide.sea_level"]}
+    assert (report["files"], report["risk"]) == (["harbour", "season", "tide"], "low")
+    assert session.context("tide.forecast") == {"symbol": "tide.forecast", "callers": ["harbour.Pier.take_in"], "callees": ["tide.moon_phase", "tide.sea_level"]}
     assert session.callers("nobody") == []
-    found = session.search("login", 5)
-    assert found["mode"] == "bm25" and found["results"][0]["id"] == "auth.login" and {r["sources"] for r in found["results"]} == {"bm25"}
-    assert "auth.verify_password" in [r["id"] for r in session.search("verify password", 5)["results"]]
+    found = session.search("forecast", 5)
+    assert found["mode"] == "bm25" and found["results"][0]["id"] == "tide.forecast" and {r["sources"] for r in found["results"]} == {"bm25"}
+    assert "tide.sea_level" in [r["id"] for r in session.search("sea level", 5)["results"]]
     assert session.search("of the", 5)["results"] == []
-    assert [s["id"] for s in session.symbols("User")] == ["models.User", "models.User.__init__", "models.User.is_active"]
+    assert [s["id"] for s in session.symbols("Dinghy")] == ["boats.Dinghy", "boats.Dinghy.__init__", "boats.Dinghy.floats"]
     stats = session.stats()
     assert (stats["files"], stats["functions"], stats["classes"], stats["total_edges"], stats["languages"]) == (4, 8, 2, 23, {"Python": 4})
     assert len(session.subgraph()["nodes"]) == 6
-    assert {n["id"] for n in session.subgraph("auth.login")["nodes"]} == {"auth.login", "auth", "auth.get_password", "auth.verify_password", "service.Service.create_user"}
+    assert {n["id"] for n in session.subgraph("tide.forecast")["nodes"]} == {"tide.forecast", "tide", "tide.moon_phase", "tide.sea_level", "harbour.Pier.take_in"}
 
 
 def test_vectors(sample, spark):
     session, _ = sample
-    other = SourceGraph(spark, session.db, model=lambda texts: [[float("password" in t), 1.0] for t in texts])
-    found = other.search("password", 5)
+    other = SourceGraph(spark, session.db, model=lambda texts: [[float("phase" in t), 1.0] for t in texts])
+    found = other.search("phase", 5)
     assert found["mode"] == "hybrid" and any("semantic" in r["sources"] for r in found["results"])
     docs = session._table("docs")
     assert retrieval.hashed_vectors(docs.select("ord", "id", "text"), 8).count() == docs.count()
@@ -82,14 +82,14 @@ def test_vectors(sample, spark):
 
 def test_command_line_and_http(sample, spark, capsys, tmp_path):
     session, _ = sample
-    assert cli.main(["--db", session.db, "callers", "auth.login"], spark) == 0
-    assert capsys.readouterr().out.splitlines() == ["[depth 1] service.Service.create_user", "[depth 2] main.run_app"]
-    assert cli.main(["--db", session.db, "impact", "auth.login"], spark) == 0
-    assert cli.main(["--db", session.db, "search", "login", "--k", "1"], spark) == 0
-    assert "auth.login (auth.py)" in capsys.readouterr().out
+    assert cli.main(["--db", session.db, "callers", "tide.forecast"], spark) == 0
+    assert capsys.readouterr().out.splitlines() == ["[depth 1] harbour.Pier.take_in", "[depth 2] season.open_all"]
+    assert cli.main(["--db", session.db, "impact", "tide.forecast"], spark) == 0
+    assert cli.main(["--db", session.db, "search", "forecast", "--k", "1"], spark) == 0
+    assert "tide.forecast (tide.py)" in capsys.readouterr().out
     assert cli.main(["--db", str(tmp_path / "none"), "analyze", str(tmp_path)], spark) == 1
     assert server.answer(session, "/api/stats")[0] == 200
-    assert server.answer(session, "/api/callees?symbol=auth.login")[1][0]["callee"] == "auth.get_password"
+    assert server.answer(session, "/api/callees?symbol=tide.forecast")[1][0]["callee"] == "tide.moon_phase"
     assert server.answer(session, "/api/impact")[0] == 500
     assert server.answer(session, "/none")[0] == 404
 
