@@ -27,7 +27,6 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]))
 #: ASCII punctuation but for the apostrophe, which may begin a token with letters.
 SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
-IS_LETTERS = re.compile(f"[{LETTERS}]+")
 #: Bytes of text that are looked up together; units that a worker keeps, and bytes of one that it keeps.
 AT_ONCE, CACHED_UNITS, LONG_UNIT = 16_000_000, 900_000, 64
 #: Units that are encoded in one call.
@@ -142,7 +141,7 @@ class ByteEncoder:
         new = list(set(words).difference(known))
         once: dict[str, int] = {}
         if new:
-            letters = [w for w in new if spaced and IS_LETTERS.fullmatch(w)]
+            letters = [w for w in new if spaced and w.isalpha()]
             groups = [letters[i : i + AT_A_TIME] for i in range(0, len(letters), AT_A_TIME)]
             for group, ids in zip(groups, self._encoded([" " + " ".join(g) for g in groups])):
                 ids = np.array(ids, np.int32)
