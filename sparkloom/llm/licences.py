@@ -119,6 +119,8 @@ RULES = (
     ("Artistic-2.0", (53,)),
     ("BSL-1.0", (54,)),
 )
+#: Counts only where no other licence is found, as most licences' copyright lines say so too.
+UNSAID = "proprietary"
 #: A text without any of these has no known sentence. Each lies in one word, so that it doesn't matter what stands between words.
 ANCHORS = "licen|copyright|warrant|redistribut|permission|unencumbered|reserved"
 SENTENCE_END = r"[.!?]+([ \t\r\n]+|\z)"
@@ -138,11 +140,20 @@ def _run(identifiers: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(identifiers, " "), F.lit(" "))
 
 
+def _as_run(numbers: tuple[int, ...]) -> str:
+    return f" {' '.join(map(str, numbers))} "
+
+
+def _longer(run: str) -> list[str]:
+    """Rules whose run goes on where this one ends or begins: where they match, this one doesn't count."""
+    return sorted({_as_run(n) for _, n in RULES if run in _as_run(n)} - {run})
+
+
 def scan_licences(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, licences) of each row of ``docs``: known licence sentences, lines and joined lines counted apart, and the licences found.
 
-    Whole texts are read, however long; one without an anchor costs one search. ``licences`` are identifiers in code-point order with commas between them, each once; empty if there is none. A null or
-    empty text has none. Repeated rows and null ids are scanned like others. An empty table gives no row. Other columns are
+    Whole texts are read, however long; one without an anchor costs one search. ``licences`` are identifiers in code-point order with commas between them, each once; empty if there is none. Of rules that lie
+    in each other the longest counts, and reserved rights alone only where there is no other licence. A null or empty text has none. Repeated rows and null ids are scanned like others. An empty table gives no row. Other columns are
     ignored.
     """
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -155,15 +166,24 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     def found(runs: Column) -> Column:
         rules: dict[str, list[str]] = {}
         for licence, numbers in RULES:
-            rules.setdefault(licence, []).append(f" {' '.join(map(str, numbers))} ")
-        hit = lambda run: F.exists(runs, lambda r: F.contains(r, F.lit(run)))
+            rules.setdefault(licence, []).append(_as_run(numbers))
+
+        def hit(run: str) -> Column:
+            def within(r: Column) -> Column:
+                for longer in _longer(run):
+                    r = F.replace(r, F.lit(longer), F.lit(" # "))
+                return F.contains(r, F.lit(run))
+
+            return F.exists(runs, within)
+
         names = []
         for licence, texts in rules.items():
             match = hit(texts[0])
             for t in texts[1:]:
                 match = match | hit(t)
             names.append(F.when(match, F.lit(licence)))
-        return F.array_join(F.array_sort(F.array_compact(F.array(*names))), ",")
+        every = F.array_sort(F.array_compact(F.array(*names)))
+        return let(every, lambda x: F.array_join(F.when(F.size(x) > 1, F.array_remove(x, UNSAID)).otherwise(x), ","))
 
     forms = F.when(likely, F.array(_identifiers(lines), _identifiers(joined), _identifiers(paragraphs))).otherwise(F.array(none, none, none))
     size = lambda forms, i: F.size(F.get(forms, F.lit(i)))
@@ -178,34 +198,43 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     known = ", ".join(f"('{s}', {i})" for i, s in enumerate(SENTENCES))
-    rules = ", ".join(f"('{licence}', ' {' '.join(map(str, numbers))} ')" for licence, numbers in RULES)
+    values = []
+    for licence, numbers in RULES:
+        longer = _longer(_as_run(numbers))
+        if len(longer) > 1:
+            raise ValueError("the SQL knows one longer rule for each")
+        values.append(f"('{licence}', '{_as_run(numbers)}', '{longer[0] if longer else '-'}')")
+    rules = ", ".join(values)
     sentence_end, new_line, apart = SENTENCE_END, "chr(10)", "chr(1)"
     return f"""
-WITH known(sentence, number) AS (VALUES {known}), rules(licence, run) AS (VALUES {rules}),
-lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+WITH known(sentence, number) AS (VALUES {known}), rules(licence, run, longer) AS (VALUES {rules}),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lowered AS (SELECT r, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM numbered),
 forms AS (
-    SELECT doc_id, 0 AS form, t FROM lowered UNION ALL SELECT doc_id, 1 AS form, translate(t, chr(10), ' ') AS t FROM lowered
-    UNION ALL SELECT doc_id, 2 AS form, translate(
+    SELECT r, 0 AS form, t FROM lowered UNION ALL SELECT r, 1 AS form, translate(t, chr(10), ' ') AS t FROM lowered
+    UNION ALL SELECT r, 2 AS form, translate(
         regexp_replace(regexp_replace(t, '{COPYRIGHT_LINE}', {new_line} || {new_line} || '\\2' || {new_line}, 'g'), '{EMPTY_LINE}', {apart}, 'g'),
         {new_line} || {apart}, ' ' || {new_line}
     ) AS t FROM lowered
 ), cut AS (
-    SELECT doc_id, form, string_split(regexp_replace(t, '{sentence_end}', chr(10), 'g'), chr(10)) AS parts FROM forms
+    SELECT r, form, string_split(regexp_replace(t, '{sentence_end}', chr(10), 'g'), chr(10)) AS parts FROM forms
 ), sentences AS (
-    SELECT doc_id, form, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM cut
+    SELECT r, form, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM cut
 ), hits AS (
-    SELECT s.doc_id, s.form, s.place, k.number
+    SELECT s.r, s.form, s.place, k.number
     FROM sentences AS s JOIN known AS k ON trim(regexp_replace(s.part, '[^a-z0-9]+', ' ', 'g')) = k.sentence
 ), runs AS (
-    SELECT doc_id, form, ' ' || string_agg(CAST(number AS VARCHAR), ' ' ORDER BY place) || ' ' AS run, count(*) AS n FROM hits GROUP BY doc_id, form
+    SELECT r, form, ' ' || string_agg(CAST(number AS VARCHAR), ' ' ORDER BY place) || ' ' AS run, count(*) AS n FROM hits GROUP BY r, form
 ), counted AS (
-    SELECT doc_id, sum(n) AS n FROM runs WHERE form < 2 GROUP BY doc_id
+    SELECT r, sum(n) AS n FROM runs WHERE form < 2 GROUP BY r
+), matched AS (
+    SELECT DISTINCT runs.r, rules.licence FROM runs JOIN rules ON contains(replace(runs.run, rules.longer, ' # '), rules.run)
 ), named AS (
-    SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences
-    FROM (SELECT DISTINCT runs.doc_id, rules.licence FROM runs JOIN rules ON contains(runs.run, rules.run)) AS x GROUP BY doc_id
+    SELECT m.r, string_agg(m.licence, ',' ORDER BY m.licence) AS licences FROM matched AS m JOIN (SELECT r, count(*) AS n FROM matched GROUP BY r) AS x ON x.r = m.r
+    WHERE x.n = 1 OR m.licence <> '{UNSAID}' GROUP BY m.r
 )
 SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_sentences, coalesce(n.licences, '') AS licences
-FROM documents AS d LEFT JOIN counted AS c ON d.doc_id = c.doc_id LEFT JOIN named AS n ON d.doc_id = n.doc_id
+FROM numbered AS d LEFT JOIN counted AS c ON d.r = c.r LEFT JOIN named AS n ON d.r = n.r
 """
 
 
