@@ -3,7 +3,8 @@
 Each rule votes for a document (1), against it (-1) or abstains (0). A document is good, or bad in one of as many ways as
 there are rules. Expectation-maximisation over the counts of vote patterns, at most 3 to the number of rules whatever the
 corpus, estimates how common each kind is and how accurate each rule is on each kind; a document's posterior probability of
-being good then takes the place of "all rules must pass". The estimation is one expression over one row of counts.
+being good then takes the place of "all rules must pass". A document that no rule votes against is good: a bad kind shows in at
+least one such vote, so abstentions alone never speak for one. The estimation is one expression over one row of counts.
 """
 
 from __future__ import annotations
@@ -141,7 +142,8 @@ class RuleModel:
             return F.exp(kind["base"] + down + total(F.zip_with(votes, kind["up"], lambda v, x: F.when(v == 1, x).otherwise(0.0))))
 
         # constants in arrays: an expression for each rule and kind would be too long to compile
-        return 1 / (1 + total(F.transform(F.array(*kinds), odds)))
+        accused = F.exists(votes, lambda v: v == -1)
+        return F.when(accused, 1 / (1 + total(F.transform(F.array(*kinds), odds)))).otherwise(1.0)
 
 
 def vote_patterns(measured_docs: DataFrame) -> DataFrame:
@@ -176,7 +178,8 @@ def fit_rules(patterns: DataFrame) -> RuleModel:
             terms = F.zip_with(votes, p, lambda v, q: F.when(v == -1, F.log(q)).when(v == 1, F.log(1 - q)).otherwise(0.0))
             return F.exp(F.log(share) + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
 
-        return F.transform(state["kinds"], of_kind)
+        accused = F.exists(votes, lambda v: v == -1)
+        return let(accused, lambda some: F.transform(state["kinds"], lambda share, k: F.when(some | (k == 0), of_kind(share, k)).otherwise(0.0)))
 
     def shared(state: Column, pattern: Column) -> Column:
         """The pattern's count, dealt to the kinds."""

@@ -162,6 +162,7 @@ def test_licence_anchors_hold_across_lines(spark):
 HEADS = {
     "MIT": 'MIT License\n\nCopyright (c) 2020 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n',
     "BSD-2-Clause": "BSD 2-Clause License\n\nCopyright (c) 2020, Jane Doe\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n",
+    "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, Jane Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n",
     "Apache-2.0": "# Copyright 2020 Jane Doe\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.\n",
     "GPL-3.0-only": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
     "GPL-3.0-or-later": "Copyright (C) 2020 Jane Doe\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n",
@@ -173,13 +174,21 @@ HEADS = {
 def test_licence_files_and_the_same_rows_as_sql(spark):
     names = sorted(HEADS)
     texts = [HEADS[n] for n in names] + ["All  rights  reserved", "All rights\nreserved.", "This is free and unencumbered software released into the public\ndomain.", None, "", "Copyright 2019 A\nCopyright 2020 B\nAll rights reserved.", "\n \n\n"]
+    texts += [HEADS["MIT"] + "\nAll rights reserved.\n", HEADS["BSD-2-Clause"] + "\n\n" + HEADS["BSD-3-Clause"]]
     rows = [(i, text, None) for i, text in enumerate(texts)]
     got = {r["doc_id"]: (r["n_sentences"], r["licences"]) for r in licences.scan_licences(make(spark, rows)).collect()}
     assert [got[i][1] for i in range(len(names))] == names
+    assert [got[len(texts) - 2][1], got[len(texts) - 1][1]] == ["MIT", "BSD-2-Clause,BSD-3-Clause"]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, text) for i, text, _ in rows])
     assert got == {i: (n, found) for i, n, found in con.execute(licences.ORACLE_LICENCES).fetchall()}
+    # repeated and null ids are rows of their own in both
+    again = [(1, HEADS["MIT"], None), (1, "All rights reserved", None), (None, HEADS["MPL-2.0"], None), (None, "none", None)]
+    con.execute("DELETE FROM documents")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, text) for i, text, _ in again])
+    both = [sorted(map(repr, map(tuple, x))) for x in (licences.scan_licences(make(spark, again)).collect(), con.execute(licences.ORACLE_LICENCES).fetchall())]
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_licence_sentences_are_normal_and_anchored():
@@ -516,6 +525,7 @@ def test_expectation_maximisation(spark):
         dealt = []
         for p, n in patterns.items():
             like = [s * math.prod(a[j] if v == -1 else 1 - a[j] if v == 1 else 1 for j, v in enumerate(p)) for s, a in zip(share, against)]
+            like = like if -1 in p else [like[0]] + [0.0] * (kinds - 1)
             dealt.append((p, [n * x / sum(like) for x in like]))
         share = [(sum(d[k] for _, d in dealt) + start[k] * rules.GOOD_WEIGHT * total) / (total * (1 + rules.GOOD_WEIGHT)) for k in range(kinds)]
         weight = [(rules.KIND_WEIGHT if k else rules.FALSE_ALARM_WEIGHT) * total for k in range(kinds)]
@@ -523,6 +533,16 @@ def test_expectation_maximisation(spark):
     assert model.kinds == pytest.approx(share) and all(a == pytest.approx(b) for a, b in zip(model.against, against))
 
 
+@pytest.mark.parametrize("accused", [0, 1, 20, 400])
+def test_abstentions_speak_for_no_bad_kind(spark, accused):
+    """Documents that no rule votes against are good in any corpus: tiny, skewed, or one in which most rules abstain."""
+    for clean in ([0] * len(rules.RULES), [0, *[1] * (len(rules.RULES) - 1)], [1] * len(rules.RULES)):
+        rows = [(*clean, 40)] + [(*(-1 if j == 0 else v for j, v in enumerate(clean)), accused)] * bool(accused)
+        frame = spark.createDataFrame(rows, ", ".join(f"{r} int" for r in rules.RULES) + ", n long")
+        got = frame.withColumn("posterior", rules.fit_rules(frame).posterior()).collect()
+        assert all(r["posterior"] == 1.0 for r in got if r["n"] == 40 and -1 not in [r[x] for x in rules.RULES])
+
+
 # ---- 10
 
 
