@@ -43,8 +43,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "impact":
         print(json.dumps(session.impact(args.symbol, args.depth), ensure_ascii=False, indent=2))
     elif args.command == "search":
-        for r in session.search(args.query, args.k)["results"]:
+        found = session.search(args.query, args.k)
+        print(f"mode: {found['mode']}")
+        for r in found["results"]:
             print(f"{r['score']:.4f} [{r['sources']}] {r['id']} ({r['file']})")
+        if not found["results"]:
+            print("no hits")
     elif args.command == "serve":
         from .server import serve
 

@@ -492,6 +492,16 @@ def _hybrid(spark, d):
     return retrieval.hybrid(views.text_docs(spark, d), SEARCH, 10, views.vectors(spark, d), _query_vector(spark, d))
 
 
+FIRST = """both_ways AS (SELECT src AS node, type AS rel_table, 'out' AS direction, dst AS other, type FROM edges UNION SELECT dst, type, 'in', src, type FROM edges),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY node, rel_table, direction ORDER BY other, type) AS INTEGER) AS place FROM both_ways)"""
+
+
+@query("first_neighbours", "SELECT node, rel_table, direction, place, other, type FROM placed WHERE place <= 3", FIRST)
+def _first_neighbours(spark, d):
+    edges = views.edges(spark, d)
+    return traverse.first_neighbours(edges.withColumn("rel_table", F.col("type")), 3).select("node", "rel_table", "direction", "place", "other", "type")
+
+
 # ---- parsing and building, on a repository whose rows are known
 
 

@@ -78,18 +78,18 @@ class SourceGraph:
         sources = read_repository(self.spark, root)
         manifest = None if force else self.store.newest(checked=True)
         if manifest is not None:
-            return self._update(manifest, sources)
+            return self._update(manifest, sources, root)
         found = len(listing(root))
         if not found:
             return {"mode": "full", "files": 0, "symbols": 0, "edges": 0, "calls": 0, "unresolved": 0}
         version, buckets = self.store.next_version(), buckets_for(ROWS_A_FILE * found)
         parsed = self.store.write("parsed", parse_sources(sources), "module", buckets, "file")
-        published = self._derive(parsed, version)
+        published = self._derive(parsed, version, root)
         if force:
             self.store.vacuum(keep=1)
         return {"mode": "full", **self._counts(published)}
 
-    def _derive(self, parsed_table: dict, version: int) -> dict:
+    def _derive(self, parsed_table: dict, version: int, root: str) -> dict:
         """All tables from the parsed files, published."""
         store, buckets = self.store, parsed_table["buckets"]
         parsed = store.read(parsed_table, PARSED)
@@ -115,14 +115,14 @@ class SourceGraph:
         tables = {"parsed": parsed_table}
         for part in at_once(graph_tables, nodes, index):
             tables |= part
-        return self._publish(tables, version)
+        return self._publish(tables, version, root)
 
     def _index(self, docs: DataFrame, version: int, buckets: int) -> dict:
         """The search index of all documents, as one segment."""
         dead = self.store.write("dead", self.spark.createDataFrame([], SCHEMAS["dead"]), "file", 1)
         return {f"postings{version}": self.store.write("postings", retrieval.stored_postings(docs, version), "term", buckets, "term"), "dead": dead}
 
-    def _publish(self, tables: dict, version: int) -> dict:
+    def _publish(self, tables: dict, version: int, root: str) -> dict:
         """Publishes the tables with what is counted over all of them."""
         manifest = {"tables": tables}
         nodes, edges, keys, docs = at_once(
@@ -132,13 +132,13 @@ class SourceGraph:
             lambda: self._read(manifest, "docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first(),
         )
         totals = {"nodes": {r["label"]: r["n"] for r in nodes}, "edges": {r["type"]: r["n"] for r in edges}, "keys": keys["n"], "unresolved": keys["unresolved"], "docs": docs["n"], "terms": docs["dl"]}
-        return self.store.publish(tables, version=version, totals=totals)
+        return self.store.publish(tables, version=version, totals=totals, repo=root)
 
     def _counts(self, manifest: dict) -> dict:
         nodes, edges = manifest["totals"]["nodes"], manifest["totals"]["edges"]
         return {"files": nodes.get("File", 0), "symbols": sum(n for k, n in nodes.items() if k != "File"), "edges": edges.get("(all)", 0), "calls": edges.get("CALLS", 0), "unresolved": manifest["totals"]["unresolved"]}
 
-    def _update(self, manifest: dict, sources: DataFrame) -> dict:
+    def _update(self, manifest: dict, sources: DataFrame, root: str) -> dict:
         old = self._read(manifest, "parsed").select("file", "sha1")
         diff = {r["file"]: r["change"] for r in graph.snapshot_diff(old, content_hashes(sources)).collect()}
         if not diff:
@@ -151,12 +151,12 @@ class SourceGraph:
             touched = {bucket_of(m, manifest["tables"]["parsed"]["buckets"]) for m in modules}
             kept = self._read(manifest, "parsed", only=touched).where(~F.col("file").isin(files))
             parsed = self.store.replace("parsed", manifest["tables"]["parsed"], kept.unionByName(fresh), touched, "file")
-            affected, (published, stale) = at_once(lambda: self._write_set(manifest, files), lambda: self._refresh(manifest, parsed, files, modules, version))
+            affected, (published, stale) = at_once(lambda: self._write_set(manifest, files), lambda: self._refresh(manifest, parsed, files, modules, version, root))
         else:
             named = self.spark.createDataFrame([(f,) for f in files], "file string")
             fresh = parse_sources(sources.join(named, "file", "left_semi"))
             kept = self._read(manifest, "parsed").join(named, "file", "left_anti")
-            published = self._derive(self.store.write("parsed", kept.unionByName(fresh), "module", manifest["tables"]["parsed"]["buckets"], "file"), version)
+            published = self._derive(self.store.write("parsed", kept.unionByName(fresh), "module", manifest["tables"]["parsed"]["buckets"], "file"), version, root)
             stale, affected = published["totals"]["keys"], self._write_set(manifest, files)
         reparsed = sorted({*affected, *changes["added"], *changes["changed"]} - {*changes["deleted"]})
         return {
@@ -164,7 +164,7 @@ class SourceGraph:
             "resolved_keys": stale, "all_keys": published["totals"]["keys"], **self._counts(published),
         }
 
-    def _refresh(self, manifest: dict, parsed_table: dict, files: list[str], modules: set[str], version: int) -> tuple[dict, int]:
+    def _refresh(self, manifest: dict, parsed_table: dict, files: list[str], modules: set[str], version: int, root: str) -> tuple[dict, int]:
         """The tables that follow from new parsed files, by what changed in them; what is published, and how many keys were resolved again."""
         store, tables, buckets = self.store, manifest["tables"], parsed_table["buckets"]
         own = {bucket_of(m, buckets) for m in modules}
@@ -232,7 +232,7 @@ class SourceGraph:
         made = {**made, "parsed": parsed_table, "symbols": symbols_table}
         for part in at_once(nodes, edges):
             made |= part
-        return self._publish(made, version), found["n"]
+        return self._publish(made, version, root), found["n"]
 
     def _segment(self, manifest: dict, changed: DataFrame, every: DataFrame, files: list[str], version: int) -> dict:
         """The search index with a segment for the ``changed`` documents, or merged, of ``every`` document, once there are many."""
@@ -340,7 +340,7 @@ class SourceGraph:
         nodes, edges = manifest["totals"]["nodes"], dict(manifest["totals"]["edges"])
         languages = graph.language_counts(self._table("parsed", manifest).select(F.col("file").alias("path"))).collect()
         total = edges.pop("(all)", 0)
-        return {"files": nodes.get("File", 0), "functions": nodes.get("Function", 0), "classes": nodes.get("Class", 0), "edges": edges, "total_edges": total, "languages": {r["language"]: r["n"] for r in languages}, "db": self.db}
+        return {"files": nodes.get("File", 0), "functions": nodes.get("Function", 0), "classes": nodes.get("Class", 0), "edges": edges, "total_edges": total, "languages": {r["language"]: r["n"] for r in languages}, "db": self.db, "repo": manifest.get("repo", "")}
 
     def modules(self, most: int = 40) -> list[dict]:
         return [r.asDict() for r in graph.module_rollup(self._table("parsed").select(F.col("file").alias("path")), most).collect()]

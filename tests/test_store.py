@@ -264,3 +264,10 @@ def test_a_broken_file_gives_the_rest():
     assert found.imports == [("os", "os", None, False), ("a", "b", None, True)]
     assert [(c[0], c[2], c[3]) for c in found.calls] == [("good", "b", 5), ("C.one", "good", 17), ("C.three", "os.path.join", 23), ("texty", "good", 29), ("last", "good", 32), ("last", "bad", 33)]
     assert parse_python(b"((((", "m.py").status == "error"
+
+
+def test_first_neighbours_of_a_hub(spark):
+    hub = spark.range(100_000).select(F.lit("hub").alias("src"), F.format_string("n%06d", F.lit(99_999) - F.col("id")).alias("dst"), F.lit("R").alias("rel_table"), F.lit("CALLS").alias("type"))
+    got = traverse.first_neighbours(hub.union(hub.limit(5)), 4)
+    assert [(r["place"], r["other"]) for r in got.where("node = 'hub'").orderBy("place").collect()] == [(i + 1, f"n{i:06d}") for i in range(4)]
+    assert got.where("direction = 'in'").count() == 100_000
