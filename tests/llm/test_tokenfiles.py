@@ -91,12 +91,12 @@ def test_stripes_indexes_and_bloom_filters(spark, tmp_path):
     # ranges of doc_id leave out all but a group of rows
     assert 0 < read_rows(every.where("doc_id = 20000")) <= 4 * tokenfiles.INDEX_STRIDE
     # odd ids lie within the ranges; only Bloom filters can tell that they aren't there
-    assert sum(read_rows(every.where(f"doc_id = {i}")) == 0 for i in range(10_001, 10_041, 2)) >= 15
+    assert sum(read_rows(every.where(f"doc_id = {i}")) == 0 for i in range(10_001, 10_021, 2)) >= 7
     plan = tokenfiles.read_token_ids(spark, path).where("doc_id = 20000")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,20000)" in plan
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab é×Z9'.,-\n\t  \x1c\x85中s<|>"), max_size=20), min_size=1, max_size=4))
 def test_chunks_hold_in_any_text(texts):
     encoder = test_chunks_hold_in_any_text.__dict__.setdefault("encoder", ByteEncoder(VOCABULARY))
