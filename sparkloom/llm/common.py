@@ -75,6 +75,16 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns))
 
 
+def repeats_ids(df: DataFrame) -> bool:
+    """Whether rows of ``df`` share a doc_id, or have none in common."""
+    return (df.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().agg(F.max("count")).first()[0] or 0) > 1
+
+
+def row_key(df: DataFrame) -> Column:
+    """A digest of all columns, the same for equal rows: tells rows apart that share a doc_id or have none."""
+    return F.md5(F.to_json(whole_row(df), {"ignoreNullFields": "false"}).cast("binary"))
+
+
 #: Places of a table that are added up and sent together, and values that a task counts at a time.
 PART_BITS, COUNTED_AT_ONCE = 16, 4_000_000
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, whole_row
+from .common import WORD, cut, documents, repeats_ids, row_key, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix for each word of the corpus, and how often a source may be repeated.
@@ -108,17 +108,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE
     return taken
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of ``docs``: how often the mix takes the document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, source, size, source_size, target, copies) for each row of ``docs``: how often the mix takes the document.
 
     A null text has size 0, and documents of size 0 are taken 0 times. A null source is a source of its own, the last
-    one. Repeated rows are documents of their own, drawn by their rank among equals. Null ids are drawn like others. An
-    empty table gives no row. The draw depends on the seed, ids, lengths and sources alone, so reruns agree.
+    one. Repeated rows are documents of their own, drawn by their rank among equals. Null ids are drawn like others; ``row``,
+    if given, tells them and other rows that share an id apart. Very long texts are only counted, by their words. An empty
+    table gives no row. The draw depends on the seed, ids, lengths and sources alone, so reruns agree.
     """
     whole = int(most)
-    salt = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SALTS)).cast("int")
+    row = F.lit("") if row is None else row
+    drawn = lambda by: F.xxhash64(F.lit(by), "doc_id", F.nullif(row, F.lit("")))
+    salt = F.pmod(drawn(seed), F.lit(SALTS)).cast("int")
     # the sizes are counted once: the texts aren't read again
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), salt.alias("salt"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("draw")))
+    sized = cut(docs.select("doc_id", row.alias("row"), "source", size_of(F.col("text")).alias("size"), salt.alias("salt"), drawn(seed + 1).alias("draw")))
     by_salt = cut(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     by_size = by_salt.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -142,20 +145,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s.source", "s.size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     extra = F.greatest(F.lit(0), F.least("n", F.col("extra") - before)).alias("quota")
     quota = planned.select("s.source", "s.size", "salt", "passes", "source_size", "target", extra).alias("q")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "doc_id", "row"))
     d = sized.withColumn("rank", rank).alias("d")
     on = F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.size") == F.col("q.size")) & (F.col("d.salt") == F.col("q.salt"))
     copies = F.col("passes") + (F.col("rank") <= F.col("quota")).cast("int")
-    return d.join(quota, on).select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"))
+    return d.join(quota, on).select("d.doc_id", "d.row", "d.source", "d.size", "source_size", "target", copies.alias("copies"))
 
 
 def take_mix(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, with their columns, each as often as mix takes it; rows that share a doc_id as often as the one of them taken most."""
-    copies = mix(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
-    row = docs.select(whole_row(docs).alias("row"))
-    copies = copies.withColumnRenamed("doc_id", "mix_id")
-    joined = row.join(copies, F.col("row.doc_id").eqNullSafe(F.col("mix_id")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
+    """The rows of ``docs``, with their columns, each as often as mix takes it.
+
+    Rows that share a doc_id, or have none, are told apart by all their columns; equal rows are taken as often as mix takes
+    them together. Nulls, empty texts and empty tables: as in mix.
+    """
+    repeated = repeats_ids(docs)
+    key = row_key(docs) if repeated else None
+    copies = mix(docs, row=key, **settings).groupBy("doc_id", "row").agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
+    copies = copies.toDF("mix_id", "mix_row", "mix_copies")
+    rows = docs.select(whole_row(docs).alias("whole"), F.col("doc_id").alias("own_id"), *([key.alias("own_row")] if repeated else []))
+    same = F.col("own_id").eqNullSafe(F.col("mix_id"))
+    if repeated:
+        rows = rows.dropDuplicates(["own_id", "own_row"])
+        same = same & (F.col("own_row") == F.col("mix_row"))
+    joined = rows.join(copies, same)
+    return joined.select("whole", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("whole.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

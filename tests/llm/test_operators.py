@@ -138,9 +138,21 @@ def test_near_copies(spark, docs, empty):
         assert sorted(map(lambda s: sorted(map(key, s)), got.values())) == sorted(map(lambda s: sorted(map(key, s)), expected.values()))
     kept = nearcopies.drop_near_copies(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {min(g, key=lambda x: math.inf if x is None else x) for g in expected.values()}
+    assert kept.count() == len(expected)
     assert nearcopies.drop_near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [48, 1])
+def test_one_row_of_each_group_of_near_copies_stays(spark, crowded):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a, "s1"), (None, a + " more", "s1"), (5, a, "s2"), (5, a, "s2"), (5, c, "s2"), (None, b, "s1"), (None, b, "s1"), (None, b + " x", None), (None, None, "s0"), (None, "", "s0")]
+    kept = nearcopies.drop_near_copies(make(spark, rows), crowded=crowded).select("doc_id", "text").collect()
+    assert len(kept) == 4
+    assert {(r["doc_id"], (r["text"] or "")[:2]) for r in kept} == {(5, "a0"), (5, "c0"), (None, "b0"), (None, "")}
+    again = nearcopies.drop_near_copies(make(spark, rows[::-1]), crowded=crowded).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, kept))
+
+
 # ---- 2
 
 
@@ -306,6 +318,23 @@ def test_mixing(spark, docs, empty):
     assert whole.columns == docs.columns and whole.where("doc_id = 300").count() == max(r["copies"] for r in got if r["doc_id"] == 300)
 
 
+def test_the_mix_takes_rows_that_share_an_id_one_by_one(spark, empty):
+    rows = [(1, "a b c", "s0"), (1, "d e f", "s0"), (1, "g h", "s1"), (1, "g h", "s1"), (None, "i j k", "s0"), (None, "l m n", "s0"), (None, None, None), (2, "o p q r", None)]
+    rows += [(None, f"w{i} x", "s1") for i in range(20)]
+    docs = make(spark, rows)
+    taken, sizes = collections.Counter(), collections.Counter()
+    for r in mixing.take_mix(docs).collect():
+        taken[r["source"]] += len(words(r["text"]))
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    target = brute_targets(dict(sizes), (5, 2, 1), 1.5, 2)
+    longest = {s: max(len(words(t)) for _, t, x in rows if x == s) for s in sizes}
+    assert all(target[s] - longest[s] < taken[s] <= target[s] + 1 for s in sizes)
+    n = collections.Counter(t for _, t, _ in rows)
+    assert all(k <= 2 * n[t] for t, k in collections.Counter(r["text"] for r in mixing.take_mix(docs).collect()).items())
+    assert mixing.take_mix(empty).count() == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), min_size=1, max_size=8), st.integers(0, 400))
 def test_fit_is_the_best_subset(counts, budget):
