@@ -11,7 +11,7 @@ from ..functions import code
 from ..operators import graph, report, resolve, retrieval, traverse
 from ..operators.build import build_graph
 from ..sources.repository import parse_sources
-from . import sample, views
+from . import views, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,33 +502,48 @@ def _first_neighbours(spark, d):
     return traverse.first_neighbours(edges.withColumn("rel_table", F.col("type")), 3).select("node", "rel_table", "direction", "place", "other", "type")
 
 
-# ---- parsing and building, on a repository whose rows are known
+# ---- parsing and building, on repositories written from the tables' rows
 
 
-def _parsed(spark):
-    return parse_sources(sample.sources(spark))
+def _parsed(spark, d):
+    return parse_sources(written.sources(written.units(spark, d, "part")))
 
 
+def of_rows(name: str, table: str, sql: str):
+    """Registers a query over the repository that is written from a table's rows, and its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name], ORACLE_SQL[name] = f, f"WITH {written.views_sql(table)}\n{sql}"
+        return f
+
+    return add
+
+
+@of_rows("parse_symbols", "part", "SELECT file, kind, qualified_name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM symbols")
 def _parse_symbols(spark, d):
-    return _parsed(spark).select("file", F.explode("symbols").alias("s")).select("file", "s.kind", "s.qualified_name", "s.start_line", "s.end_line")
+    return _parsed(spark, d).select("file", F.explode("symbols").alias("s")).select("file", "s.kind", "s.qualified_name", "s.start_line", "s.end_line")
 
 
+@of_rows("parse_imports", "part", "SELECT file, imported AS module, name, alias FROM imported")
 def _parse_imports(spark, d):
-    return _parsed(spark).select("file", F.explode("imports").alias("i")).select("file", "i.module", "i.name", F.coalesce("i.alias", F.lit("")).alias("alias"))
+    return _parsed(spark, d).select("file", F.explode("imports").alias("i")).select("file", "i.module", "i.name", F.coalesce("i.alias", F.lit("")).alias("alias"))
 
 
+@of_rows("parse_calls", "part", "SELECT file, caller, chain, CAST(line AS INTEGER) AS line FROM called")
 def _parse_calls(spark, d):
-    return _parsed(spark).select("file", F.explode("calls").alias("c")).select("file", "c.caller", F.col("c.callee_chain").alias("chain"), "c.line")
+    return _parsed(spark, d).select("file", F.explode("calls").alias("c")).select("file", "c.caller", F.col("c.callee_chain").alias("chain"), "c.line")
 
 
-def _call_edges(spark, d):
-    return build_graph(_parsed(spark)).edges.where("type = 'CALLS'").select("src", "dst")
+@of_rows(
+    "parse_files",
+    "part",
+    """SELECT file, module, CASE k % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'js' WHEN 2 THEN 'ts' ELSE 'java' END AS lang, sha1(content) AS sha1,
+    CAST(length(content) AS BIGINT) AS size, CASE WHEN broken THEN 'partial' ELSE 'ok' END AS status FROM texts""",
+)
+def _parse_files(spark, d):
+    return _parsed(spark, d).select("file", "module", "lang", "sha1", "size", "status")
 
 
-for _name, _query, _rows, _columns in (
-    ("parse_symbols", _parse_symbols, sample.SYMBOLS, "file, kind, qualified_name, start_line, end_line"),
-    ("parse_imports", _parse_imports, sample.IMPORTS, "file, module, name, alias"),
-    ("parse_calls", _parse_calls, sample.CALLS, "file, caller, chain, line"),
-    ("built_call_edges", _call_edges, sample.CALL_EDGES, "src, dst"),
-):
-    QUERIES[_name], ORACLE_SQL[_name] = _query, sample.as_sql(_rows, _columns)
+@of_rows("built_call_edges", "part", "SELECT src, dst FROM call_edges")
+def _call_edges(spark, d):
+    return build_graph(_parsed(spark, d)).edges.where("type = 'CALLS'").select("src", "dst")

@@ -39,9 +39,3 @@ CALL_EDGES = [
 
 def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, bytearray(t.encode())) for f, t in FILES.items()], "file string, content binary")
-
-
-def as_sql(rows: list[tuple], columns: str) -> str:
-    """SQL for the rows of a table."""
-    text = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"
