@@ -1,15 +1,31 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage, and folders for tables and files, in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one is made only where none is named, and only where all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="loom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of one's own in the shared one, for files that are opened by path; it isn't made yet."""
+    return f"{urlsplit(checkpoint_dir(spark)).path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in spark.checkpoint.dir; one is made only where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    """``df`` written to the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import new_folder
 from ..functions import code
 from ..operators import graph, report, resolve, retrieval, traverse
 from ..operators.build import build_graph
-from ..sources.repository import parse_sources
+from ..session import SourceGraph
+from ..sources.repository import content_hashes, parse_sources, read_repository
 from . import views, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,3 +549,73 @@ def _parse_files(spark, d):
 @of_rows("built_call_edges", "part", "SELECT src, dst FROM call_edges")
 def _call_edges(spark, d):
     return build_graph(_parsed(spark, d)).edges.where("type = 'CALLS'").select("src", "dst")
+
+
+# ---- sources in a folder and graphs in a store: files are written from the suppliers' rows, listed, read, built and brought up to date
+
+
+def _repository(spark, units):
+    """The folder of a repository with a file for each of the ``units``."""
+    root = new_folder(spark, "repository")
+    written.write(written.sources(units), root)
+    return root
+
+
+def _suppliers(spark, d):
+    return written.units(spark, d, "supplier")
+
+
+def _suppliers_before(spark, d):
+    """The repository as it was before: files of suppliers in debt weren't there yet, others of their kind were, and those of small accounts had more or fewer steps."""
+    accounts = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("account"))
+    rows = _suppliers(spark, d).join(accounts, "k")
+    moved = F.when(F.col("account") < 0, F.col("k") + written.APART).otherwise(F.col("k"))
+    steps = F.when(F.col("account") < 2000, F.col("n") % 5 + 1).otherwise(F.col("n")).cast("int")
+    return rows.select(moved.alias("k"), steps.alias("n"), "m", "broken")
+
+
+@of_rows("source_scan", "supplier", "SELECT file, CASE k % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'js' WHEN 2 THEN 'ts' ELSE 'java' END AS lang, sha1(content) AS sha1 FROM texts")
+def _source_scan(spark, d):
+    sources = read_repository(spark, _repository(spark, _suppliers(spark, d)))
+    return content_hashes(sources).select("file", code.language_of(F.col("file")).alias("lang"), "sha1")
+
+
+@of_rows(
+    "source_changes",
+    "supplier",
+    f"""SELECT file, 'added' AS change FROM units JOIN supplier ON s_suppkey = k WHERE s_acctbal < 0
+UNION ALL SELECT replace(file, CAST(k AS VARCHAR), CAST(k + {written.APART} AS VARCHAR)), 'deleted' FROM units JOIN supplier ON s_suppkey = k WHERE s_acctbal < 0
+UNION ALL SELECT file, 'changed' FROM units JOIN supplier ON s_suppkey = k WHERE s_acctbal >= 0 AND s_acctbal < 2000""",
+)
+def _source_changes(spark, d):
+    before, after = (read_repository(spark, _repository(spark, u)) for u in (_suppliers_before(spark, d), _suppliers(spark, d)))
+    return graph.snapshot_diff(content_hashes(before), content_hashes(after))
+
+
+@of_rows("stored_edges", "supplier", "SELECT type, src, dst FROM edges")
+def _stored_edges(spark, d):
+    session = SourceGraph(spark, new_folder(spark, "graph"))
+    session.analyze(_repository(spark, _suppliers(spark, d)))
+    return session.table("edges").select("type", "src", "dst")
+
+
+def _updated(spark, d):
+    """A graph that was built of the repository as it was before, and then brought up to date."""
+    session = SourceGraph(spark, new_folder(spark, "graph"))
+    for units in (_suppliers_before(spark, d), _suppliers(spark, d)):
+        session.analyze(_repository(spark, units))
+    return session
+
+
+@of_rows("updated_edges", "supplier", "SELECT type, src, dst FROM edges")
+def _updated_edges(spark, d):
+    return _updated(spark, d).table("edges").select("type", "src", "dst")
+
+
+@of_rows(
+    "updated_nodes",
+    "supplier",
+    "SELECT 'File' AS label, module AS id, file AS name, file FROM units UNION ALL SELECT CASE kind WHEN 'class' THEN 'Class' ELSE 'Function' END, fqn, name, file FROM symbols",
+)
+def _updated_nodes(spark, d):
+    return _updated(spark, d).table("nodes").select("label", "id", "name", "file")

@@ -60,13 +60,14 @@ class SourceGraph:
     def _read(self, manifest: dict, name: str, keys=None, only=None) -> DataFrame:
         return self.store.read(manifest["tables"][name], POSTING if name.startswith("postings") else SCHEMAS[name], keys, only)
 
-    def _table(self, name: str, manifest: dict | None = None) -> DataFrame:
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        """A table of the newest version, or of the one that the manifest names: parsed, symbols, keys, nodes, edges, edges_in or docs."""
         rows = self._read(manifest or self._manifest(), name)
         return rows.select([f.split()[0] for f in SHOWN[name].split(", ")]) if name in SHOWN else rows
 
     def snapshot(self) -> dict[str, str]:
         """Content hash by file."""
-        return {r["file"]: r["sha1"] for r in self._table("parsed").select("file", "sha1").collect()}
+        return {r["file"]: r["sha1"] for r in self.table("parsed").select("file", "sha1").collect()}
 
     # ---- building
 
@@ -259,7 +260,7 @@ class SourceGraph:
     # ---- asking
 
     def calls(self) -> DataFrame:
-        return self._table("edges").where(CALLS).select("src", "dst", "confidence")
+        return self.table("edges").where(CALLS).select("src", "dst", "confidence")
 
     def reach(self, symbol: str, depth: int, reverse: bool = False) -> list[dict]:
         """{id, parent, depth, confidence} of what is up to ``depth`` calls away, in order of depth and id.
@@ -305,7 +306,7 @@ class SourceGraph:
         return {"symbol": symbol, "callers": [r["id"] for r in up], "callees": [r["id"] for r in down]}
 
     def symbols(self, fragment: str = "", limit: int = 50) -> list[dict]:
-        nodes = self._table("nodes")
+        nodes = self.table("nodes")
         found = graph.search_symbols(nodes, fragment, limit) if fragment else nodes.where("label <> 'File'").orderBy(F.desc("label"), "id").limit(limit)
         return [{"id": r["id"], "label": r["label"], "name": r["name"], "file": r["file"]} for r in found.collect()]
 
@@ -323,7 +324,7 @@ class SourceGraph:
         """Hybrid search; with a model its vectors, with a backend its ids, without either BM25 alone."""
         manifest = self._manifest()
         terms, totals = retrieval.query_terms(query), manifest["totals"]
-        docs = self._table("docs", manifest)
+        docs = self.table("docs", manifest)
         scored = retrieval.bm25_stored(self.postings(terms, manifest), docs, query, totals["docs"], totals["terms"]) if terms else retrieval.bm25(docs, query)
         lists, mode = {"bm25": retrieval.top(scored, 3 * k)}, "bm25"
         if query.strip() and self.backend is not None:
@@ -338,16 +339,16 @@ class SourceGraph:
     def stats(self) -> dict:
         manifest = self._manifest()
         nodes, edges = manifest["totals"]["nodes"], dict(manifest["totals"]["edges"])
-        languages = graph.language_counts(self._table("parsed", manifest).select(F.col("file").alias("path"))).collect()
+        languages = graph.language_counts(self.table("parsed", manifest).select(F.col("file").alias("path"))).collect()
         total = edges.pop("(all)", 0)
         return {"files": nodes.get("File", 0), "functions": nodes.get("Function", 0), "classes": nodes.get("Class", 0), "edges": edges, "total_edges": total, "languages": {r["language"]: r["n"] for r in languages}, "db": self.db, "repo": manifest.get("repo", "")}
 
     def modules(self, most: int = 40) -> list[dict]:
-        return [r.asDict() for r in graph.module_rollup(self._table("parsed").select(F.col("file").alias("path")), most).collect()]
+        return [r.asDict() for r in graph.module_rollup(self.table("parsed").select(F.col("file").alias("path")), most).collect()]
 
     def subgraph(self, seed: str | None = None, depth: int = 1, limit: int = 200) -> dict:
         """Nodes and edges around ``seed``, or the layer of files and classes to begin with."""
-        nodes, edges = self._table("nodes"), self._table("edges")
+        nodes, edges = self.table("nodes"), self.table("edges")
         if seed is None:
             shown, links = graph.seed_layer(nodes, edges, limit)
         else:

@@ -40,7 +40,7 @@ def sample(spark, tmp_path_factory):
 
 def test_sample_graph(sample):
     session, root = sample
-    edges = {(r["type"], r["src"], r["dst"], r["rel_table"]) for r in session._table("edges").collect()}
+    edges = {(r["type"], r["src"], r["dst"], r["rel_table"]) for r in session.table("edges").collect()}
     assert {e[1:] for e in edges if e[0] == "CALLS"} == {
         ("tide.forecast", "tide.moon_phase", "R_CALLS_FF"), ("tide.forecast", "tide.sea_level", "R_CALLS_FF"), ("season.open_all", "harbour.Pier", "R_CALLS_FC"),
         ("season.open_all", "harbour.Pier.take_in", "R_CALLS_FF"), ("harbour.Pier.take_in", "boats.Dinghy", "R_CALLS_FC"),
@@ -76,7 +76,7 @@ def test_vectors(sample, spark):
     other = SourceGraph(spark, session.db, model=lambda texts: [[float("phase" in t), 1.0] for t in texts])
     found = other.search("phase", 5)
     assert found["mode"] == "hybrid" and any("semantic" in r["sources"] for r in found["results"])
-    docs = session._table("docs")
+    docs = session.table("docs")
     assert retrieval.hashed_vectors(docs.select("ord", "id", "text"), 8).count() == docs.count()
 
 
@@ -116,7 +116,7 @@ def test_incremental_equals_full(spark, tmp_path):
         whole = SourceGraph(spark, str(tmp_path / f"full{i}"))
         whole.analyze(str(root))
         for name in ("nodes", "edges"):
-            assert graph.same_rows(session._table(name), whole._table(name)), (i, name)
+            assert graph.same_rows(session.table(name), whole.table(name)), (i, name)
         if i == 1:
             assert status["reparsed_files"] == ["shop/__init__.py", "shop/cart.py", "shop/order.py"]
         if i == 4:
@@ -131,7 +131,7 @@ def test_mixed_languages(spark, tmp_path):
     })
     session = SourceGraph(spark, str(tmp_path / "db"))
     session.analyze(str(tmp_path / "r"))
-    edges = session._table("edges")
+    edges = session.table("edges")
     assert {(r["src"], r["dst"]) for r in edges.where("type = 'CALLS'").collect()} == {
         ("app.main", "app.helper"), ("web.util.greet", "web.c.x"), ("web.types.A.m", "web.types.A.m"), ("src.com.x.Main.Main.run", "src.com.y.Z.Z.f"), ("src.com.y.Z.Z.g", "src.com.y.Z.Z.f"),
     }

@@ -121,13 +121,13 @@ def test_random_updates_equal_full_builds(spark, tmp_path):
         full = whole.analyze(root)
         assert {k: status[k] for k in full if k != "mode"} == {k: v for k, v in full.items() if k != "mode"}
         for name in ("nodes", "edges", "edges_in", "docs", "keys"):
-            assert graph.same_rows(session._table(name), whole._table(name)), (step, name)
+            assert graph.same_rows(session.table(name), whole.table(name)), (step, name)
     # a damaged version is passed over, and the next update starts from the one before
     newest = session.store.newest()
     name = next(iter(newest["tables"]["edges"]["files"].values()))[0][0]
     os.truncate(f"{session.db}/{name}", 3)
     assert session.analyze(root)["mode"] == "incremental"
-    assert graph.same_rows(session._table("edges"), whole._table("edges"))
+    assert graph.same_rows(session.table("edges"), whole.table("edges"))
 
 
 def test_a_small_change_touches_few_keys(spark, tmp_path):
@@ -144,7 +144,7 @@ def test_a_small_change_touches_few_keys(spark, tmp_path):
     assert [r["id"] for r in session.search("added", 3)["results"]] == ["m3.added"]
     assert "m3.h3" not in [r["id"] for r in session.search("h3", 5)["results"]]
     # index and texts give the same scores
-    docs, totals = session._table("docs"), session.store.newest()["totals"]
+    docs, totals = session.table("docs"), session.store.newest()["totals"]
     for query in ("g3 return", "def h7 g7 g7", "nothing such"):
         left = retrieval.bm25_stored(session.postings(retrieval.query_terms(query)), docs, query, totals["docs"], totals["terms"])
         assert sorted(map(tuple, left.collect())) == sorted(map(tuple, retrieval.bm25(docs, query).collect())), query
