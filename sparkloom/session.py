@@ -347,16 +347,43 @@ class SourceGraph:
         return [r.asDict() for r in graph.module_rollup(self.table("parsed").select(F.col("file").alias("path")), most).collect()]
 
     def subgraph(self, seed: str | None = None, depth: int = 1, limit: int = 200) -> dict:
-        """Nodes and edges around ``seed``, or the layer of files and classes to begin with."""
-        nodes, edges = self.table("nodes"), self.table("edges")
+        """Nodes and edges around ``seed``, or the layer of files and classes to begin with.
+
+        Around a seed, each node shows its first ``limit`` neighbours of each table and direction; edges stand in both orientations.
+        """
+        manifest = self._manifest()
         if seed is None:
-            shown, links = graph.seed_layer(nodes, edges, limit)
+            shown, links = graph.seed_layer(self.table("nodes", manifest), self.table("edges", manifest), limit)
+            shown = shown.select("id", "label", "name", "file").collect()
+            pairs = {(r["src"], r["dst"], r["type"]) for r in links.select("src", "dst", "type").collect()}
+        else:
+            seen, frontier, pairs = {seed}, [seed], set()
+            for _ in range(max(1, depth)):
+                found = [(r["node"], r["other"], r["type"]) for r in self._first_neighbours(manifest, frontier, limit).collect()]
+                pairs |= {p for a, b, kind in found for p in ((a, b, kind), (b, a, kind))}
+                frontier = sorted({b for _, b, _ in found} - seen)
+                seen.update(frontier)
+                if not frontier:
+                    break
+            nodes = self._read(manifest, "nodes", seen) if len(seen) <= MOST_IDS else self.table("nodes", manifest)
+            shown = graph.look_up(nodes, self._ids(seen)).collect()
+        rows = sorted((r["id"], r["label"], r["name"], r["file"]) for r in shown)
+        return {"nodes": [dict(zip(("id", "label", "name", "file"), r)) for r in rows], "edges": [dict(zip(("from", "to", "type"), p)) for p in sorted(pairs)]}
+
+    def _ids(self, ids) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in sorted(ids)], "id string")
+
+    def _first_neighbours(self, manifest: dict, nodes: list[str], limit: int) -> DataFrame:
+        """Of each of the ``nodes`` its first neighbours of each table and direction; up to MOST_IDS nodes read their own buckets alone."""
+        few, ids = len(nodes) <= MOST_IDS, self._ids(nodes)
+        modules = {".".join(i.split(".")[:n]) for i in nodes for n in range(i.count(".") + 2)} if few else None
+        out, into = self._read(manifest, "edges", modules), self._read(manifest, "edges_in", nodes if few else None)
+        if few:
+            out, into = out.where(F.col("src").isin(nodes)), into.where(F.col("dst").isin(nodes))
         else:
-            around, links = traverse.ego_network(edges, self._one(seed), depth)
-            shown = graph.look_up(nodes, around.select("id"))
-            links = links.orderBy("src", "dst", "type").limit(limit * max(1, depth) * 6)
-        rows = lambda df, *names: [dict(zip(names, r)) for r in df.collect()]
-        return {"nodes": rows(shown.select("id", "label", "name", "file").orderBy("id", "label"), "id", "label", "name", "file"), "edges": rows(links.select("src", "dst", "type").orderBy("src", "dst", "type"), "from", "to", "type")}
+            out, into = out.join(ids.toDF("src"), "src", "left_semi"), into.join(ids.toDF("dst"), "dst", "left_semi")
+        near = traverse.first_neighbours(out.unionByName(into), limit)
+        return near.join(ids.toDF("node"), "node", "left_semi")
 
     # ---- payloads for tools
 

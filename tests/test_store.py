@@ -271,3 +271,25 @@ def test_first_neighbours_of_a_hub(spark):
     got = traverse.first_neighbours(hub.union(hub.limit(5)), 4)
     assert [(r["place"], r["other"]) for r in got.where("node = 'hub'").orderBy("place").collect()] == [(i + 1, f"n{i:06d}") for i in range(4)]
     assert got.where("direction = 'in'").count() == 100_000
+
+
+def test_subgraph_limits_each_table_and_direction(spark, tmp_path, monkeypatch):
+    """A hub shows its first neighbours of each table and direction; the way of many nodes gives the same; an unknown seed gives nothing."""
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "hub.py").write_text("".join(f"def part{i}():\n    return 1\n\n\n" for i in range(9)) + "def hub():\n    return " + " + ".join(f"part{i}()" for i in range(9)) + "\n")
+    for i in range(7):
+        (root / f"user{i}.py").write_text(f"from hub import hub\n\n\ndef use{i}():\n    return hub()\n")
+    session = SourceGraph(spark, str(tmp_path / "db"))
+    session.analyze(str(root))
+    found = session.subgraph("hub.hub", limit=3)
+    wanted = {("hub.hub", f"hub.part{i}", "CALLS") for i in range(3)} | {("hub.hub", f"user{i}.use{i}", "CALLS") for i in range(3)} | {("hub.hub", "hub", "CONTAINS")}
+    assert {(e["from"], e["to"], e["type"]) for e in found["edges"]} == wanted | {(b, a, kind) for a, b, kind in wanted}
+    assert {n["id"] for n in found["nodes"]} == {x for a, b, _ in wanted for x in (a, b)}
+    deep = session.subgraph("hub.hub", depth=2, limit=3)
+    # at the second level the file shows its first functions and importers, each user its own file
+    assert {("user0.use0", "user0", "CONTAINS"), ("hub", "user2", "IMPORTS")} <= {(e["from"], e["to"], e["type"]) for e in deep["edges"]}
+    assert ("hub", "user3", "IMPORTS") not in {(e["from"], e["to"], e["type"]) for e in deep["edges"]}
+    assert session.subgraph("nowhere") == {"nodes": [], "edges": []}
+    monkeypatch.setattr("sparkloom.session.MOST_IDS", 0)
+    assert session.subgraph("hub.hub", depth=2, limit=3) == deep
