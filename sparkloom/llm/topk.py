@@ -23,6 +23,8 @@ from .common import arrow_rows, cut
 SCALE, K, QUERY_EVERY = 64.0, 20, 20
 #: Vectors in a block, queries in a group.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Few vectors make smaller blocks, down to this many in each, so that each core gets some TASKS_A_CORE blocks.
+SMALL_BLOCK, TASKS_A_CORE = 256, 2
 #: Possible members for each query, as a multiple of k, at which exact scoring is cheaper than another segment.
 FEW = 8
 #: A segment is kept as lists if it has postings in fewer than one of so many places.
@@ -126,7 +128,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, scale: float = SCALE,
     kept = cut(one)
     counts = kept.agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q"), F.max(F.size("v")).alias("width")).first()
     n, n_queries, width = counts["n"], counts["q"], counts["width"] or 0
-    n_blocks, n_groups = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
+    tasks = TASKS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    n_blocks, n_groups = max(1, -(-n // block), min(-(-n // min(block, SMALL_BLOCK)), tasks)), max(1, -(-n_queries // query_block))
 
     def pack(blocks: int):
         # numbers of rows in a block vary a little, as rows are dealt by a hash
@@ -137,12 +140,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, scale: float = SCALE,
         return pd.DataFrame({"b": [rows["b"].iloc[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "data": [_packed(rows, width).tobytes()]})
 
     layout = "b int, ids binary, data binary"
-    indexed = kept.select("vec_id", "v", pack(n_blocks).alias("b")).groupBy("b").applyInPandas(to_rows, layout).select(F.col("b").alias("block"), "ids", "data", F.lit(-1).alias("query_group"))
+    # a block is a task: its number is the task's, so that no two of them meet by their hash
+    indexed = kept.select("vec_id", "v", pack(n_blocks).alias("b")).repartitionById(n_blocks, "b").groupBy("b").applyInPandas(to_rows, layout).select(F.col("b").alias("block"), "ids", "data", F.lit(-1).alias("query_group"))
     asked = kept.where("is_query").select("vec_id", "v", pack(n_groups).alias("b")).groupBy("b").applyInPandas(to_rows, layout)
     # the queries go to every block, not the index to every group: the smaller side is repeated
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "ids", "data", F.col("b").alias("query_group"))
     # a block's index comes first, then the groups of queries one by one
-    pairs = indexed.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "query_group").select("query_group", "ids", "data")
+    pairs = indexed.unionByName(asked).repartitionById(n_blocks, "block").sortWithinPartitions("block", "query_group").select("query_group", "ids", "data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids = None, None
