@@ -26,7 +26,7 @@ from .common import arrow_rows, as_bytes, cut, documents, held_out, in_turn, run
 
 FOLDS = 5
 #: Bytes of text in a block, about, unless a text is longer; bytes of text and entries that are scored together.
-BLOCK_BYTES, AT_ONCE, SCORED_AT_ONCE = 32_000_000, 4_000_000, 1_000_000
+BLOCK_BYTES, AT_ONCE, SCORED_AT_ONCE = 24_000_000, 2_000_000, 1_000_000
 #: Bits of a word's hash by which a block's words are in order.
 HASH_BITS = 16
 LEAST_BUCKETS = 16
@@ -293,6 +293,7 @@ def score_documents(docs: DataFrame, order: int = ppm.ORDER) -> DataFrame:
         some = [(_unpacked(e)[0], np.frombuffer(x, np.float32)) for e, x in zip(found["entries"], found["scores"]) if x is not None]
         of_key = np.concatenate([np.zeros(0, np.float32), *(x for _, x in some)])
         table, scores = ppm.Table(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in some)])), [np.zeros(0)]
+        del some, found
         for group in in_turn(_texts(row), AT_ONCE):
             windows, lengths = ppm.windows(group)
             each = of_key[table.find(ppm.entry_keys(windows, order))].astype(np.float64)
