@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 from sparkloom.operators import resolve
+from sparkloom.operators.build import build_graph
+from sparkloom.sources import repository
 
 
 def executed(node):
@@ -34,3 +38,35 @@ def test_repeated_imports_and_symbols_meet_a_key_once(spark):
     rows, nodes = run(resolve.resolve_import(keys, symbols, imports))
     assert [tuple(r) for r in rows] == [("a", "b.f", "b.C0.f")]
     assert joined_rows(nodes) <= 2
+
+
+def test_files_are_parsed_once(spark):
+    parsed = repository.parse_sources(spark.createDataFrame([("a.py", bytearray(b"def f():\n    f()\n"))], "file string, content binary"))
+    rows, nodes = run(build_graph(parsed).edges.where("type = 'CALLS'").select("src", "dst"))
+    assert [tuple(r) for r in rows] == [("a.f", "a.f")]
+    assert not [n for n in nodes if "InArrow" in n.getClass().getSimpleName()]
+
+
+def test_tables_that_grow_are_not_sent_to_the_driver(spark):
+    symbols = spark.range(200).selectExpr("id seq", "'b' module", "concat('f', id) name", "'function' kind", "concat('f', id) qualified_name")
+    imports = spark.createDataFrame([("a", 0, "b", "b", None)], "module string, ord int, imported string, name string, alias string")
+    calls = spark.range(200).selectExpr("'a' module", "'x' caller", "concat('b.f', id) callee_chain")
+    rows, nodes = run(resolve.resolve_calls(calls, symbols, imports).select("callee_chain", "target"))
+    assert {tuple(r) for r in rows} == {(f"b.f{i}", f"b.f{i}") for i in range(200)}
+    sent = [n.metrics().apply("numOutputRows").value() for n in nodes if n.getClass().getSimpleName() == "BroadcastExchangeExec"]
+    assert not sent
+
+
+def test_few_files_are_held_as_rows(monkeypatch):
+    found = []
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, rows, _):
+            contents = pa.RecordBatch.from_pydict({"file": [f"{i}.py" for i in range(1000)], "content": [b"x = 1\n"] * 1000})
+            found.extend(b.num_rows for b in rows(iter([contents])))
+
+    repository.parse_sources(Files())
+    assert sum(found) == 1000 and max(found) <= repository.AT_ONCE
