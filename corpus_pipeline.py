@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, the first by doc_id, null last: five-word shingles, similarity 0.8. Texts without words are one group."""
+    """One row of each group of near copies stays, the first by doc_id, null last: texts that operator 1's SimHash links, or whose five-word shingles have a similarity of 0.8. Texts without words are one group."""
     return drop_near_copies(docs)
 
 

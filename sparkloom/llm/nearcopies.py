@@ -1,4 +1,7 @@
-"""Near copies by fingerprints of samples, verified exactly: the near-duplicate operator for lower similarities.
+"""Near copies by SimHash: by the whole texts' fingerprints, as operator 1 links them, and by those of samples, verified exactly.
+
+``drop_near_copies`` links texts whose whole fingerprints differ in few bits, through the operator's own grid range-join, and
+those that are alike by the samples; both kinds of links make one set of components.
 
 Texts of a given Jaccard similarity of their word shingles have SimHash fingerprints that differ in about 64 * angle / pi
 bits: at 0.8 some 5 to 14 of 64, where a grid range-join no longer tells pairs from strangers. So each of TABLES fingerprints
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_rows, as_bytes, connected_components, cut, repeats_ids, row_key, whole_row
 
 TABLES, SAMPLE = 10, 3
@@ -62,18 +66,30 @@ def sample_fingerprints(shingles: np.ndarray) -> np.ndarray:
     return (a & b) | (a & c) | (b & c)
 
 
-def _entries(texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(doc_id, row, id, n, cells) of each text (doc_id, text, row): its set, the set's size, and its fingerprints."""
+def _entries(texts: DataFrame, words_per_shingle: int, whole: bool) -> DataFrame:
+    """(doc_id, row, id, n, cells, fp) of each text (doc_id, text, row): its set, the set's size, its samples' fingerprints and, with ``whole``, operator 1's of the whole text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words_per_shingle) for t in as_bytes(batch.column(1))]
+            contents = as_bytes(batch.column(1))
+            sets = [shingle_set(t, words_per_shingle) for t in contents]
+            fps = pa.array(np.array([simhash.fingerprint(t, simhash.WORDS) if whole else 0 for t in contents], np.uint64).view(np.int64))
             ids = pa.array([set_id(s) for s in sets], pa.int64())
             cells = pa.array([((sample_fingerprints(s) + ODD[:TABLES]) * MIX).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids, sizes, cells], names=["doc_id", "row", "id", "n", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids, sizes, cells, fps], names=["doc_id", "row", "id", "n", "cells", "fp"])
+
+    return arrow_rows(texts, rows, "doc_id long, row string, id long, n long, cells array<long>, fp long")
 
-    return arrow_rows(texts, rows, "doc_id long, row string, id long, n long, cells array<long>")
+
+def _whole_links(found: DataFrame) -> DataFrame:
+    """Links (a, b) between sets (id) that connect all whose fingerprints (fp) operator 1 links, and no others."""
+    pairs = cut(found.select("id", "fp").distinct())
+    fps = pairs.select("fp").distinct()
+    roots = connected_components(simhash.fingerprint_links(fps)).withColumnRenamed("node", "fp")
+    placed = cut(pairs.join(roots, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")).distinct())
+    heads = placed.groupBy("root").agg(F.min("id").alias("a"))
+    return cut(placed.join(heads, "root").where("a <> id").select("a", F.col("id").alias("b")).distinct())
 
 
 def _shingles(texts: DataFrame, wanted: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -118,12 +134,12 @@ def near_copy_groups(docs: DataFrame, words_per_shingle: int = WORDS, crowded: i
     Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit("").alias("row"))
-    return _components(texts, words_per_shingle, crowded).select("doc_id", "component_id")
+    return _components(texts, words_per_shingle, crowded, False).select("doc_id", "component_id")
 
 
-def _components(texts: DataFrame, words_per_shingle: int, crowded: int) -> DataFrame:
-    """(doc_id, row, root, component_id) of each of the ``texts`` (doc_id, text, row); root is the component's own, also where no member has an id."""
-    found = cut(_entries(texts, words_per_shingle))
+def _components(texts: DataFrame, words_per_shingle: int, crowded: int, whole: bool) -> DataFrame:
+    """(doc_id, row, root, component_id) of each of the ``texts`` (doc_id, text, row); root is the component's own, also where no member has an id. With ``whole`` operator 1's links count too."""
+    found = cut(_entries(texts, words_per_shingle, whole))
     sets = found.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     entries = sets.select("id", "n", F.explode("cells").alias("cell"))
     shared = entries.groupBy("cell").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
@@ -137,6 +153,8 @@ def _components(texts: DataFrame, words_per_shingle: int, crowded: int) -> DataF
     before = F.array(*(F.lag("id", k).over(order) for k in range(1, NEIGHBOURS + 1)))
     near = many.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("before", before).select("id", F.explode("before").alias("b"))
     links = _links(texts, pairs.union(near.where("b is not null")), words_per_shingle)
+    if whole:
+        links = links.union(_whole_links(found))
     roots = cut(connected_components(links))
     if not many.isEmpty():
         placed = cut(many.join(roots, many["id"] == roots["node"], "left").select("cell", "id", "n", F.coalesce("root", "id").alias("root")))
@@ -154,13 +172,15 @@ def _components(texts: DataFrame, words_per_shingle: int, crowded: int) -> DataF
 def drop_near_copies(docs: DataFrame, words_per_shingle: int = WORDS, crowded: int = CROWDED) -> DataFrame:
     """One row of ``docs``, with its columns, of each group of near copies: the first by doc_id, null last, then by a digest of the row.
 
+    Near are texts that operator 1 links by their SimHash fingerprints, and those of a Jaccard similarity of 0.8 (``near_copy_groups``).
+
     Rows that share a doc_id, or have none, are told apart by all their columns; of equal rows one stays. A group whose
     members all lack an id keeps one of them. Texts without words form one group. An empty table gives no row.
     """
     repeated = repeats_ids(docs)
     key = row_key(docs) if repeated else F.lit("")
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    groups = _components(docs.select(doc_id, F.col("text").cast("string").alias("text"), key.alias("row")), words_per_shingle, crowded)
+    groups = _components(docs.select(doc_id, F.col("text").cast("string").alias("text"), key.alias("row")), words_per_shingle, crowded, True)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
     keep = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
     rows = docs.select(whole_row(docs).alias("whole"), doc_id.alias("own_id"), key.alias("own_row"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, as_bytes, connected_components, cut, documents
 
 BITS, SEGMENTS = 64, 16
+#: Words of a shingle.
+WORDS = 3
 #: Bits in which linked fingerprints may differ; cells within distance 1 of both points meet up to 2.
 RADIUS = 2
 PER_SEGMENT = BITS // SEGMENTS
@@ -58,7 +60,7 @@ def _bit_totals(hashes: np.ndarray) -> np.ndarray:
     return totals
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
     """(doc_id, fp) for each row of ``docs``; fp is the fingerprint's 64 bits as a signed long. A null text has no words, and 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ def fingerprint_links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return links.union(meet.join(least, "cell").where("a <> fp").select("a", F.col("fp").alias("b")))
 
 
-def near_duplicate_components(docs: DataFrame, words_per_shingle: int = 3, crowded: int = CROWDED) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, words_per_shingle: int = WORDS, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; the component is the least doc_id reachable over links.
 
     Texts whose fingerprints differ in RADIUS bits or less are linked. Texts without words (null and empty ones
