@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from sparkloom.operators import resolve
+from sparkloom.operators import resolve, traverse
 from sparkloom.operators.build import build_graph
 from sparkloom.sources import repository
 
@@ -70,3 +70,15 @@ def test_few_files_are_held_as_rows(monkeypatch):
 
     repository.parse_sources(Files())
     assert sum(found) == 1000 and max(found) <= repository.AT_ONCE
+
+
+def dealt_rows(nodes) -> int:
+    return sum(n.metrics().apply("shuffleRecordsWritten").value() for n in nodes if n.getClass().getSimpleName() == "ShuffleExchangeExec")
+
+
+def test_repeats_and_first_neighbours_take_one_deal(spark):
+    edges = spark.range(400).selectExpr("concat('n', id % 20) src", "concat('m', id) dst", "'T' type", "'R' rel_table")
+    rows, nodes = run(traverse.first_neighbours(edges, 1))
+    assert len(rows) == 420
+    # every edge both ways once, and the first ones of each part
+    assert dealt_rows(nodes) <= 800 + 20 * traverse.PARTS + 400
