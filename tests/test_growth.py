@@ -82,3 +82,12 @@ def test_repeats_and_first_neighbours_take_one_deal(spark):
     assert len(rows) == 420
     # every edge both ways once, and the first ones of each part
     assert dealt_rows(nodes) <= 800 + 20 * traverse.PARTS + 400
+
+
+def test_edges_away_from_an_ego_network_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(traverse, "cut_lineage", lambda df: written.append(df.count()) or df)
+    edges = spark.range(1000).selectExpr("concat('n', id) src", "concat('n', id + 1) dst", "'T' type")
+    nodes, links = traverse.ego_network(edges, spark.createDataFrame([("n5",)], "id string"), 2)
+    assert {tuple(r) for r in nodes.collect()} == {("n5", 0), ("n4", 1), ("n6", 1), ("n3", 2), ("n7", 2)}
+    assert links.count() == 8 and max(written) <= 4
