@@ -50,15 +50,24 @@ def module_rollup(paths: DataFrame, most: int = 40) -> DataFrame:
     return paths.groupBy(code.path_group(F.col("path")).alias("module")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(most)
 
 
+def counted(edges: DataFrame) -> DataFrame:
+    """(type, src, dst, n) of the different ``edges``.
+
+    Few edges repeat, so counting them before they are dealt would only fill a task's memory: they are dealt as they are, into all of
+    the session's shuffle partitions, which adaptive execution doesn't put together to larger ones as the graph grows.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.select("type", "src", "dst").repartition(parts, "src", "dst").groupBy("type", "src", "dst").agg(F.count("*").alias("n"))
+
+
 def graph_signature(edges: DataFrame) -> DataFrame:
     """(type, n, n_distinct) for comparing graphs."""
-    pairs = edges.groupBy("type", "src", "dst").agg(F.count("*").alias("k"))
-    return pairs.groupBy("type").agg(F.sum("k").alias("n"), F.count("*").alias("n_distinct"))
+    return counted(edges).groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
 
 
 def multi_edges(edges: DataFrame) -> DataFrame:
     """(type, src, dst, n) of edges that occur more than once."""
-    return edges.groupBy("type", "src", "dst").agg(F.count("*").alias("n")).where("n > 1")
+    return counted(edges).where("n > 1")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from sparkloom.operators import resolve, traverse
+from sparkloom.operators import graph, resolve, traverse
 from sparkloom.operators.build import build_graph
 from sparkloom.sources import repository
 
@@ -91,3 +91,15 @@ def test_edges_away_from_an_ego_network_are_not_written(spark, monkeypatch):
     nodes, links = traverse.ego_network(edges, spark.createDataFrame([("n5",)], "id string"), 2)
     assert {tuple(r) for r in nodes.collect()} == {("n5", 0), ("n4", 1), ("n6", 1), ("n3", 2), ("n7", 2)}
     assert links.count() == 8 and max(written) <= 4
+
+
+def test_edges_are_dealt_before_they_are_counted(spark):
+    edges = spark.range(600).selectExpr("'T' type", "concat('n', id % 500) src", "'m' dst")
+    for of, wanted in ((graph.multi_edges, {("T", f"n{i}", "m", 2) for i in range(100)}), (graph.graph_signature, {("T", 600, 500)})):
+        rows, nodes = run(of(edges))
+        assert {tuple(r) for r in rows} == wanted
+        # no task groups edges before the deal, and no partition is put together of several
+        deals = [n for n in nodes if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+        first = deals[-1]
+        assert not [n for n in executed(first.child()) if "Aggregate" in n.getClass().getSimpleName()]
+        assert first.outputPartitioning().numPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
