@@ -81,15 +81,27 @@ def points(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp): the lattice points at Manhattan distance 1 or less from each fingerprint's point."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", PER_SEGMENT * i).bitwiseAND(F.lit(2**PER_SEGMENT - 1))).cast("long") for i in range(SEGMENTS)]
-    point = sum((c * F.lit(BASE**i).cast("long") for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    known = fps.select("fp", point.alias("p"), *(c.alias(f"c{i}") for i, c in enumerate(counts)))
-    steps = [F.col("p")]
+def lattice_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lattice points at Manhattan distance 1 or less from each fingerprint's point, and the fingerprint of each."""
+    point, mask = points(fps), np.uint64(2**PER_SEGMENT - 1)
+    cells, of = [point], [fps]
     for i in range(SEGMENTS):
-        steps += [F.when(F.col(f"c{i}") > 0, F.col("p") - BASE**i), F.when(F.col(f"c{i}") < PER_SEGMENT, F.col("p") + BASE**i)]
-    return known.select("fp", F.explode(F.array(*steps)).alias("cell")).where("cell is not null")
+        count = np.bitwise_count(fps >> np.uint64(PER_SEGMENT * i) & mask)
+        for step, fits in ((-1, count > 0), (1, count < PER_SEGMENT)):
+            cells.append(point[fits] + np.int64(step * BASE**i))
+            of.append(fps[fits])
+    return np.concatenate(cells), np.concatenate(of)
+
+
+def _cells(fps: DataFrame) -> DataFrame:
+    """(cell, fp) of ``lattice_cells``; as an expression of so many parts they took the driver hundreds of MB to plan."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, of = lattice_cells(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(of.view(np.int64))], names=["cell", "fp"])
+
+    return arrow_rows(fps.select("fp"), rows, "cell long, fp long")
 
 
 def verified_in_cells(cells: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,3 +12,25 @@ def test_what_operator_1_links_is_one_group(spark):
     assert {r["component_id"] for r in simhash.near_duplicate_components(docs).collect()} == {0, 7, 8}
     assert {r["component_id"] for r in nearcopies.near_copy_groups(docs).collect()} == {0, 1, 7, 8}
     assert {r["doc_id"] for r in nearcopies.drop_near_copies(docs).collect()} == {0, 7, 8}
+
+
+def test_planning_the_grid_takes_the_driver_little_memory(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import simhash
+
+    threads = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    own = spark._jvm.java.lang.Thread.currentThread().getId()
+    fps = spark.range(200).select(F.xxhash64("id").alias("fp")).distinct()
+    cells = simhash._cells(fps).select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+    before = threads.getThreadAllocatedBytes(own)
+    cells._jdf.queryExecution().executedPlan()
+    assert threads.getThreadAllocatedBytes(own) - before < 200_000_000
+    wanted = set()
+    for (fp,) in fps.collect():
+        counts = [(fp >> 4 * i & 15).bit_count() for i in range(16)]
+        for i, step in [(0, 0)] + [(i, s) for i in range(16) for s in (-1, 1)]:
+            if 0 <= counts[i] + step <= 4:
+                wanted.add((sum(c * 5**k for k, c in enumerate(counts)) + step * 5**i, fp))
+    found = [tuple(r) for r in cells.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
