@@ -103,3 +103,19 @@ def test_edges_are_dealt_before_they_are_counted(spark):
         first = deals[-1]
         assert not [n for n in executed(first.child()) if "Aggregate" in n.getClass().getSimpleName()]
         assert first.outputPartitioning().numPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_edges_of_a_closure_are_derived_once(spark):
+    derived = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(300).selectExpr("concat('n', id + 1) src", "concat('n', id) dst").mapInArrow(counted, "src string, dst string")
+    for one_task in (299, 300):
+        derived.value = 0
+        found = traverse.closure(edges, spark.createDataFrame([("n290",)], "id string"), one_task)
+        assert {r.id for r in found.collect()} == {f"n{i}" for i in range(290, 301)}
+        assert derived.value == 300
