@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from sparkloom.operators import graph, resolve, traverse
+from sparkloom.operators import graph, resolve, retrieval, traverse
 from sparkloom.operators.build import build_graph
 from sparkloom.sources import repository
 
@@ -119,3 +119,18 @@ def test_edges_of_a_closure_are_derived_once(spark):
         found = traverse.closure(edges, spark.createDataFrame([("n290",)], "id string"), one_task)
         assert {r.id for r in found.collect()} == {f"n{i}" for i in range(290, 301)}
         assert derived.value == 300
+
+
+def test_terms_are_found_once_and_counted_where_their_document_lies(spark):
+    texts = [(i, f"{i}", "f", "the red fox and one red fox 9x" if i % 2 else "The only_one " * 3) for i in range(40)] + [(1, "1", "f", "fox"), (41, "41", "f", None), (None, "x", "f", "fox fox")]
+    docs = spark.createDataFrame(texts, "ord long, id string, file string, text string").repartition(2)
+    rows, nodes = run(retrieval.postings(docs))
+    odd = {(t, i, n) for i in range(1, 40, 2) for t, n in (("red", 2), ("fox", 3 if i == 1 else 2), ("one", 1))}
+    assert sorted(map(str, rows)) == sorted(f"Row(term={t!r}, ord={i}, tf={n})" for t, i, n in odd | {("only_one", i, 3) for i in range(0, 40, 2)} | {("fox", None, 2)})
+    stored, more = run(retrieval.stored_postings(docs, 0).where("ord > 1"))
+    assert {(r.term, r.ord, r.tf, r.dl) for r in stored} == {(t, i, n, 5 if i % 2 else 3) for t, i, n in odd | {("only_one", i, 3) for i in range(0, 40, 2)} if i > 1}
+    for found in (nodes, more):
+        # texts are dealt, not their terms, and no condition finds the terms once more
+        assert sum("hashpartitioning" in n.outputPartitioning().toString() for n in found if n.getClass().getSimpleName() == "ShuffleExchangeExec") == 1
+        assert dealt_rows(found) <= 2 * len(texts)
+        assert not [n for n in found if n.getClass().getSimpleName() == "FilterExec" and "regexp_extract_all" in n.toString()]
