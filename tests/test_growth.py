@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
+from sparkloom import session as sessions
 from sparkloom.operators import graph, resolve, retrieval, traverse
 from sparkloom.operators.build import build_graph
 from sparkloom.sources import repository
@@ -134,3 +135,41 @@ def test_terms_are_found_once_and_counted_where_their_document_lies(spark):
         assert sum("hashpartitioning" in n.outputPartitioning().toString() for n in found if n.getClass().getSimpleName() == "ShuffleExchangeExec") == 1
         assert dealt_rows(found) <= 2 * len(texts)
         assert not [n for n in found if n.getClass().getSimpleName() == "FilterExec" and "regexp_extract_all" in n.toString()]
+
+
+def test_many_changed_files_alone_are_opened_again_by_many_tasks(spark, tmp_path, monkeypatch):
+    root, parsed = tmp_path / "r", []
+    (root / "a").mkdir(parents=True)
+    for i in range(12):
+        (root / "a" / f"f{i}.py").write_text(f"def g{i}():\n    g{i}()\n")
+    graph_of = sessions.SourceGraph(spark, str(tmp_path / "db"))
+    graph_of.analyze(str(root))
+    monkeypatch.setattr(sessions, "MOST_CHANGED", 2)
+    parse = sessions.parse_sources
+    monkeypatch.setattr(sessions, "parse_sources", lambda sources: parsed.append(sources) or parse(sources))
+    for i in range(3, 9):
+        (root / "a" / f"f{i}.py").write_text(f"def h{i}():\n    h{i}()\n")
+    (root / "a" / "f11.py").unlink()
+    result = graph_of.analyze(str(root))
+    assert result["changed"] == [f"a/f{i}.py" for i in range(3, 9)] and result["deleted"] == ["a/f11.py"]
+    edges = graph_of.table("edges").where("type = 'CALLS'").collect()
+    assert {(r.src, r.dst) for r in edges} == {(f"a.f{i}.{x}{i}",) * 2 for i in range(11) for x in ("h" if 3 <= i < 9 else "g")}
+    again = parsed[-1]
+    assert {r.file for r in again.collect()} == {f"a/f{i}.py" for i in range(3, 9)}
+    plan = again._jdf.queryExecution().toString()
+    assert "source_repo" not in plan and "Join" not in plan
+    assert again.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_listing_looks_at_each_source_once(tmp_path, monkeypatch):
+    (tmp_path / "p" / ".hidden").mkdir(parents=True)
+    (tmp_path / "p" / "d.py").mkdir()
+    for name in ("p/a.py", "p/d.py/b.ts", "p/.hidden/c.py", "p/.e.py", "p/f.txt", "__init__.py"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "p" / "link.py").symlink_to(tmp_path / "p" / "f.txt")
+    (tmp_path / "p" / "broken.py").symlink_to(tmp_path / "none")
+    (tmp_path / "p" / "folder").symlink_to(tmp_path / "p" / "d.py")
+    looked, real = [], repository.Path.stat
+    monkeypatch.setattr(repository.Path, "stat", lambda self, **k: looked.append(self) or real(self, **k))
+    assert repository.listing(str(tmp_path)) == {"p/a.py": 1, "p/d.py/b.ts": 1, "p/link.py": 1, "__init__.py": 1}
+    assert len(looked) <= 5
