@@ -35,8 +35,10 @@ SENT_AT_ONCE, BUCKET_WORDS = 500_000, 1_000_000
 CROWDED, HEADS = 1024, 16
 #: Candidates of a line for each key, the likeliest, that are tried at first; in each further round MORE times as many.
 NEAREST, MORE = 3, 8
-#: Pairs that are held before all but the likeliest of them go.
-HELD = 1_000_000
+#: Pairs that are held before all but the likeliest of them go, and pairs and steps to neighbours that few lines take at once.
+HELD, PAIRS_AT_ONCE, STEPS_AT_ONCE = 1_000_000, 8192, 32
+#: Bits of an entry's number in its bucket, as far as numbers and distances are packed to be sorted.
+ENTRY_BITS, APART_BITS = 28, 8
 #: Sets of so many tokens do with half the parities.
 FEW_TOKENS = 72
 #: Lines that are sorted together, and the bits of a token: its rarity and its hash.
@@ -91,8 +93,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             data = b"\n".join(group)
             of_doc = np.array([t.count(b"\n") + 1 for t in group], np.int64)
             starts, hashes = word_hashes(data)
-            line_of_word = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A), starts)
-            sizes = np.bincount(line_of_word, minlength=int(of_doc.sum()))
+            # there are far fewer line breaks than words
+            breaks = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A))
+            sizes = np.diff(np.r_[0, breaks, len(starts)])
             doc_of_line, row_of_line = (np.repeat(x[at : at + len(group)], of_doc) for x in (docs, rows))
             place = np.arange(len(sizes)) - np.repeat(np.cumsum(of_doc) - of_doc, of_doc)
             some, word = np.flatnonzero(sizes), 0
@@ -295,14 +298,51 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _line_rank(docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers that order lines by document, row and place: both packed where they fit, or else counted up."""
+    if len(docs) and not rows.any():
+        first, width = int(docs.min()), int(places.max()) + 1
+        if (int(docs.max()) - first + 1) * width < 1 << 63:
+            return ((docs - first) * width + places).astype(np.uint64)
+    rank = np.empty(len(docs), np.uint64)
+    rank[np.lexsort((places, rows, docs))] = np.arange(len(docs), dtype=np.uint64)
+    return rank
+
+
+def _repeats(keys: np.ndarray, ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which entries have the key and set of one with a smaller rank; of those of one rank all but the first are."""
+    mixed = keys.astype(np.uint64) * MIX ^ ids
+    order = np.argsort(mixed)
+    same = mixed[order[1:]] == mixed[order[:-1]]
+    # equal keys and sets are mixed to equal numbers: only among these can be repeats
+    some = np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(order) else order
+    some = some[np.lexsort((rank[some], ids[some], keys[some]))]
+    out = np.zeros(len(keys), bool)
+    out[some[1:][(keys[some[1:]] == keys[some[:-1]]) & (ids[some[1:]] == ids[some[:-1]])]] = True
+    return out
+
+
+def _by_size(keys: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by key, size and rank."""
+    if len(keys):
+        bits = [int(x.max()).bit_length() for x in (keys, n, rank)]
+        if sum(bits) <= 64:
+            return np.argsort((keys.astype(np.uint64) << np.uint64(bits[1]) | n.astype(np.uint64)) << np.uint64(bits[2]) | rank)
+    return np.lexsort((rank, n, keys))
+
+
 def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each b the ``most`` a with the least d; and whether b has as many."""
-    order = np.lexsort((a, d, b))
-    a, b, d = a[order], b[order], d[order]
-    first = np.searchsorted(b, b)
-    near = np.arange(len(b)) - first < most
-    full = np.searchsorted(b, b, side="right") - first >= most
-    return a[near], b[near], d[near], full[near]
+    at, low = np.uint64(ENTRY_BITS + APART_BITS), np.uint64(ENTRY_BITS)
+    packed = b.astype(np.uint64) << at | d.astype(np.uint64) << low | a.astype(np.uint64)
+    packed.sort()
+    b = (packed >> at).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(b)])
+    near = np.flatnonzero(np.arange(len(b)) - np.repeat(starts, sizes) < most)
+    packed, full = packed[near], np.repeat(sizes >= most, sizes)[near]
+    part = lambda shift, bits: (packed >> shift & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return part(np.uint64(0), ENTRY_BITS), b[near], part(low, APART_BITS), full
 
 
 class Bucket:
@@ -311,14 +351,13 @@ class Bucket:
     def __init__(self, parts: pa.Table):
         keys, ids, docs, rows, places, *rest = _read(parts)
         shared = np.flatnonzero(_repeated(keys))
-        rank = np.empty(len(shared), np.uint64)
-        rank[np.lexsort((places[shared], rows[shared], docs[shared]) if rows.any() else (places[shared], docs[shared]))] = np.arange(len(shared), dtype=np.uint64)
-        # the first line of each set for each key, then by key, size and line
-        order = np.lexsort((rank, ids[shared], keys[shared]))
-        k, i = keys[shared[order]], ids[shared[order]]
-        order = order[np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]] if len(order) else order
-        n = rest[0][shared[order]]
-        order = order[np.lexsort((rank[order], n, keys[shared[order]]))]
+        if len(shared) >= 1 << ENTRY_BITS:
+            raise ValueError("a bucket has more entries than can be numbered")
+        rank = _line_rank(docs[shared], rows[shared], places[shared])
+        # the first line of each set for each key, by key, size and line
+        once = np.flatnonzero(~_repeats(keys[shared], ids[shared], rank))
+        shared, rank = shared[once], rank[once]
+        order = _by_size(keys[shared], rest[0][shared], rank)
         shared, self.rank = shared[order], rank[order]
         self.columns = [x[shared] for x in (keys, ids, docs, rows, places, *rest)]
         self.keys, self.ids, self.docs, self.rows, self.places, n, j, self.low, self.high = self.columns
@@ -327,6 +366,7 @@ class Bucket:
         starts = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, np.int64)
         self.sizes = np.diff(np.r_[starts, len(self.keys)])
         self.starts, self.sizes_each = np.repeat(starts, self.sizes), np.repeat(self.sizes, self.sizes)
+        self.ends = self.starts + self.sizes_each
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pairs of lines of similar sizes that may be similar, and in how many parities each of them differs."""
@@ -344,17 +384,20 @@ class Bucket:
         """Pairs of ``members`` and entries of their key before (side -1) or after them (side 1) whose sizes fit."""
         step = 1
         while len(members):
-            other = members + side * step
-            inside = np.flatnonzero((other >= self.starts[members]) & (other < self.starts[members] + self.sizes_each[members]))
-            members, other = members[inside], other[inside]
-            n, m = self.n[members], self.n[other]
+            steps = np.arange(step, step + max(1, min(STEPS_AT_ONCE, PAIRS_AT_ONCE // len(members))))
+            one, further = np.repeat(members, len(steps)), np.tile(steps, len(members))
+            other = one + side * further
+            inside = np.flatnonzero(other >= self.starts[one] if side < 0 else other < self.ends[one])
+            one, other, further = one[inside], other[inside], further[inside]
+            n, m = self.n[one], self.n[other]
             fits = DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)
-            if crowd is not None and step > heads:
-                fits &= self.sizes_each[members] <= crowd
+            if crowd is not None and steps[-1] > heads:
+                fits &= (further <= heads) | (self.sizes_each[one] <= crowd)
+            one, other, further = one[fits], other[fits], further[fits]
+            yield one, other
             # sizes are in order: who doesn't fit now won't further on
-            members, other = members[fits], other[fits]
-            yield members, other
-            step += 1
+            members = one[further == steps[-1]]
+            step += len(steps)
 
     def candidates(self, members: np.ndarray | None, most: int, crowd: int | None = None, heads: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (a, b) of entries, a the earlier, with b among ``members`` (all if None): the ``most`` likeliest of each b; and whether b may have others.
