@@ -16,6 +16,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,9 @@ PIECE_SPACE = "▁"
 CACHED_STEPS, CACHED_CHUNKS, CACHED_BYTES, LONG_CHUNK = 500_000, 300_000, 12_000_000, 64
 #: Units that the byte-level side keeps, bytes of a block's texts, and new chunks that are aligned together.
 CACHED_UNITS, BLOCK_BYTES, NEW_AT_ONCE = 200_000, 6_000_000, 30_000
+#: Bits of the number of a place where a step is looked up, and how few chunks are aligned one by one.
+STEP_BITS, FEW_CHUNKS = 20, 32
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: One side's id is the upper half of a pair's number.
 HALF = 32
 STATS = "n_a long, n_b long, n_groups long, groups_sha256 string"
@@ -54,6 +58,8 @@ class Transducer:
         self.states: list[tuple[bool, bytes]] = [(False, b"")]
         self.numbers: dict[tuple[bool, bytes], int] = {(False, b""): 0}
         self.steps: dict[int, int] = {}
+        #: By place: the step last looked up there and what it leads to, twice the state's number and 1 if A leads; -1 if nowhere.
+        self.placed, self.after = np.full(1 << STEP_BITS, -1, np.int64), np.zeros(1 << STEP_BITS, np.int64)
 
     def _step(self, state: int, token: int) -> int:
         """The state after ``token`` of the side that lags; -1 if its bytes aren't those that it should cover."""
@@ -101,6 +107,70 @@ class Transducer:
             if not state:
                 ends.append((i, j))
 
+    def _steps(self, keys: np.ndarray) -> np.ndarray:
+        """What ``after`` says of steps."""
+        place = (keys.view(np.uint64) * MIX >> np.uint64(64 - STEP_BITS)).view(np.int64)
+        after = self.after[place]
+        other = np.flatnonzero(self.placed[place] != keys)
+        if len(other):
+            distinct, which = np.unique(keys[other], return_inverse=True)
+            found = np.empty(len(distinct), np.int64)
+            for n, key in enumerate(distinct.tolist()):
+                to = self.steps.get(key)
+                if to is None:
+                    state, token = key & (1 << 32) - 1, key >> 32
+                    to = self.steps[key] = self._step(state, token) if state else self._start(token)
+                found[n] = to if to < 0 else to << 1 | self.states[to][0]
+            after[other] = found[which]
+            # of steps with one place, both columns keep the same one
+            place = place[other]
+            self.placed[place] = np.arange(len(other))
+            last = self.placed[place]
+            self.placed[place], self.after[place] = keys[other][last], after[other][last]
+        return after
+
+    def many(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``groups`` of chunks with ``n_a`` and ``n_b`` tokens, which go forward side by side: (whether a chunk's sides agree, the chunk of each group, where it ends)."""
+        if len(self.steps) > CACHED_STEPS:
+            self._forget()
+        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+        good, chunk = np.ones(len(n_a), bool), np.arange(len(n_a))
+        i, j, to = end_a - n_a, end_b - n_b, np.zeros(len(n_a), np.int64)
+        ends: list[tuple[np.ndarray, ...]] = []
+        while len(chunk) > FEW_CHUNKS:
+            b_reads = (to & 1).astype(bool)
+            at_end_a, at_end_b = i == end_a[chunk], j == end_b[chunk]
+            stuck = np.where(b_reads, at_end_b, at_end_a)
+            if stuck.any():
+                good[chunk[stuck & ~((to == 0) & at_end_b)]] = False
+                chunk, i, j, to, b_reads = (x[~stuck] for x in (chunk, i, j, to, b_reads))
+                if not len(chunk):
+                    break
+            tokens = np.empty(len(chunk), np.int64)
+            tokens[b_reads], tokens[~b_reads] = b[j[b_reads]], a[i[~b_reads]]
+            i, j = i + ~b_reads, j + b_reads
+            to = self._steps(tokens << 32 | to >> 1)
+            if (to < 0).any():
+                good[chunk[to < 0]] = False
+                chunk, i, j, to = (x[to >= 0] for x in (chunk, i, j, to))
+            done = to == 0
+            ends.append((chunk[done], i[done], j[done]))
+        # the few that are left, mostly long ones, from their beginning
+        going = good.copy()
+        going[chunk] = False
+        of, i, j = (np.concatenate(x) for x in zip(*ends)) if ends else (np.zeros(0, np.int64),) * 3
+        ends = [(of[kept := going[of]], i[kept], j[kept])]
+        for c in chunk.tolist():
+            first_a, first_b = end_a[c] - n_a[c], end_b[c] - n_b[c]
+            found = self.groups(a[first_a : end_a[c]].tolist(), b[first_b : end_b[c]].tolist())
+            good[c] = found is not None
+            x = np.array(found or [], np.int64).reshape(-1, 2)
+            ends.append((np.full(len(x), c), first_a + x[:, 0], first_b + x[:, 1]))
+        of, i, j = (np.concatenate(x) for x in zip(*ends))
+        # each group has a token of A, and chunks lie in order
+        order = np.argsort(i)
+        return good, of[order], i[order], j[order]
+
     def _start(self, token: int) -> int:
         """From the empty state by a token of A, which then leads."""
         said = (True, self.bytes[0][token])
@@ -122,8 +192,39 @@ def byte_tokens(vocabulary: str) -> list[bytes]:
     return out
 
 
+class Texts:
+    """Texts one after another, each with a sign at its end that isn't shown."""
+
+    def __init__(self) -> None:
+        self.data, self.ends = Grown("u1"), Grown("i8")
+        self.ends.add(np.zeros(1, np.int64))
+
+    def __len__(self) -> int:
+        return self.ends.n - 1
+
+    def __getitem__(self, i: int) -> str:
+        begin, end = self.ends.data[i : i + 2].tolist()
+        return self.data.data[begin : max(begin, end - 1)].tobytes().decode()
+
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.ends.add(self.data.n + np.cumsum(sizes))
+        self.data.add(data)
+
+    def taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes of these texts one after another, where they begin and the last ends)."""
+        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.ends.data), pa.py_buffer(self.data.data)])
+        found = own.take(pa.array(numbers))
+        return said_of(found)
+
+
+def said_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of large texts, where they begin and the last ends)."""
+    _, ends, data = texts.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(ends, np.int64, len(texts) + 1, 8 * texts.offset)
+
+
 class Aligner:
-    """Encodes and aligns chunks; each distinct one once, until all are forgotten."""
+    """Encodes and aligns chunks; each distinct one once, until it is forgotten. The commonest are kept."""
 
     def __init__(self, vocabulary: str, model: str):
         import sentencepiece
@@ -135,51 +236,91 @@ class Aligner:
             raise ValueError("the model has pieces over several words, and chunks wouldn't hold")
         said = [bytes([int(n[3:-1], 16)]) if self.pieces.is_byte(i) else b"" if self.pieces.is_control(i) else n.replace(PIECE_SPACE, " ").encode() for i, n in enumerate(names)]
         self.transducer = Transducer(byte_tokens(vocabulary), said)
+        #: Each id with what can follow it: another of its side, the other side, or the next group.
+        self.decimal = pa.array([f"{i}{sign}" for i in range(max(map(len, self.transducer.bytes))) for sign in ",|;"], pa.large_string())
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        #: Chunks that are kept, and the number of each.
+        self.words, self.numbers = pa.array([], pa.large_string()), Grown("i8")
         self.bytes = 0
-        #: By chunk: its numbers of tokens and groups (-1 if the sides differ), its groups as text, and where its pairs lie.
-        self.n_a, self.n_b, self.n_groups = Grown("i8"), Grown("i8"), Grown("i8")
-        self.starts, self.pairs, self.text = Grown("i8"), Grown("i8"), []
+        #: By chunk: how often it was met, its numbers of tokens and groups (-1 if the sides differ), its groups as text, and where its pairs lie.
+        self.met, self.n_a, self.n_b, self.n_groups = Grown("i8"), Grown("i8"), Grown("i8"), Grown("i8")
+        self.starts, self.pairs, self.text = Grown("i8"), Grown("i8"), Texts()
 
     def trim(self) -> None:
+        """To be called between blocks: half as much as can be kept stays, of the chunks that were met most often."""
         self.a.trim()
-        if len(self.text) > CACHED_CHUNKS or self.bytes > CACHED_BYTES:
-            self.forget()
+        if len(self.text) <= CACHED_CHUNKS and self.bytes <= CACHED_BYTES:
+            return
+        numbers, sizes = self.numbers.data, pc.binary_length(self.words).to_numpy(zero_copy_only=False)
+        order = np.argsort(-self.met.data[numbers], kind="stable")[: CACHED_CHUNKS // 2]
+        order = np.sort(order[np.cumsum(sizes[order]) <= CACHED_BYTES // 2])
+        words, kept, old = self.words.take(pa.array(order)), numbers[order], self.__dict__.copy()
+        self.forget()
+        self._add(old["n_a"].data[kept], old["n_b"].data[kept], n := old["n_groups"].data[kept], runs(old["pairs"].data, old["starts"].data[kept], np.maximum(n, 0)), *_cut(old["text"].taken(kept)))
+        self.met.data[:] = old["met"].data[kept] // 2
+        self._keep(words, np.arange(len(kept)))
+        self.bytes = int(sizes[order].sum())
+
+    def _keep(self, words: pa.Array, numbers: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.numbers.add(numbers)
+
+    def _add(self, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, pairs: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> None:
+        each = np.maximum(n_groups, 0)
+        self.starts.add(self.pairs.n + np.cumsum(each) - each)
+        self.pairs.add(pairs)
+        for column, values in ((self.met, np.zeros(len(n_a), np.int64)), (self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups)):
+            column.add(values)
+        self.text.add(text, sizes)
 
     def chunks(self, distinct: pa.Array) -> np.ndarray:
         """Numbers of chunks: the pieces with a space before each."""
-        words = distinct.to_pylist()
-        at = [i for i, w in enumerate(words) if w not in self.numbers]
-        once: dict[str, int] = {}
-        for part in (at[i : i + NEW_AT_ONCE] for i in range(0, len(at), NEW_AT_ONCE)):
-            new = [words[i] for i in part]
-            ids, sizes = self.a.ids_of(self.a.units(distinct.take(pa.array(part, pa.int64()))).ravel())
-            ids, ends = ids.tolist(), [0, *np.cumsum(sizes)[1::2].tolist()]
-            first, found = len(self.text), [self._align(ids[i:j], b) for i, j, b in zip(ends, ends[1:], self.pieces.encode(new, num_threads=1))]
-            sizes = np.fromiter((len(f[3]) for f in found), np.int64, len(found))
-            self.starts.add(self.pairs.n + np.cumsum(sizes) - sizes)
-            self.pairs.add(np.fromiter((p for f in found for p in f[3]), np.int64, int(sizes.sum())))
-            for column, i in ((self.n_a, 0), (self.n_b, 1), (self.n_groups, 2)):
-                column.add(np.fromiter((f[i] for f in found), np.int64, len(found)))
-            self.text += [f[4] for f in found]
-            for number, word in enumerate(new, first):
-                (self.numbers if len(word) <= LONG_CHUNK else once)[word] = number
-            self.bytes += sum(map(len, new))
-        return np.fromiter((self.numbers[w] if w in self.numbers else once[w] for w in words), np.int64, len(words))
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[int, int, int, list[int], str]:
-        ends = self.transducer.groups(a, b)
-        if ends is None:
-            return 0, 0, -1, [], ""
-        pairs, parts, i, j = [], [], 0, 0
-        for m, n in ends:
-            pairs.append(a[m - 1] << HALF | b[n - 1])
-            parts.append(f"{a[i]}|{b[j]}" if m - i == n - j == 1 else ",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
-            i, j = m, n
-        return len(a), len(b), len(ends), pairs, ";".join(parts)
+        distinct = distinct.cast(pa.large_string())
+        known = pc.index_in(distinct, value_set=self.words)
+        out = np.empty(len(distinct), np.int64)
+        new = pc.is_null(known).to_numpy(zero_copy_only=False)
+        out[~new] = self.numbers.data[known.drop_null().to_numpy()]
+        new = np.flatnonzero(new)
+        for part in (new[i : i + NEW_AT_ONCE] for i in range(0, len(new), NEW_AT_ONCE)):
+            words = distinct.take(pa.array(part))
+            out[part] = np.arange(len(self.text), len(self.text) + len(part))
+            self._align(words)
+            short = np.flatnonzero(pc.utf8_length(words).to_numpy(zero_copy_only=False) <= LONG_CHUNK)
+            self._keep(words.take(pa.array(short)), out[part[short]])
+            self.bytes += int(pc.sum(pc.binary_length(words)).as_py())
+        return out
+
+    def _align(self, words: pa.Array) -> None:
+        a, sizes = self.a.ids_of(self.a.units(words).ravel())
+        n_a = sizes.reshape(-1, 2).sum(axis=1)
+        found = self.pieces.encode(words.to_pylist(), num_threads=1)
+        n_b = np.fromiter(map(len, found), np.int64, len(found))
+        a, b = a.astype(np.int64), np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum()))
+        good, chunk, end_a, end_b = self.transducer.many(a, n_a, b, n_b)
+        n_groups = np.bincount(chunk, minlength=len(words))
+        # the tokens of a group, A's and then B's, with the sign after each
+        pairs = a[end_a - 1] << HALF | b[end_b - 1]
+        to_a, to_b = (end - np.cumsum(np.where(good, 0, n))[chunk] for end, n in ((end_a, n_a), (end_b, n_b)))
+        in_a, in_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], np.where(good, n_a, 0), np.where(good, n_b, 0)
+        codes = np.empty(len(a) + len(b), np.int64)
+        a *= 3
+        b *= 3
+        a[to_a - 1] += 1
+        b[to_b - 1] += 2
+        codes[np.arange(len(a)) + np.repeat(to_b - in_b, in_a)] = a
+        codes[np.arange(len(b)) + np.repeat(to_a, in_b)] = b
+        said, begins = said_of(self.decimal.take(pa.array(codes)))
+        text, sizes = _cut((said, begins[np.r_[0, np.cumsum(n_a + n_b)]]))
+        self._add(n_a, n_b, np.where(good, n_groups, -1), pairs, text, sizes)
+
+
+def _cut(said: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of texts, their sizes) of the bytes and where texts begin and the last ends."""
+    data, begins = said
+    return data[begins[0] : begins[-1]], np.diff(begins)
 
 
 @cache
@@ -196,6 +337,7 @@ def _aligned(aligner: Aligner, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     owner = np.repeat(np.arange(len(n)), n)
     good = pc.binary_length(pc.fill_null(flat(texts), "")).to_numpy(zero_copy_only=False) > 0
     good[owner[aligner.n_groups.data[numbers] < 0]] = False
+    aligner.met.data[:] += np.bincount(numbers, minlength=aligner.met.n)
     return numbers[good[owner]], np.where(good, n, 0), good
 
 
@@ -219,20 +361,26 @@ def align_blocks(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, model: str
             block = TaskContext.get().partitionId() << HALF | k
             numbers, sizes, good = _aligned(aligner, flat(table.column(1)))
             groups = aligner.n_groups.data[numbers]
-            pairs = runs(aligner.pairs.data, aligner.starts.data[numbers], groups)
-            distinct, links, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+            # pairs of a chunk are counted once, as often as the chunk is there
+            times = np.bincount(numbers, minlength=len(aligner.text))
+            here = np.flatnonzero(times)
+            sizes_here = aligner.n_groups.data[here]
+            starts = np.zeros(len(times), np.int64)
+            starts[here] = np.cumsum(sizes_here) - sizes_here
+            distinct, which = np.unique(runs(aligner.pairs.data, aligner.starts.data[here], sizes_here), return_inverse=True)
+            counts = np.bincount(which, np.repeat(times[here], sizes_here), len(distinct)).astype(np.int64)
             # the commonest pairs have the smallest places
             order = np.argsort(-counts, kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             n_groups = _sums(groups, sizes)
-            said, ends = list(map(aligner.text.__getitem__, numbers.tolist())), np.cumsum(sizes)
-            parts = zip((ends - sizes).tolist(), ends.tolist(), good.tolist())
-            sha = [hashlib.sha256(";".join(said[i:j]).encode()).hexdigest() if ok else "" for i, j, ok in parts]
+            (said, begins), ends = aligner.text.taken(numbers), np.cumsum(sizes)
+            parts = zip(begins[ends - sizes].tolist(), begins[ends].tolist(), good.tolist())
+            sha = [hashlib.sha256(said[i : j - 1]).hexdigest() if ok else "" for i, j, ok in parts]
             rest = {
                 "is_pair": pa.array(np.zeros(len(sha), bool)), "block": pa.array(np.full(len(sha), block)), "doc_id": flat(table.column(0)),
                 "n_a": pa.array(_sums(aligner.n_a.data[numbers], sizes)), "n_b": pa.array(_sums(aligner.n_b.data[numbers], sizes)), "n_groups": pa.array(n_groups),
-                "groups_sha256": pa.array(sha, pa.string()), "links": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_groups)].astype(np.int32)), pa.array(place[links])),
+                "groups_sha256": pa.array(sha, pa.string()), "links": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_groups)].astype(np.int32)), pa.array(runs(place[which], starts[numbers], groups))),
             }
             yield _batch(rest, _ARROW)
             m = len(order)
