@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     session = SourceGraph(spark or SparkSession.builder.appName("sparkloom").getOrCreate(), args.db)
     if args.command == "analyze":
         status = session.analyze(args.repo, args.force)
-        print(json.dumps(status, ensure_ascii=False))
+        print(json.dumps(status, ensure_ascii=False, default=list))
         if not status.get("files"):
             print("no source files", file=sys.stderr)
             return 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 
 from sparkloom import session as sessions
@@ -173,3 +175,69 @@ def test_a_listing_looks_at_each_source_once(tmp_path, monkeypatch):
     monkeypatch.setattr(repository.Path, "stat", lambda self, **k: looked.append(self) or real(self, **k))
     assert repository.listing(str(tmp_path)) == {"p/a.py": 1, "p/d.py/b.ts": 1, "p/link.py": 1, "__init__.py": 1}
     assert len(looked) <= 5
+
+
+def sent_since(spark, first: int) -> list[int]:
+    """Rows of each broadcast of the SQL executions from number ``first`` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows = []
+    for at in range(store.executionsList().size()):
+        id = store.executionsList().apply(at).executionId()
+        nodes, values = store.planGraph(id).allNodes(), store.executionMetrics(id)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if id >= first and node.name() == "BroadcastExchange":
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return rows
+
+
+def next_execution(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    list_of = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((list_of.apply(i).executionId() for i in range(list_of.size())), default=-1) + 1
+
+
+def test_levels_are_broadcast_only_while_they_are_short(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "MOST_SENT", 50)
+    # each node leads to one nearer the middle, so levels double
+    edges = spark.range(1, 1000).selectExpr("concat('n', id) src", "concat('n', id div 2) dst").union(spark.range(1, 1000).selectExpr("concat('n', id) src", "concat('n', id div 3) dst"))
+    first = next_execution(spark)
+    assert traverse.closure(edges, spark.createDataFrame([("n0",)], "id string"), 0).count() == 1000
+    near = traverse.reach(edges, spark.createDataFrame([("n1",)], "id string"), 9, reverse=True)
+    assert near.count() == 998 and near.where("depth = 1").count() == 4
+    assert max(sent_since(spark, first), default=0) <= 50
+
+
+def test_a_large_update_keeps_files_out_of_the_driver(spark, tmp_path, monkeypatch):
+    root = tmp_path / "r"
+    (root / "a" / "b").mkdir(parents=True)
+    place = lambda i: root / ("a/b" if i % 2 else "a") / f"f{i}.py"
+    for i in range(12):
+        place(i).write_text(f"from a.f{i // 4 * 2} import g{i // 4 * 2}\n\ndef g{i}():\n    g{i // 4 * 2}()\n    g{i}()\n")
+
+    def listed(*_):
+        raise AssertionError("listed in the driver")
+
+    monkeypatch.setattr(repository.os, "walk", listed)
+    monkeypatch.setattr(sessions, "MOST_CHANGED", 2)
+    monkeypatch.setattr("sparkloom.operators.delta.MOST_SENT", 0)
+    monkeypatch.setattr(traverse, "MOST_SENT", 0)
+    first = next_execution(spark)
+    graph_of = sessions.SourceGraph(spark, str(tmp_path / "db"))
+    assert graph_of.analyze(str(root))["files"] == 12
+    for i in range(2, 6):
+        place(i).write_text(f"def h{i}():\n    h{i}()\n")
+    place(0).unlink()
+    place(20).write_text("def g20():\n    g20()\n")
+    result = graph_of.analyze(str(root))
+    names = lambda *at: sorted(place(i).relative_to(root).as_posix() for i in at)
+    assert result["changed"] == names(2, 3, 4, 5) and result["changed"] != names(2, 3, 4, 6) and isinstance(result["changed"], sessions.Files)
+    assert len(result["changed"]) == 4 and "a/f2.py" in result["changed"] and "a/f0.py" not in result["changed"] and result["changed"][-1] == names(2, 3, 4, 5)[-1]
+    assert result["added"] == ["a/f20.py"] and result["deleted"] == ["a/f0.py"]
+    # all others import or call one of them
+    assert result["importers_files"] == names(1, 6, 7, 8, 9, 10, 11) and result["reparsed_files"] == names(*range(1, 12), 20)
+    assert json.loads(json.dumps(result, default=list))["reparsed_files"] == names(*range(1, 12), 20)
+    nodes = graph_of.table("nodes").where("label = 'Function'").collect()
+    assert {(r.name, r.file) for r in nodes} == {(f"{'h' if 2 <= i < 6 else 'g'}{i}", names(i)[0]) for i in (*range(1, 12), 20)}
+    assert not sent_since(spark, first)
